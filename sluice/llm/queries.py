@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chunks, media, mixing, sharding, urls
+from . import chunks, media, mixing, packing, sharding, urls
 
-_ALL = (media.op1_media_tiles, urls.op6_url_cascade, chunks.op7_chunk_fingerprint, mixing.op8_curriculum_mix, sharding.op10_lpt_shards)
+_ALL = (media.op1_media_tiles, urls.op6_url_cascade, chunks.op7_chunk_fingerprint, mixing.op8_curriculum_mix, packing.op4_bestfit_pack, sharding.op10_lpt_shards)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {**urls.SQL, **mixing.SQL}
