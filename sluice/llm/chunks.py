@@ -105,45 +105,38 @@ def containment(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarra
     return float(a[1][same].sum() / a[1].sum())
 
 
-def with_next(df: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
-    """key, text, next_text: of the row that follows by ascending key, after the last the first.
+#: Rows of a block of the order by key, and the most blocks (their first keys are kept on the driver).
+BLOCK_ROWS, MOST_BLOCKS = 4096, 65_536
 
-    Null keys come first; equal keys are ordered by text.  Keys are cut at
-    approximate quantiles into blocks, each small enough to sort in one task;
-    only each block's first row is sent to the block before it.
+
+def in_order(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text, block, copy: sorted partitions that hold whole blocks of the order by key.
+
+    Null keys come first; equal keys are ordered by the MD5 of the text.  Keys
+    are cut at approximate quantiles into blocks.  Each block's last row, a
+    copy, is the first row of the next block; the last block's is the first of
+    all.  Only the first key and MD5 of each block come to the driver.
     """
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    edges = sorted(set(rows.approxQuantile("key", [k / blocks for k in range(1, blocks)], 1 / (4 * blocks)))) if blocks > 1 else []
-    block = F.lit(0)
-    if edges:
-        ends = F.array(*[F.lit(int(e)) for e in edges])
-        block = F.coalesce(F.size(F.filter(ends, lambda e: e < F.col("key"))), F.lit(0))
-    rows = rows.withColumn("block", block)
-    # A few rows, one for each block.
-    first = {r.block: (r.least.key, r.least.text) for r in rows.groupBy("block").agg(F.min(F.struct("key", F.sha2("text", 256).alias("text"))).alias("least")).collect()}
+    blocks = min(MOST_BLOCKS, -(-df.count() // BLOCK_ROWS))
+    edges = np.array(sorted(set(rows.approxQuantile("key", [k / blocks for k in range(1, blocks)], 1 / (4 * blocks)))) if blocks > 1 else [])
+
+    def find(keys: pa.Array) -> pa.Array:
+        at = np.searchsorted(edges, keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
+        return pa.array(at.astype(np.int32))
+
+    rows = rows.withColumn("block", F.arrow_udf(find, "int")("key")).withColumn("sum", F.md5(F.col("text").cast("binary")))
+    first = {r.block: (r.least.key, r.least.sum) for r in rows.groupBy("block").agg(F.min(F.struct("key", "sum")).alias("least")).collect()}
     order = sorted(first)
-    if not order:
-        return df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(None).cast("string").alias("next_text")).where("false")
-    previous = {first[b]: order[i - 1] for i, b in enumerate(order)}
-    marks = df.sparkSession.createDataFrame([(k, t, b) for (k, t), b in previous.items()], "k bigint, t string, to int")
+    marks = [(*first[b], order[i - 1]) for i, b in enumerate(order)]
+    marks = df.sparkSession.createDataFrame(marks, "k bigint, s string, to int")
     copies = (
-        rows.join(F.broadcast(marks), F.col("key").eqNullSafe(F.col("k")) & (F.sha2("text", 256) == F.col("t")))
-        .groupBy("key", "to").agg(F.first("text").alias("text"))
-        .select("key", "text", F.col("to").alias("block"), F.lit(True).alias("copy"))
+        rows.join(F.broadcast(marks), F.col("key").eqNullSafe(F.col("k")) & (F.col("sum") == F.col("s")))
+        .groupBy("to").agg(F.first("key").alias("key"), F.first("text").alias("text"), F.first("sum").alias("sum"))
+        .select("key", "text", F.col("to").alias("block"), "sum", F.lit(True).alias("copy"))
     )
-
-    def pair(whole):
-        sha = [sha_hex(t) for t in whole["text"].to_pylist()]
-        keys, copy = whole["key"].to_pylist(), whole["copy"].to_pylist()
-        at = sorted(range(len(keys)), key=lambda i: (copy[i], keys[i] is not None, keys[i] or 0, sha[i]))
-        own = sum(not c for c in copy)
-        texts = whole["text"].combine_chunks()
-        here = pa.array(at[:own], pa.int64())
-        after = pa.array(at[1 : own + 1] if len(at) > own else at[1:own] + at[:1], pa.int64())
-        return pa.table({"key": whole["key"].take(here), "text": texts.take(here), "next_text": texts.take(after)})
-
     both = rows.withColumn("copy", F.lit(False)).unionByName(copies)
-    return both.groupBy("block").applyInArrow(pair, "key bigint, text string, next_text string")
+    return both.repartition("block").sortWithinPartitions("block", "copy", F.col("key").asc_nulls_first(), "sum").select("key", "text", "copy")
 
 
 def sha_hex(text: str) -> str:
@@ -156,32 +149,38 @@ def edit_tail(text: str, other: str) -> str:
     return text[: len(text) - n] + other[:n]
 
 
-#: Rows of a block that one task sorts.
-BLOCK_ROWS = 4096
-
-
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
-    pairs = with_next(df, key, text, max(1, -(-df.count() // BLOCK_ROWS)))
+    """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
+
+    The next row is the one that follows by ascending key, after the last the
+    first; a single row is its own next.  Null texts count as empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int | None, str]] = []
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
-                texts, following = part.column(1).to_pylist(), part.column(2).to_pylist()
-                edited = [edit_tail(a, b) for a, b in zip(texts, following, strict=True)]
-                own, new, after = (chunk_sets(pa.array(x, pa.large_string())) for x in (texts, edited, following))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(sha_hex, edited)),
-                        pa.array(map(fingerprint, own), pa.string()), pa.array(map(fingerprint, new), pa.string()),
-                        pa.array(map(containment, own, new), pa.float64()), pa.array(map(containment, own, after), pa.float64()),
-                    ],
-                    names=["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-                )
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held.append(row[:2])
+                if row[2] or len(held) > 128:  # a copy ends its block
+                    yield judge(held)
+                    held = [] if row[2] else held[-1:]
+
+    def judge(held: list[tuple[int | None, str]]) -> pa.RecordBatch:
+        texts = [t for _, t in held]
+        edited = [edit_tail(a, b) for a, b in pairwise(texts)]
+        sets, new = chunk_sets(pa.array(texts, pa.large_string())), chunk_sets(pa.array(edited, pa.large_string()))
+        own = sets[:-1]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k for k, _ in held[:-1]], pa.int64()), pa.array(map(len, texts[:-1]), pa.int64()), pa.array(map(sha_hex, edited), pa.string()),
+                pa.array(map(fingerprint, own), pa.string()), pa.array(map(fingerprint, new), pa.string()),
+                pa.array(map(containment, own, new), pa.float64()), pa.array(map(containment, own, sets[1:]), pa.float64()),
+            ],
+            names=["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        )
 
     schema = "key bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return pairs.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return in_order(df, key, text).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def op7_chunk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
