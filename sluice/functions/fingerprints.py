@@ -57,7 +57,8 @@ def skeleton_hash(text: Column) -> Column:
 
 def is_low_entropy_skeleton(value: Column) -> Column:
     """Whether a skeleton is one of the known empty shapes, or keeps under three characters without tokens and punctuation."""
-    rest = F.regexp_replace(value, rf"<\w+>|[\s_]+|(?![\p{{L}}\p{{N}}])[^\s_]", "")
+    # Punctuation that runs up to a token takes its first sign along, so that later tokens leave a letter each.
+    rest = F.regexp_replace(value, r"<\w+>|[^\p{L}\p{N}]+", "")
     return value.isin(*LOW_ENTROPY_SKELETONS) | (F.length(rest) < 3)
 
 
@@ -71,7 +72,7 @@ def trigrams(clean: Column) -> Column:
     x = F.regexp_replace(clean, f"{T.SPACE}+", "")
     n = F.length(x)
     whole = F.when(n == 0, F.array().cast("array<string>")).when(n <= 3, F.array(x))
-    return whole.otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(x, i, F.lit(3))))
+    return whole.otherwise(F.regexp_extract_all(x, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{3}))"), F.lit(1)))
 
 
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:

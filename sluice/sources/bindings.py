@@ -24,8 +24,11 @@ _TEXT = """CASE doc_id % 12
     WHEN 9 THEN CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'https://www.example.com/article' END
     ELSE text END"""
 
+#: One busy sender among many.
+_WHO = "CAST(CASE WHEN doc_id % 24 = 6 THEN 4 ELSE doc_id % 20 END AS BIGINT) AS chat_id, CAST(CASE WHEN doc_id % 24 = 6 THEN 5 ELSE doc_id % 97 END AS BIGINT)"
+
 RELATIONS = {
-    "messages": f"""SELECT CAST(doc_id AS BIGINT) AS message_id, CAST(doc_id % 20 AS BIGINT) AS chat_id, CAST(doc_id % 97 AS BIGINT) AS user_id,
+    "messages": f"""SELECT CAST(doc_id AS BIGINT) AS message_id, {_WHO} AS user_id,
   CAST({START} + doc_id * 37 AS BIGINT) AS created_at, {_TEXT} AS text,
   CASE WHEN doc_id % 12 IN (7, 10) THEN concat('https://WWW.Spam', CAST(doc_id % 3 AS STRING), '.example/x.') END AS preview_url,
   CASE WHEN doc_id % 11 = 3 THEN 'edited_message' ELSE 'message' END AS update_type,
@@ -42,7 +45,7 @@ RELATIONS = {
     "votes": f"""SELECT CAST(event_id % 500 AS BIGINT) AS session_id, CAST(user_id AS BIGINT) AS voter_user_id,
   CASE event_type WHEN 'error' THEN 'spam' WHEN 'purchase' THEN 'spam' WHEN 'click' THEN 'ham' WHEN 'view' THEN 'ham' ELSE 'other' END AS vote,
   CAST(event_id AS BIGINT) AS seq, CAST({START} + event_id * 11 AS BIGINT) AS ts FROM {{events}}""",
-    "vote_sessions": f"""SELECT CAST(doc_id AS BIGINT) AS id, CAST(doc_id % 20 AS BIGINT) AS chat_id, CAST(doc_id % 97 AS BIGINT) AS suspect_user_id, CAST(doc_id AS BIGINT) AS original_message_id,
+    "vote_sessions": f"""SELECT CAST(doc_id AS BIGINT) AS id, {_WHO} AS suspect_user_id, CAST(doc_id AS BIGINT) AS original_message_id,
   CASE doc_id % 5 WHEN 0 THEN 'confirmed_spam' WHEN 1 THEN 'released' ELSE 'open' END AS status,
   CAST({START} + doc_id * 37 AS BIGINT) AS created_at, CAST({START} + doc_id * 37 + 1800 AS BIGINT) AS expires_at FROM {{documents}} WHERE doc_id % 12 IN (1, 2, 6, 8)""",
     "verdicts": """SELECT CAST(doc_id % 20 AS BIGINT) AS chat_id, CAST(doc_id AS BIGINT) AS message_id, CASE WHEN doc_id % 10 = 9 THEN 'failed' ELSE 'ok' END AS status,
