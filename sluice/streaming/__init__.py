@@ -1 +1 @@
-
+"""Keyed state on streams: repeats, vote sessions, reputation."""
