@@ -157,3 +157,31 @@ def test_streams_agree_with_batch(spark, rocks, tmp_path):
     cols = ["session_id", "outcome", "closed_seq", "spam_votes", "ham_votes"]
     got = stream(spark, votes, str(tmp_path / "votes"), "outcomes", folds.vote_outcomes, "append")
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, state.vote_outcome(votes).select(cols).collect()))
+
+
+def test_repeat_senders_on_a_stream(spark, rocks, tmp_path):
+    pytest.importorskip("google.protobuf")
+    from sluice.operators.lookup import prior_senders
+
+    rows = [(f"s{i % 3}", i, i % 7, 1000 + 40 * i) for i in range(120)]
+    df = spark.createDataFrame(rows, "skeleton_hash string, message_id long, user_id long, created_at long")
+    got = stream(spark, df, str(tmp_path / "messages"), "repeats", folds.repeat_senders, "append")
+    expected = sorted(map(tuple, prior_senders(df, 300).collect()))
+    assert sorted(map(tuple, got.select("message_id", "prior_senders").collect())) == expected
+    plain = [(m, len({u2 for s2, m2, u2, t2 in rows if s2 == s and m2 < m and t2 >= t - 300 and u2 != u})) for s, m, u, t in rows]
+    assert expected == plain
+
+
+def test_reputation_on_a_stream(spark, rocks, tmp_path):
+    pytest.importorskip("google.protobuf")
+    events = relation(spark, SF, "reputation_events")
+    got = stream(spark, events, str(tmp_path / "events"), "scores", folds.reputation, "update")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, state.reputation(events).collect()))
+
+
+def test_ties_and_repeated_rows_do_not_count_twice(spark):
+    from sluice.operators.lookup import prior_senders
+
+    df = spark.createDataFrame([("s", 1, 5, 100), ("s", 2, 5, 100), ("s", 3, 6, 100), ("s", 3, 6, 100), ("s", 4, None, 100)], "skeleton_hash string, message_id long, user_id long, created_at long")
+    got = {r.message_id: r.prior_senders for r in prior_senders(df, 300).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 2}
