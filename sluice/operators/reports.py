@@ -9,20 +9,26 @@ from sluice.functions import fingerprints as P
 
 # What each session status is called.
 STATUS_LABELS = {
-    "open": "投票中", "confirmed_spam": "已确认垃圾", "released": "已放行", "expired_released": "超时放行", "admin_banned": "管理员封禁",
-}
+    "open": "投票中",
+    "confirmed_spam": "投票结束：确认广告",
+    "released": "投票结束：放行",
+    "expired_released": "投票超时：默认放行",
+    "admin_banned": "管理员已跳过投票并封禁",
+}
+OTHER_STATUS = "状态更新："
 
 
 def message_link(chat: Column, message: Column) -> Column:
-    """Link to a message of a supergroup; null for other chats."""
-    text = chat.cast("string")
-    return F.when(text.startswith("-100"), F.concat(F.lit("https://t.me/c/"), F.substring(text, 5, 30), F.lit("/"), message.cast("string")))
+    """A message of a supergroup as a link, of another chat as its number."""
+    text, number = chat.cast("string"), message.cast("string")
+    link = F.concat(F.lit('<a href="https://t.me/c/'), F.substring(text, 5, 30), F.lit("/"), number, F.lit('">'), number, F.lit("</a>"))
+    return F.when(text.startswith("-100"), link).otherwise(F.concat(F.lit("<code>"), number, F.lit("</code>")))
 
 
 def status_label(status: Column) -> Column:
-    """What a status is called; an unknown one is called itself."""
+    """What a status is called; an unknown one is named after a prefix."""
     pairs = [F.lit(x) for kv in STATUS_LABELS.items() for x in kv]
-    return F.coalesce(F.create_map(*pairs)[status], status)
+    return F.coalesce(F.create_map(*pairs)[status], F.concat(F.lit(OTHER_STATUS), status))
 
 
 def escape_html(text: Column) -> Column:

@@ -97,13 +97,13 @@ def user_sessions(spark, sf_dir):
     return rows.select("suspect_user_id", "id", F.col("place").cast("bigint").alias("place"))
 
 
-@query(D.with_("vote_sessions") + "SELECT id AS vote_session_id, t.k AS notify_user_id, concat(CASE status WHEN 'open' THEN '投票中' WHEN 'confirmed_spam' THEN '已确认垃圾' WHEN 'released' THEN '已放行' END, ' #', CAST(id AS VARCHAR)) AS base_text FROM vote_sessions, (VALUES (7), (9)) AS t(k)")
+@query(D.with_("vote_sessions") + "SELECT id AS vote_session_id, t.k AS notify_user_id, concat(CASE status WHEN 'open' THEN '投票中' WHEN 'confirmed_spam' THEN '投票结束：确认广告' WHEN 'released' THEN '投票结束：放行' ELSE concat('状态更新：', status) END, ' #', CAST(id AS VARCHAR)) AS base_text FROM vote_sessions, (VALUES (7), (9)) AS t(k)")
 def session_notifications(spark, sf_dir):
     rows = relation(spark, sf_dir, "vote_sessions").withColumn("notify_user_id", F.explode(F.array(F.lit(7), F.lit(9))))
     return rows.select(F.col("id").alias("vote_session_id"), "notify_user_id", F.concat(reports.status_label(F.col("status")), F.lit(" #"), F.col("id").cast("string")).alias("base_text"))
 
 
-@query(D.with_("vote_sessions") + "SELECT id, CASE status WHEN 'open' THEN '投票中' WHEN 'confirmed_spam' THEN '已确认垃圾' WHEN 'released' THEN '已放行' END AS label FROM vote_sessions")
+@query(D.with_("vote_sessions") + "SELECT id, CASE status WHEN 'open' THEN '投票中' WHEN 'confirmed_spam' THEN '投票结束：确认广告' WHEN 'released' THEN '投票结束：放行' ELSE concat('状态更新：', status) END AS label FROM vote_sessions")
 def status_label(spark, sf_dir):
     return relation(spark, sf_dir, "vote_sessions").select("id", reports.status_label(F.col("status")).alias("label"))
 

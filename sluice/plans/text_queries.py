@@ -197,8 +197,13 @@ def message_features(spark, sf_dir):
     return features(_messages(spark, sf_dir)).select(*_FEATURES.split(", "), "mentions", F.size("links").alias("link_count"))
 
 
-@query(_sql("CASE WHEN starts_with(CAST(chat_id - 1000000000000 - 5 AS VARCHAR), '-100') THEN concat('https://t.me/c/', substring(CAST(chat_id - 1000000000000 - 5 AS VARCHAR), 5), '/', CAST(message_id AS VARCHAR)) END"))
+_CHAT = "CASE WHEN message_id % 2 = 0 THEN chat_id - 1000000000000 - 5 ELSE -chat_id END"
+_MESSAGE = "CAST(message_id AS VARCHAR)"
+
+
+@query(_sql(f"CASE WHEN starts_with(CAST({_CHAT} AS VARCHAR), '-100') THEN concat('<a href=\"https://t.me/c/', substring(CAST({_CHAT} AS VARCHAR), 5), '/', {_MESSAGE}, '\">', {_MESSAGE}, '</a>') ELSE concat('<code>', {_MESSAGE}, '</code>') END"))
 def message_link(spark, sf_dir):
     from sluice.operators.reports import message_link as link
 
-    return _one(spark, sf_dir, link(F.col("chat_id") - 1000000000000 - 5, F.col("message_id")))
+    chat = F.when(F.col("message_id") % 2 == 0, F.col("chat_id") - 1000000000000 - 5).otherwise(-F.col("chat_id"))
+    return _one(spark, sf_dir, link(chat, F.col("message_id")))

@@ -126,10 +126,10 @@ def test_replies(spark):
 
 def test_previews(spark):
     got = parse_preview('<title>t</title><meta property="og:title" content="CRTV成人版"><meta name="description" content=" a  b ">')
-    assert got["title"] == "CRTV成人版" and got["description"] == "a b" and got["text"] == "CRTV成人版\na b" and not got["truncated"]
+    assert got["title"] == "CRTV成人版" and got["description"] == "a b" and got["text"] == "CRTV成人版 a b" and got["site_name"] is None and not got["truncated"]
     assert parse_preview("")["text"] == ""
     assert one(spark, is_html, "image/png") is False and one(spark, is_html, "") is True
-    assert one(spark, charset, "text/html; charset=GBK") == "gbk" and one(spark, charset, "text/html") == "utf-8"
+    assert one(spark, charset, "text/html; charset=GBK") == "GBK" and one(spark, charset, "text/html") == "utf-8"
 
 
 def test_settings():
