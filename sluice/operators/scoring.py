@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import fingerprints as P
+from sluice.functions import links as L
 from sluice.settings import DEFAULT, Settings
 
-VERDICT = "is_spam boolean, confidence double, category string, signal_phrases array<string>"
+VERDICT = "is_spam boolean, confidence double, category string, skeleton_hash string, signal_phrases array<string>"
 
 
 def parse_verdict(reply: Column) -> Column:
@@ -25,22 +26,31 @@ def parse_verdict(reply: Column) -> Column:
     v = F.try_parse_json(whole)
     kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
     spam, c = F.try_variant_get(v, "$.is_spam", "boolean"), F.try_variant_get(v, "$.confidence", "double")
+    named = lambda path: F.when(kind(path) == "STRING", F.try_variant_get(v, path, "string"))
     said = F.coalesce(F.try_variant_get(v, "$.signal_phrases", "array<string>"), F.array().cast("array<string>"))
-    phrases = F.slice(F.filter(F.transform(said, lambda p: F.substring(p, 1, 80)), lambda p: F.trim(p) != ""), 1, 10)
+    phrases = F.slice(F.transform(F.filter(said, lambda p: F.trim(p) != ""), lambda p: F.substring(p, 1, 80)), 1, 10)
     good = (kind("$.is_spam") == "BOOLEAN") & (kind("$.confidence").rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"))
     return F.when(good, F.struct(
         spam.alias("is_spam"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)).alias("confidence"),
-        F.coalesce(F.try_variant_get(v, "$.category", "string"), F.lit("unknown")).alias("category"), phrases.alias("signal_phrases"),
+        named("$.category").alias("category"), named("$.skeleton_hash").alias("skeleton_hash"), phrases.alias("signal_phrases"),
     ))
 
 
-def payload() -> Column:
-    """The request about a message, as JSON, its long parts cut."""
-    return F.to_json(F.struct(
-        F.substring("text", 1, 4000).alias("text"), F.substring("clean", 1, 4000).alias("clean_text"), F.substring("skeleton", 1, 1000).alias("skeleton"),
-        F.transform("links", lambda x: F.struct(x["url"].alias("url"), x["source"].alias("source"), x["domain"].alias("domain"))).alias("links"), F.col("mentions").alias("mention_count"),
-        F.col("has_preview").alias("has_link_preview"), F.col("punctuation_only").alias("is_empty_or_punctuation"), F.col("reputation_score"), F.col("messages_seen"),
-    ))
+#: Fixed value: what a scorer is asked to do.
+TASK = "judge_telegram_group_spam"
+
+
+def payload(profile: Column | None = None, preview: Column | None = None) -> Column:
+    """The request about a message, as JSON, its long parts cut. profile, preview: structs, null where unknown."""
+    none = F.lit(None).cast("string")
+    fields = {
+        "task": F.lit(TASK), "raw_text": F.substring("text", 1, 4000), "clean_text": F.substring("clean", 1, 4000), "skeleton": F.substring("skeleton", 1, 1000),
+        "skeleton_hash": F.col("skeleton_hash"), "content_hash": F.col("content_hash"), "sender_reputation": F.col("reputation_score"), "mention_count": F.col("mentions"),
+        "is_empty_or_punctuation": F.col("punctuation_only"), "has_preview_url": F.col("has_preview"), "link_domains": L.link_domains(F.col("links")),
+        "links": F.transform("links", lambda x: F.struct(x["source"].alias("source"), x["domain"].alias("domain"), F.substring(x["url"], 1, 500).alias("url"))),
+        "sender_profile": none if profile is None else profile, "og_preview": none if preview is None else preview,
+    }
+    return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"})
 
 
 def score(rows: DataFrame, scorer: Callable[[list[str]], list[str | None]], key: str = "message_id") -> DataFrame:

@@ -120,10 +120,20 @@ def test_folds(spark):
 
 def test_replies(spark):
     read = lambda x: one(spark, scoring.parse_verdict, x)
-    assert read('```json\n{"is_spam": true, "confidence": 1.4, "signal_phrases": ["a", " "]}\n```').asDict() == {"is_spam": True, "confidence": 1.0, "category": "unknown", "signal_phrases": ["a"]}
+    assert read('```json\n{"is_spam": true, "confidence": 1.4, "signal_phrases": ["a", " "]}\n```').asDict() == {"is_spam": True, "confidence": 1.0, "category": None, "skeleton_hash": None, "signal_phrases": ["a"]}
     assert read('{"is_spam": "true", "confidence": 1}') is None and read("[]") is None and read("no") is None and read('{"is_spam": true, "confidence": true}') is None
 
 
+def test_scorer_sees_only_what_asks_for_it(spark):
+    import json
+
+    df = features(spark.createDataFrame([(1, "hello https://spam.example/a", None, 50.0, True), (2, "x", None, 50.0, False)], "message_id long, text string, preview_url string, reputation_score double, scorer boolean"))
+    asked = json.loads(df.where("message_id = 1").select(scoring.payload().alias("p")).first().p)
+    assert len(asked) == 14 and asked["link_domains"] == ["spam.example"] and asked["sender_profile"] is None
+    rows = scoring.score(df, lambda requests: ['{"is_spam": true, "confidence": 0.9}' if json.loads(r)["raw_text"].startswith("hello") else None for r in requests]).collect()
+    assert [(r.message_id, r.status, r.is_spam, r.confidence) for r in rows] == [(1, "ok", True, 0.9)]
+
+
 def test_previews(spark):
     got = parse_preview('<title>t</title><meta property="og:title" content="CRTV成人版"><meta name="description" content=" a  b ">')
     assert got["title"] == "CRTV成人版" and got["description"] == "a b" and got["text"] == "CRTV成人版 a b" and got["site_name"] is None and not got["truncated"]
