@@ -30,7 +30,7 @@ END = 1
 #: Rows whose pieces one task packs.
 GROUP_ROWS = 16384
 #: Words whose ids a worker keeps; beyond, it forgets all and starts again.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 2_000_000
 
 
 def vocabulary() -> str:
@@ -68,7 +68,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
+        # Known hashes in order, with each one's place in `start`; those met lately are in a dictionary till they are many.
+        self.keys, self.places, self.recent = words.EMPTY, np.zeros(0, np.int64), {}
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _slow(self, texts: list[str]) -> list[list[int]]:
@@ -88,8 +89,8 @@ class Encoder:
         return out
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids of all texts one after another, n+1 offsets) of the texts in turn, about 4 MB at a time."""
-        for data, offsets in words.blocks(column, 1 << 22):
+        """(ids of all texts one after another, n+1 offsets) of the texts in turn, about 2 MB at a time."""
+        for data, offsets in words.blocks(column, 1 << 21):
             raw = data.tobytes()
             if b"<|" not in raw:
                 yield self._block(data, offsets)
@@ -105,21 +106,28 @@ class Encoder:
         if not len(first):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         hashes, at, which = np.unique(words.span_hashes(data, first, last), return_index=True, return_inverse=True)
-        if len(self.place) + len(hashes) > KEPT_WORDS:
+        if len(self.start) + len(hashes) > KEPT_WORDS:
             self.forget()
-        keys = hashes.tolist()
-        found = list(map(self.place.get, keys))
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
+        place = np.full(len(hashes), -1, np.int64)
+        if len(self.keys):
+            near = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            place = np.where(self.keys[near] == hashes, self.places[near], -1)
+        missing = np.flatnonzero(place < 0)
+        place[missing] = [self.recent.get(k, -1) for k in hashes[missing].tolist()]
+        new = np.flatnonzero(place < 0)
+        if len(new):
             raw = data.tobytes()
             spans = zip(first[at[new]].tolist(), last[at[new]].tolist(), strict=True)
             ids = self._slow([raw[a:b].decode() for a, b in spans])
-            n = len(self.start) - 1
-            for k, i in enumerate(new):
-                self.place[keys[i]] = found[i] = n + k
+            place[new] = np.arange(len(new)) + len(self.start) - 1
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids])])
             self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
-        place = np.array(found, np.int64)
+            self.recent.update(zip(hashes[new].tolist(), place[new].tolist(), strict=True))
+            if len(self.recent) > 1 << 16:
+                keys = np.concatenate([self.keys, np.fromiter(self.recent.keys(), np.uint64)])
+                order = np.argsort(keys)
+                self.keys, self.places = keys[order], np.concatenate([self.places, np.fromiter(self.recent.values(), np.int64)])[order]
+                self.recent = {}
         start, size = self.start[place][which], (self.start[place + 1] - self.start[place])[which]
         ends = np.cumsum(size)
         index = np.arange(int(ends[-1]), dtype=np.int64) + np.repeat(start - (ends - size), size)

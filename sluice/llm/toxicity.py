@@ -203,8 +203,8 @@ class Network:
         begin, at = windows(t.offsets)
         vectors = self.inputs(t)
         out = np.empty(len(begin), np.float32)
-        for k in range(0, len(begin), 4096):
-            out[k : k + 4096] = self.forward(vectors, self.index(t, begin[k : k + 4096]))[0]
+        for k in range(0, len(begin), 1024):
+            out[k : k + 1024] = self.forward(vectors, self.index(t, begin[k : k + 1024]))[0]
         return out, begin, at
 
     def index(self, t: Tokens, begin: np.ndarray) -> np.ndarray:
@@ -247,7 +247,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Network:
     token_odds = np.append(np.maximum(odds, 0), 0).astype(np.float32)
     for round_ in range(ROUNDS):
         if round_ == 0:
-            value = np.concatenate([token_odds[net.index(t, begin[k : k + 8192])].max(0) for k in range(0, len(begin), 8192)])
+            value = np.concatenate([token_odds[net.index(t, begin[k : k + 1024])].max(0) for k in range(0, len(begin), 1024)])
         else:
             value = net.best_windows(t)[0]
         owner = np.repeat(np.arange(len(texts)), size)

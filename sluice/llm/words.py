@@ -96,19 +96,25 @@ def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, lower: bo
     """64-bit hash of each span of the bytes: equal bytes (lower-cased if asked), equal values.
 
     A polynomial in the byte values, normalised to the span's start.  Spans
-    ascend and do not overlap.
+    ascend and do not overlap.  About a MB is hashed at a time, so that the
+    tables of powers stay small.
     """
-    if not len(first):
-        return EMPTY
-    up, down = _powers(len(data))
-    value = (_BYTE_LOWER if lower else _BYTE)[data]
-    value *= up[: len(data)]
-    edges = np.empty(2 * len(first), np.int64)
-    edges[0::2], edges[1::2] = first, last
-    if edges[-1] == len(data):
-        edges = edges[:-1]
-    total = np.add.reduceat(value, edges)[0::2]
-    return mix(total * down[first] + (last - first).astype(np.uint64))
+    out = np.empty(len(first), np.uint64)
+    table = _BYTE_LOWER if lower else _BYTE
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(last, first[i] + (1 << 20), side="right")))
+        base = first[i]
+        a, b = first[i:j] - base, last[i:j] - base
+        value = table[data[base : last[j - 1]]]
+        up, down = _powers(len(value))
+        value *= up[: len(value)]
+        edges = np.empty(2 * len(a), np.int64)
+        edges[0::2], edges[1::2] = a, b
+        total = np.add.reduceat(value, edges[:-1])[0::2]
+        out[i:j] = mix(total * down[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 def word_hashes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
