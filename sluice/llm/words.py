@@ -7,6 +7,7 @@ string column at once, so no Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,15 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: workers stay for later stages, and others use their executor meanwhile."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def blocks(column: pa.Array | pa.ChunkedArray, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The whole column as (bytes, offsets) of texts in turn, `size` bytes or one text at a time."""
     data, offsets = text_bytes(column)
@@ -58,6 +68,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, size: int = 1 << 20) -> Iterator[
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
         yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    tidy()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
