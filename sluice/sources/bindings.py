@@ -11,30 +11,41 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 START = 1704067200
 
-_TEXT = """CASE doc_id % 12
+#: Every document is a message with its whole text; made-up parts stand before or after it.
+_WHOLE = """CASE doc_id % 12
     WHEN 0 THEN concat(text, ' 看这里 https://promo', CAST(doc_id % 7 AS STRING), '.example/a。')
     WHEN 1 THEN concat(text, ' @promo_bot 拿码收钱来 ', CAST(doc_id AS STRING))
-    WHEN 2 THEN concat('日赚过万 点击领取教程 ', CAST(doc_id % 3 AS STRING), ' ', substring(text, 1, 80))
-    WHEN 3 THEN concat(substring(text, 1, 200), ' (www.Site', CAST(doc_id % 5 AS STRING), '.example/p?q=1). mail a.b@c.example!')
+    WHEN 2 THEN concat('日赚过万 点击领取教程 ', CAST(doc_id % 3 AS STRING), ' ', text)
+    WHEN 3 THEN concat(text, ' (www.Site', CAST(doc_id % 5 AS STRING), '.example/p?q=1). mail a.b@c.example!')
     WHEN 4 THEN concat('赚​钱 123 🚀 ', text)
-    WHEN 5 THEN concat('ＦＲＥＥ　ｍｏｎｅｙ！ ', substring(text, 1, 300))
+    WHEN 5 THEN concat('ＦＲＥＥ　ｍｏｎｅｙ！ ', text)
+    WHEN 6 THEN concat('加群日结兼职 一天几百 t.me/abc ', text)
+    WHEN 7 THEN concat('!!! ... 123 ', text)
+    WHEN 8 THEN concat('今天天气真不错 大家觉得呢 https://a', CAST(doc_id % 2 AS STRING), '.example/x ', text)
+    WHEN 9 THEN concat('https://www.example.com/article ', text)
+    ELSE text END"""
+_SHORT = """CASE doc_id % 12
     WHEN 6 THEN '加群日结兼职 一天几百 t.me/abc'
     WHEN 7 THEN '!!! ... 123'
     WHEN 8 THEN concat('今天天气真不错 大家觉得呢 https://a', CAST(doc_id % 2 AS STRING), '.example/x')
-    WHEN 9 THEN CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'https://www.example.com/article' END
-    ELSE text END"""
+    ELSE CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'https://www.example.com/article' END END"""
+#: Added to the ids of short messages; a multiple of all moduli on ids that choose a message's kind.
+SHORT_IDS = 1_200_000_000
+#: A message of each document and, besides them, short messages that recur word for word.
+_SENT = f"""(SELECT CAST(doc_id AS BIGINT) AS doc_id, {_WHOLE} AS text FROM {{documents}}
+  UNION ALL SELECT CAST(doc_id AS BIGINT) + {SHORT_IDS}, {_SHORT} FROM {{documents}} WHERE doc_id % 12 IN (6, 7, 8, 9)) AS sent"""
 
 #: One busy sender among many.
 _WHO = "CAST(CASE WHEN doc_id % 24 = 6 THEN 4 ELSE doc_id % 20 END AS BIGINT) AS chat_id, CAST(CASE WHEN doc_id % 24 = 6 THEN 5 ELSE doc_id % 97 END AS BIGINT)"
 
 RELATIONS = {
     "messages": f"""SELECT CAST(doc_id AS BIGINT) AS message_id, {_WHO} AS user_id,
-  CAST({START} + doc_id * 37 AS BIGINT) AS created_at, {_TEXT} AS text,
+  CAST({START} + doc_id * 37 AS BIGINT) AS created_at, text,
   CASE WHEN doc_id % 12 IN (7, 10) THEN concat('https://WWW.Spam', CAST(doc_id % 3 AS STRING), '.example/x.') END AS preview_url,
   CASE WHEN doc_id % 11 = 3 THEN 'edited_message' ELSE 'message' END AS update_type,
   CASE WHEN doc_id % 9 = 4 THEN 'private' WHEN doc_id % 9 = 5 THEN 'group' ELSE 'supergroup' END AS chat_type,
   doc_id % 13 = 5 AS is_automatic_forward, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 20 AS BIGINT) WHEN doc_id % 3 = 1 THEN CAST(-77 AS BIGINT) END AS sender_chat_id
-  FROM {{documents}}""",
+  FROM {_SENT}""",
     "user_reputation": """SELECT CAST(c_custkey % 20 AS BIGINT) AS chat_id, CAST(c_custkey % 97 AS BIGINT) AS user_id,
   greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), (c_acctbal + 1000) / 110)) AS reputation_score, CAST(c_custkey % 5 AS BIGINT) AS messages_seen
   FROM {customer} WHERE c_custkey < 1940 AND c_custkey % 3 <> 0""",
@@ -47,7 +58,7 @@ RELATIONS = {
   CAST(event_id AS BIGINT) AS seq, CAST({START} + event_id * 11 AS BIGINT) AS ts FROM {{events}}""",
     "vote_sessions": f"""SELECT CAST(doc_id AS BIGINT) AS id, {_WHO} AS suspect_user_id, CAST(doc_id AS BIGINT) AS original_message_id,
   CASE doc_id % 5 WHEN 0 THEN 'confirmed_spam' WHEN 1 THEN 'released' ELSE 'open' END AS status,
-  CAST({START} + doc_id * 37 AS BIGINT) AS created_at, CAST({START} + doc_id * 37 + 1800 AS BIGINT) AS expires_at FROM {{documents}} WHERE doc_id % 12 IN (1, 2, 6, 8)""",
+  CAST({START} + doc_id * 37 AS BIGINT) AS created_at, CAST({START} + doc_id * 37 + 1800 AS BIGINT) AS expires_at FROM {_SENT} WHERE doc_id % 12 IN (1, 2, 6, 8)""",
     "verdicts": """SELECT CAST(doc_id % 20 AS BIGINT) AS chat_id, CAST(doc_id AS BIGINT) AS message_id, CASE WHEN doc_id % 10 = 9 THEN 'failed' ELSE 'ok' END AS status,
   toxic = 1 OR doc_id % 6 = 2 AS is_spam, CAST(60 + doc_id % 40 AS DOUBLE) / 100 AS confidence FROM {labels}""",
     "reputation_events": """SELECT CAST(event_id AS BIGINT) AS seq, CAST(event_id % 20 AS BIGINT) AS chat_id, CAST(user_id AS BIGINT) AS user_id,

@@ -195,3 +195,9 @@ def test_ties_and_repeated_rows_do_not_count_twice(spark):
     df = spark.createDataFrame([("s", 1, 5, 100), ("s", 2, 5, 100), ("s", 3, 6, 100), ("s", 3, 6, 100), ("s", 4, None, 100)], "skeleton_hash string, message_id long, user_id long, created_at long")
     got = {r.message_id: r.prior_senders for r in prior_senders(df, 300).collect()}
     assert got == {1: 0, 2: 0, 3: 1, 4: 2}
+
+
+def test_every_document_is_sent_whole(spark):
+    documents = relation(spark, SF, "documents").withColumnRenamed("doc_id", "message_id").withColumnRenamed("text", "whole")
+    sent = documents.join(relation(spark, SF, "messages"), "message_id", "left")
+    assert sent.count() == documents.count() and sent.where("text is null or not contains(text, whole)").count() == 0
