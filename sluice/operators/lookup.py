@@ -24,6 +24,23 @@ def with_profile(messages: DataFrame, profiles: DataFrame) -> DataFrame:
     return messages.join(known, "user_id", "left")
 
 
+#: Fields whose phrases are looked up besides the message's own, in this order.
+PREVIEW_FIELDS = ("title", "description", "site_name", "image_alt", "text")
+PROFILE_FIELDS = ("username", "display_name", "first_name", "last_name", "bio")
+
+
+def with_preview(messages: DataFrame, previews: DataFrame) -> DataFrame:
+    """Adds og_ and each of `PREVIEW_FIELDS` of the message's link; a field that `previews` (url and og_ columns) lacks is null."""
+    fields = [f"og_{f}" for f in PREVIEW_FIELDS]
+    known = previews.select(F.col("url").alias("og_url"), *((F.col(f) if f in previews.columns else F.lit(None).cast("string")).alias(f) for f in fields))
+    return messages.join(known, F.rtrim("preview_url", F.lit(".")) == F.col("og_url"), "left")
+
+
+def phrase_fields() -> tuple[Column, ...]:
+    """The preview's and the sender's texts, after `with_preview` and `with_profile`."""
+    return tuple(F.col(f"og_{f}") for f in PREVIEW_FIELDS) + tuple(F.col(f) for f in PROFILE_FIELDS)
+
+
 def lookup_keys(phrase_texts: tuple[Column, ...] = ()) -> Column:
     """Array of (type, value, place) under which a message's fingerprints may be known, strongest evidence first."""
     none = F.array().cast("array<struct<type:string,value:string>>")

@@ -107,15 +107,24 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     return state.upsert_fingerprints(evidence(rows))
 
 
+def known_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with their sender's profile and their link's preview."""
+    rows = lookup.with_profile(messages(spark, sf_dir), relation(spark, sf_dir, "user_profiles"))
+    return lookup.with_preview(rows, _rel(spark, sf_dir, "og"))
+
+
+def strongest(spark: SparkSession, sf_dir: str, known: DataFrame) -> DataFrame:
+    """The heaviest of the fingerprints `known` of every message, its link's preview and its sender's profile."""
+    return lookup.strongest_fingerprint(known_messages(spark, sf_dir), known, phrase_texts=lookup.phrase_fields())
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole local decision of every message."""
     rows = messages(spark, sf_dir)
-    best = lookup.strongest_fingerprint(rows, fingerprints(rows))
+    best = strongest(spark, sf_dir, fingerprints(rows))
     repeats = lookup.prior_senders(rows, WINDOW)
     again = lookup.open_repeats(rows, sessions(spark, sf_dir), SETTINGS)
-    rows = lookup.with_profile(lookup.with_context(rows, relation(spark, sf_dir, "user_reputation")), relation(spark, sf_dir, "user_profiles"))
-    preview = _rel(spark, sf_dir, "og").withColumnRenamed("url", "og_url")
-    rows = rows.join(preview, F.rtrim("preview_url", F.lit(".")) == F.col("og_url"), "left")
+    rows = lookup.with_context(known_messages(spark, sf_dir), relation(spark, sf_dir, "user_reputation"))
     for more in (best, repeats, again):
         rows = rows.join(more, "message_id", "left")
     return rules.decide(rows, SETTINGS)
@@ -180,8 +189,7 @@ def fingerprint_upsert(spark, sf_dir):
 
 @query(chain("evidence", "fingerprints", "keys", "strongest") + "SELECT * FROM strongest")
 def strongest_fingerprint(spark, sf_dir):
-    rows = messages(spark, sf_dir)
-    return lookup.strongest_fingerprint(rows, fingerprints(rows))
+    return strongest(spark, sf_dir, fingerprints(messages(spark, sf_dir)))
 
 
 @query(D.with_(*_TEXTS, "repeats") + "SELECT * FROM repeats")

@@ -10,7 +10,7 @@ from sluice.operators.previews import previews, raw_title
 from sluice.sources.bindings import START, relation
 
 from . import duck as D
-from .decision_queries import _TEXTS, _rel, chain, evidence, fingerprints, messages, sessions
+from .decision_queries import _TEXTS, _rel, chain, evidence, fingerprints, messages, sessions, strongest
 from .registry import query
 
 
@@ -46,11 +46,8 @@ _HITS = "hits AS (SELECT fp_value AS value, count(*) AS hits FROM strongest GROU
 
 @query(chain("evidence", "fingerprints", "keys", "strongest").rstrip() + f",\n{_HITS}\nSELECT f.value, coalesce(hits, 0) AS hits, greatest(weight, least(weight + 5 * coalesce(hits, 0), 80.0::DOUBLE)) AS weight FROM fingerprints f LEFT JOIN hits USING (value)")
 def hit_weight(spark, sf_dir):
-    from sluice.operators.lookup import strongest_fingerprint
-
-    rows = messages(spark, sf_dir)
-    known = fingerprints(rows)
-    hits = strongest_fingerprint(rows, known).groupBy(F.col("fp_value").alias("value")).agg(F.count("*").alias("hits"))
+    known = fingerprints(messages(spark, sf_dir))
+    hits = strongest(spark, sf_dir, known).groupBy(F.col("fp_value").alias("value")).agg(F.count("*").alias("hits"))
     out = known.join(hits, "value", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("bigint")))
     return out.select("value", "hits", state.hit_weight(F.col("weight"), F.col("hits")).alias("weight"))
 

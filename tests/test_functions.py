@@ -201,3 +201,23 @@ def test_every_document_is_sent_whole(spark):
     documents = relation(spark, SF, "documents").withColumnRenamed("doc_id", "message_id").withColumnRenamed("text", "whole")
     sent = documents.join(relation(spark, SF, "messages"), "message_id", "left")
     assert sent.count() == documents.count() and sent.where("text is null or not contains(text, whole)").count() == 0
+
+
+def test_phrases_of_profile_and_preview_are_looked_up(spark, monkeypatch):
+    from sluice.plans import QUERIES
+    from sluice.plans import decision_queries as Q
+
+    def known(rows):
+        phrases = spark.createDataFrame([(1, "轻松日入过万"), (2, "成人版")], "id long, p string")
+        return phrases.select("id", F.lit("phrase").alias("fingerprint_type"), R.phrase_hash(F.col("p")).alias("value"), (F.lit(95.0) + F.col("id")).alias("weight"))
+
+    # The message's own phrases come first, so only short messages leave room for others within the limit.
+    messages = Q.messages(spark, SF).where("length(text) < 100").select("message_id", "user_id", "preview_url")
+    bios = relation(spark, SF, "user_profiles").where("bio like '%轻松日入过万%'").select("user_id")
+    of_profile = {r.message_id for r in messages.join(bios, "user_id").collect()}
+    of_preview = {r.message_id for r in messages.where("preview_url like '%Spam1%'").collect()}
+    monkeypatch.setattr(Q, "fingerprints", known)
+    rows = QUERIES["strongest_fingerprint"](spark, SF).join(messages, "message_id").collect()
+    found = {r.message_id: r.fp_id for r in rows}
+    assert of_profile and of_preview
+    assert found == {m: 2 if m in of_preview else 1 for m in of_profile | of_preview}
