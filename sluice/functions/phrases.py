@@ -24,9 +24,12 @@ def candidates(*clean: Column) -> Column:
     def grams(run: Column) -> Column:
         n = F.length(run)
         sizes = F.sequence(F.lit(LEAST), F.greatest(F.least(F.lit(MOST), n), F.lit(LEAST)))
-        # A run longer than the limit already fills it with its shortest n-grams.
-        at = lambda size: F.slice(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), 1, LIMIT)
-        made = F.flatten(F.transform(sizes, lambda size: F.transform(at(size), lambda i: F.substring(run, i, size))))
+        at = lambda size: F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))
+        # Single characters, bound by a lambda so that the run is split once, not for each n-gram.
+        chars = F.array(F.split(run, ""))
+        of_size = lambda cs, size: F.transform(at(size), lambda i: F.array_join(F.slice(cs, i, size), ""))
+        # Only distinct n-grams count to the limit, so none is left out before they are known.
+        made = F.flatten(F.flatten(F.transform(chars, lambda cs: F.transform(sizes, lambda size: F.slice(F.array_distinct(of_size(cs, size)), 1, LIMIT)))))
         return F.when(run.rlike("^[一-鿿]+$"), F.concat(F.array(run), made)).otherwise(F.array(run))
 
     def of(text: Column) -> Column:

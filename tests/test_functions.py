@@ -221,3 +221,9 @@ def test_phrases_of_profile_and_preview_are_looked_up(spark, monkeypatch):
     found = {r.message_id: r.fp_id for r in rows}
     assert of_profile and of_preview
     assert found == {m: 2 if m in of_preview else 1 for m in of_profile | of_preview}
+
+
+def test_phrases_of_a_long_repetitive_run(spark):
+    run = "哈" * 260 + "".join(chr(0x4E00 + i) for i in range(100))
+    grams = [run[i : i + size] for size in range(3, 13) for i in range(len(run) - size + 1)]
+    assert one(spark, R.candidates, run) == list(dict.fromkeys([run, *grams]))[:256]
