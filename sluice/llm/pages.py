@@ -1,8 +1,9 @@
 """HTML extraction: site template removal, then the article's blocks of text.
 
 Every element's subtree is hashed together with its page's host.  Spark counts
-on how many pages of a host each subtree recurs; subtrees on many pages are
-the site's template and are deleted, together with elements that their tag,
+on how many distinct pages of a host each subtree recurs, pages with the same
+body being one; subtrees on a good share of them are the site's template and
+are deleted, together with elements that their tag,
 role or class marks as menus, headers, footers, sidebars, notices, adverts,
 forms or reader comments.  What is left of the article is written block by
 block.  Within an article, text elements (paragraphs, headings, lists and so
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .urls import url_parts
 
-#: Pages of a host on which a subtree must recur to be template.
-MANY_PAGES = 10
+#: Distinct pages of a host, at least, and share of all of them on which a subtree must recur to be template.
+LEAST_PAGES, SHARE = 3, 0.3
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style".split())
@@ -143,10 +144,21 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool, bool]]:
         stack += [(c, inner, False) for c in reversed(node.children) if isinstance(c, Node)]
 
 
+def _key_of(host: str, content: bytes) -> int:
+    """64-bit hash of something on a host."""
+    return int.from_bytes(hashlib.blake2b(host.encode("utf-8", "replace") + b"\x00" + content, digest_size=8).digest(), "little", signed=True)
+
+
 def subtree_hashes(root: Node, host: str) -> dict[int, int]:
     """id(element) -> 64-bit hash of host, tag, class and content, of the elements that may be template."""
+    return _hashes(root, host)[0]
+
+
+def _hashes(root: Node, host: str) -> tuple[dict[int, int], int]:
+    """The subtree hashes, and the hash of host and whole body (of the whole page where it has none)."""
     digest: dict[int, bytes] = {}
     out = {}
+    whole = root
     for node, inside, begins in _walk(root):
         h = hashlib.blake2b(node.tag.encode(), digest_size=8)
         h.update(b"\x01" + node.attrs.get("class", "").encode("utf-8", "replace"))
@@ -160,9 +172,10 @@ def subtree_hashes(root: Node, host: str) -> dict[int, int]:
                 empty = False
         digest[id(node)] = h.digest()[: 7 if empty else 8]  # 7 bytes mark an element without text
         if not empty and not begins and node.tag in _BLOCK and node.tag not in ("html", "body") and not (inside and node.tag in _TEXT):
-            key = hashlib.blake2b(host.encode("utf-8", "replace") + b"\x00" + digest[id(node)], digest_size=8).digest()
-            out[id(node)] = int.from_bytes(key, "little", signed=True)
-    return out
+            out[id(node)] = _key_of(host, digest[id(node)])
+        if node.tag == "body":
+            whole = node
+    return out, _key_of(host, digest[id(whole)])
 
 
 def extract(html: str, host: str = "", template: frozenset[int] = frozenset()) -> str:
@@ -222,31 +235,37 @@ def _blocks(starts: list[Node], template: frozenset[int]) -> str:
     return "\n".join(blocks)
 
 
-def extract_pages(df: DataFrame, url: str = "url", html: str = "html", many: int = MANY_PAGES) -> DataFrame:
+def extract_pages(df: DataFrame, url: str = "url", html: str = "html", least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """Every row of `df` with `text` and `n_chars` (code points); a null page has an empty text.
 
-    Columns text and n_chars of `df` are replaced.  Rows with the same url and
-    html count as one page.
+    Columns text and n_chars of `df` are replaced.  Rows of a host with the
+    same body, under whatever urls, count as one page.
     """
     host, _ = url_parts(f"`{url}`")
     pages = df.drop("text", "n_chars").withColumn("_host", host).withColumn("_key", F.xxhash64(url, html))
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found = [], []
+            rows: list[tuple[int, int, int, int]] = []
             for key, host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = set(subtree_hashes(parse(html or ""), host).values())
-                keys += [key] * len(own)
-                found += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.int64())], names=["_key", "mark"])
+                if html:
+                    own, body = _hashes(parse(html), host)
+                    site = _key_of(host, b"")
+                    rows += [(key, site, body, mark) for mark in {site, *own.values()}]
+            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["_key", "site", "body", "mark"])
 
     def texts(keys: pa.Array, htmls: pa.Array, hosts: pa.Array, templates: pa.Array) -> pa.Array:
         rows = zip(htmls.to_pylist(), hosts.to_pylist(), templates.to_pylist(), strict=True)
         return pa.array([extract(html or "", host, frozenset(t or ())) for html, host, t in rows], pa.string())
 
-    found = pages.select("_key", "_host", html).mapInArrow(marks, "_key bigint, mark bigint")
-    counted = found.groupBy("mark").agg(F.count("*").alias("pages")).where(F.col("pages") >= many).select("mark")
-    lists = found.join(counted, "mark").groupBy("_key").agg(F.collect_set("mark").alias("_template"))
+    # A page's own row, whose mark is its site, counts the site's distinct pages.
+    found = written(pages.select("_key", "_host", html).mapInArrow(marks, "_key bigint, site bigint, body bigint, mark bigint"), "pages-marks")
+    counted = found.select("site", "mark", "body").distinct().groupBy("site", "mark").agg(F.count("*").alias("pages"))
+    own = F.col("mark") == F.col("site")
+    sizes = counted.where(own).select("site", F.col("pages").alias("all_pages"))
+    template = counted.where(~own & (F.col("pages") >= least)).join(sizes, "site").where(F.col("pages") >= share * F.col("all_pages")).select("mark")
+    lists = found.join(template, "mark").groupBy("_key").agg(F.collect_set("mark").alias("_template"))
     rows = pages.join(lists, "_key", "left")
     out = rows.withColumn("text", F.arrow_udf(texts, "string")("_key", html, "_host", "_template"))
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")).drop("_host", "_key", "_template")

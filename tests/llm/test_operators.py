@@ -224,6 +224,22 @@ def test_templates_go(spark):
     assert got == {**{i: f"own {i}" for i in range(12)}, 50: "Our letter is great\nown 50", 51: "", 52: ""}
 
 
+def test_copies_are_no_template_and_a_share_is(spark):
+    def page(own, box=""):
+        return f"<body>{box}<div class='text'>{own}</div></body>"
+
+    box = "<div class='box'>Our letter is great</div>"
+    rows = [("http://one.example/a", page("repeated row"))] * 12  # the same row again and again
+    rows += [(f"http://one.example/{i}", page("mirrored")) for i in range(12)]  # one page under many urls
+    rows += [(f"http://small.example/{i}", page(f"small {i}", box)) for i in range(4)]
+    rows += [(f"http://large.example/{i}", page(f"large {i}", box if i < 12 else "")) for i in range(100)]
+    got = pages.extract_pages(spark.createDataFrame(rows, "url string, html string")).collect()
+    texts = collections.Counter(r.text for r in got)
+    assert texts["repeated row"] == 12 and texts["mirrored"] == 12
+    assert all(texts[f"small {i}"] == 1 for i in range(4))
+    assert all(texts[f"Our letter is great\nlarge {i}" if i < 12 else f"large {i}"] == 1 for i in range(100))
+
+
 def test_cascade_is_exact(spark):
     universe = [f"k{i}" for i in range(3000)]
     listed = {f"k{i}" for i in range(0, 3000, 7)} | {"absent"}
