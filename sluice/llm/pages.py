@@ -7,7 +7,8 @@ are deleted, together with elements that their tag,
 role or class marks as menus, headers, footers, sidebars, notices, adverts,
 forms or reader comments.  What is left of the article is written block by
 block.  Within an article, text elements (paragraphs, headings, lists and so
-on) are never taken for template: passages that several articles share stay.
+on) are template only if nearly all pages of the host have them: passages that
+several articles share stay.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .urls import url_parts
 
 #: Distinct pages of a host, at least, and share of all of them on which a subtree must recur to be template.
 LEAST_PAGES, SHARE = 3, 0.3
+#: The same for text elements within an article, which only notices on nearly every page reach.
+LEAST_WITHIN, SHARE_WITHIN = 10, 0.8
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style".split())
@@ -34,7 +37,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that hold an article's text; not template within one.
+#: Elements that hold an article's text; within one, template on nearly all pages only.
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption b i em strong a span code".split())
 #: Start tags that end an open element: of the same kind, up to the nearest of the second set.
 _ENDS = {
@@ -145,12 +148,15 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool, bool]]:
 
 
 def _key_of(host: str, content: bytes) -> int:
-    """64-bit hash of something on a host."""
-    return int.from_bytes(hashlib.blake2b(host.encode("utf-8", "replace") + b"\x00" + content, digest_size=8).digest(), "little", signed=True)
+    """Hash of something on a host: 63 bits and a last bit of 0."""
+    return int.from_bytes(hashlib.blake2b(host.encode("utf-8", "replace") + b"\x00" + content, digest_size=8).digest(), "little", signed=True) & ~1
 
 
 def subtree_hashes(root: Node, host: str) -> dict[int, int]:
-    """id(element) -> 64-bit hash of host, tag, class and content, of the elements that may be template."""
+    """id(element) -> hash of host, tag, class and content, of the elements that may be template.
+
+    The last bit is 1 for text elements within an article.
+    """
     return _hashes(root, host)[0]
 
 
@@ -171,8 +177,8 @@ def _hashes(root: Node, host: str) -> tuple[dict[int, int], int]:
                 h.update(b"\x03" + _SPACES.sub(" ", c).strip().encode("utf-8", "replace"))
                 empty = False
         digest[id(node)] = h.digest()[: 7 if empty else 8]  # 7 bytes mark an element without text
-        if not empty and not begins and node.tag in _BLOCK and node.tag not in ("html", "body") and not (inside and node.tag in _TEXT):
-            out[id(node)] = _key_of(host, digest[id(node)])
+        if not empty and not begins and node.tag in _BLOCK and node.tag not in ("html", "body"):
+            out[id(node)] = _key_of(host, digest[id(node)]) | (inside and node.tag in _TEXT)
         if node.tag == "body":
             whole = node
     return out, _key_of(host, digest[id(whole)])
@@ -264,7 +270,11 @@ def extract_pages(df: DataFrame, url: str = "url", html: str = "html", least: in
     counted = found.select("site", "mark", "body").distinct().groupBy("site", "mark").agg(F.count("*").alias("pages"))
     own = F.col("mark") == F.col("site")
     sizes = counted.where(own).select("site", F.col("pages").alias("all_pages"))
-    template = counted.where(~own & (F.col("pages") >= least)).join(sizes, "site").where(F.col("pages") >= share * F.col("all_pages")).select("mark")
+    within = F.col("mark").bitwiseAND(F.lit(1)) == 1
+    enough = F.col("pages") >= F.when(within, F.greatest(F.lit(least), F.lit(LEAST_WITHIN))).otherwise(least)
+    often = F.col("pages") >= F.when(within, F.greatest(F.lit(share), F.lit(SHARE_WITHIN))).otherwise(share) * F.col("all_pages")
+    # Stored, so that its size is known before the join and all marks are not shuffled for a small table.
+    template = written(counted.where(~own & enough).join(sizes, "site").where(often).select("mark"), "pages-template")
     lists = found.join(template, "mark").groupBy("_key").agg(F.collect_set("mark").alias("_template"))
     rows = pages.join(lists, "_key", "left")
     out = rows.withColumn("text", F.arrow_udf(texts, "string")("_key", html, "_host", "_template"))

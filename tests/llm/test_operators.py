@@ -240,6 +240,16 @@ def test_copies_are_no_template_and_a_share_is(spark):
     assert all(texts[f"Our letter is great\nlarge {i}" if i < 12 else f"large {i}"] == 1 for i in range(100))
 
 
+def test_notices_within_articles_go_and_shared_passages_stay(spark):
+    def page(i):
+        shared = "<p>A passage of several articles" if i < 8 else ""
+        return f"<body><article><h1>Title {i}</h1><p>own {i}{shared}<p>Write to us for more<ul><li>Follow<li>Subscribe</ul></article></body>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(20)]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nown {i}" + ("\nA passage of several articles" if i < 8 else "") for i in range(20)}
+
+
 def test_cascade_is_exact(spark):
     universe = [f"k{i}" for i in range(3000)]
     listed = {f"k{i}" for i in range(0, 3000, 7)} | {"absent"}
