@@ -35,8 +35,9 @@ SHORT_IDS = 1_200_000_000
 _SENT = f"""(SELECT CAST(doc_id AS BIGINT) AS doc_id, {_WHOLE} AS text FROM {{documents}}
   UNION ALL SELECT CAST(doc_id AS BIGINT) + {SHORT_IDS}, {_SHORT} FROM {{documents}} WHERE doc_id % 12 IN (6, 7, 8, 9)) AS sent"""
 
-#: One busy sender among many.
-_WHO = "CAST(CASE WHEN doc_id % 24 = 6 THEN 4 ELSE doc_id % 20 END AS BIGINT) AS chat_id, CAST(CASE WHEN doc_id % 24 = 6 THEN 5 ELSE doc_id % 97 END AS BIGINT)"
+#: One busy sender, 97 regular ones, and others whose number grows with the documents.
+_WHO = f"""CAST(CASE WHEN doc_id % 24 = 6 THEN 4 ELSE doc_id % 20 END AS BIGINT) AS chat_id,
+  CAST(CASE WHEN doc_id % 24 = 6 THEN 5 WHEN doc_id % 2 = 0 THEN doc_id % 97 ELSE doc_id % {SHORT_IDS} END AS BIGINT)"""
 
 RELATIONS = {
     "messages": f"""SELECT CAST(doc_id AS BIGINT) AS message_id, {_WHO} AS user_id,
@@ -46,19 +47,20 @@ RELATIONS = {
   CASE WHEN doc_id % 9 = 4 THEN 'private' WHEN doc_id % 9 = 5 THEN 'group' ELSE 'supergroup' END AS chat_type,
   doc_id % 13 = 5 AS is_automatic_forward, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 20 AS BIGINT) WHEN doc_id % 3 = 1 THEN CAST(-77 AS BIGINT) END AS sender_chat_id
   FROM {_SENT}""",
-    "user_reputation": """SELECT CAST(c_custkey % 20 AS BIGINT) AS chat_id, CAST(c_custkey % 97 AS BIGINT) AS user_id,
-  greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), (c_acctbal + 1000) / 110)) AS reputation_score, CAST(c_custkey % 5 AS BIGINT) AS messages_seen
-  FROM {customer} WHERE c_custkey < 1940 AND c_custkey % 3 <> 0""",
+    # Every customer in its own name, and as one of the regular senders, of whom the last customer counts.
+    "user_reputation": """SELECT chat_id, user_id, greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), (max_by(c_acctbal, c_custkey) + 1000) / 110)) AS reputation_score, CAST(max(c_custkey) % 5 AS BIGINT) AS messages_seen
+  FROM (SELECT CAST(c_custkey % 20 AS BIGINT) AS chat_id, CAST(c_custkey AS BIGINT) AS user_id, c_acctbal, c_custkey FROM {customer}
+    UNION ALL SELECT CAST(c_custkey % 20 AS BIGINT), CAST(c_custkey % 97 AS BIGINT), c_acctbal, c_custkey FROM {customer} WHERE c_custkey >= 97) AS known GROUP BY chat_id, user_id""",
     "user_profiles": f"""SELECT CAST(c_custkey AS BIGINT) AS user_id, concat('user', CAST(c_custkey AS STRING)) AS username, c_name AS first_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS last_name,
   CASE c_custkey % 7 WHEN 1 THEN '点击进群了解 https://t.me/+abc 做单教程' WHEN 2 THEN '轻松日入过万： @someone' WHEN 3 THEN '私聊 频道 https://t.me/x' WHEN 4 THEN '兼职' END AS bio,
   CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST({START} + c_custkey * 20000 AS BIGINT) END AS bio_fetched_at
-  FROM {{customer}} WHERE c_custkey < 97 AND c_custkey % 5 <> 0""",
+  FROM {{customer}}""",
     "votes": f"""SELECT CAST(event_id % 500 AS BIGINT) AS session_id, CAST(user_id AS BIGINT) AS voter_user_id,
   CASE event_type WHEN 'error' THEN 'spam' WHEN 'purchase' THEN 'spam' WHEN 'click' THEN 'ham' WHEN 'view' THEN 'ham' ELSE 'other' END AS vote,
   CAST(event_id AS BIGINT) AS seq, CAST({START} + event_id * 11 AS BIGINT) AS ts FROM {{events}}""",
     "vote_sessions": f"""SELECT CAST(doc_id AS BIGINT) AS id, {_WHO} AS suspect_user_id, CAST(doc_id AS BIGINT) AS original_message_id,
   CASE doc_id % 5 WHEN 0 THEN 'confirmed_spam' WHEN 1 THEN 'released' ELSE 'open' END AS status,
-  CAST({START} + doc_id * 37 AS BIGINT) AS created_at, CAST({START} + doc_id * 37 + 1800 AS BIGINT) AS expires_at FROM {_SENT} WHERE doc_id % 12 IN (1, 2, 6, 8)""",
+  CAST({START} + doc_id * 37 AS BIGINT) AS created_at, CAST({START} + doc_id * 37 + 1800 AS BIGINT) AS expires_at FROM {_SENT}""",
     "verdicts": """SELECT CAST(doc_id % 20 AS BIGINT) AS chat_id, CAST(doc_id AS BIGINT) AS message_id, CASE WHEN doc_id % 10 = 9 THEN 'failed' ELSE 'ok' END AS status,
   toxic = 1 OR doc_id % 6 = 2 AS is_spam, CAST(60 + doc_id % 40 AS DOUBLE) / 100 AS confidence FROM {labels}""",
     "reputation_events": """SELECT CAST(event_id AS BIGINT) AS seq, CAST(event_id % 20 AS BIGINT) AS chat_id, CAST(user_id AS BIGINT) AS user_id,

@@ -227,3 +227,14 @@ def test_phrases_of_a_long_repetitive_run(spark):
     run = "哈" * 260 + "".join(chr(0x4E00 + i) for i in range(100))
     grams = [run[i : i + size] for size in range(3, 13) for i in range(len(run) - size + 1)]
     assert one(spark, R.candidates, run) == list(dict.fromkeys([run, *grams]))[:256]
+
+
+def test_relations_take_every_row(spark):
+    customers, messages = relation(spark, SF, "customer"), relation(spark, SF, "messages")
+    ids = {r.c_custkey for r in customers.collect()}
+    for name in ("user_profiles", "user_reputation"):
+        rows = relation(spark, SF, name)
+        key = ["user_id"] if name == "user_profiles" else ["chat_id", "user_id"]
+        assert ids <= {r.user_id for r in rows.collect()} and rows.count() == rows.select(*key).distinct().count()
+    assert relation(spark, SF, "vote_sessions").count() == messages.count()
+    assert messages.select("user_id").distinct().count() > 97
