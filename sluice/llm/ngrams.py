@@ -4,9 +4,10 @@ The model.  P1(w) = (c(w) + 1) / (N + V + 1).  For longer contexts h, with the
 context h' that lacks h's first token,
     P(w | h) = (c(h w) + K P(w | h')) / (c(h) + K)   if c(h) > 0, else P(w | h').
 Every n-gram seen in training is a state; an arc leads from h over w if h w was
-seen, and a failure arc of weight K / (c(h) + K) leads from h to h'.  A text is
-read once from left to right: the state is the longest known context, and the
-log-probabilities of the arcs taken add up.
+seen, and a failure arc of weight K / (c(h) + K) leads from h to h'.  The
+automaton is not traversed: its arcs' weights follow from the counts, so the
+arcs that a reading from left to right would take are evaluated for all tokens
+at once, order by order, and their log-probabilities add up to the same scores.
 
 The work.  Documents fall by hash into chunks of bounded size.  A chunk asks
 for the training counts of its distinct n-grams, and gives its own counts of
@@ -203,10 +204,10 @@ class Automaton:
     """The part of the automaton that a chunk's texts reach, laid out by token.
 
     `level[k]` has, for the k-gram that ends at each token, its training count;
-    a k-gram with a count is a state and has an arc into it.  All texts of the
-    chunk are read at once: token by token each text is in the state of its
-    longest known context, follows failure arcs to shorter ones until a state
-    has an arc for the token, and takes it.
+    a k-gram with a count is a state and has an arc into it.  No state is carried
+    from token to token: all tokens of the chunk are evaluated at once, from the
+    shortest context to the longest, which gives the weights of the failure arcs
+    and the arc that a traversal would take.
     """
 
     def __init__(self, single: np.ndarray, begin: int, longer: list[np.ndarray], offsets: np.ndarray, base: np.ndarray, prior: float):
