@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.operators import reports, scoring, state
-from sluice.operators.lookup import with_context
+from sluice.operators.lookup import PREVIEW_FIELDS, PROFILE_FIELDS, with_context
 from sluice.operators.previews import previews, raw_title
 from sluice.sources.bindings import START, relation
 
 from . import duck as D
-from .decision_queries import _TEXTS, _rel, chain, evidence, fingerprints, messages, sessions, strongest
+from .decision_queries import _TEXTS, _rel, chain, evidence, fingerprints, known_messages, messages, sessions, strongest
 from .registry import query
 
 
@@ -145,7 +145,10 @@ def og_parse(spark, sf_dir):
 
 @query()
 def llm_payload(spark, sf_dir):
-    return with_context(messages(spark, sf_dir), relation(spark, sf_dir, "user_reputation")).select("message_id", scoring.payload().alias("payload"))
+    rows = with_context(known_messages(spark, sf_dir), relation(spark, sf_dir, "user_reputation"))
+    profile = F.when(F.col("username").isNotNull(), F.struct("user_id", *PROFILE_FIELDS))
+    preview = F.when(F.col("og_url").isNotNull(), F.struct(F.col("og_url").alias("url"), *(F.col(f"og_{f}").alias(f) for f in PREVIEW_FIELDS)))
+    return rows.select("message_id", scoring.payload(profile, preview).alias("payload"))
 
 
 _REPLY = """SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN '```json ' ELSE 'so: ' END, '{{"is_spam": ', CASE toxic WHEN 1 THEN 'true' ELSE 'false' END, ', "confidence": ', CAST(CAST(doc_id % 15 AS DOUBLE) / 10 AS STRING),

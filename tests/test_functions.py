@@ -238,3 +238,16 @@ def test_relations_take_every_row(spark):
         assert ids <= {r.user_id for r in rows.collect()} and rows.count() == rows.select(*key).distinct().count()
     assert relation(spark, SF, "vote_sessions").count() == messages.count()
     assert messages.select("user_id").distinct().count() > 97
+
+
+def test_requests_have_profile_and_preview(spark):
+    import json
+
+    from sluice.plans import QUERIES
+
+    asked = {r.message_id: json.loads(r.payload) for r in QUERIES["llm_payload"](spark, SF).collect()}
+    users = {r.user_id: r.bio for r in relation(spark, SF, "user_profiles").collect()}
+    for m in relation(spark, SF, "messages").collect():
+        profile, preview = asked[m.message_id]["sender_profile"], asked[m.message_id]["og_preview"]
+        assert profile["bio"] == users[m.user_id] if m.user_id in users else profile is None
+        assert preview["text"] == "推特 成人版 视频" if m.preview_url == "https://WWW.Spam1.example/x." else preview is None
