@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import text as T
 
@@ -76,17 +79,66 @@ def trigrams(clean: Column) -> Column:
 
 
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, simhash (unsigned decimal text) of each row; keys are unique.
+    """key, simhash (unsigned decimal text) of each row.
 
     A bit is set where more trigrams have it than have not, repeated ones
-    counted as often.  All trigrams of a row are in one partition, so the sums
-    are partial before their shuffle and one row a key crosses it.
+    counted as often.  Arrow batches, no shuffle: a worker hashes a trigram
+    once and remembers it, and a block of texts is one product of their counts
+    of trigrams with the trigrams' bits.
     """
-    rows = df.select(key, F.explode_outer(trigrams(T.normalize(F.col(text)))).alias("gram"))
-    low = F.conv(F.substring(F.sha2("gram", 256), 49, 16), 16, -10).cast("bigint")
-    rows = rows.select(key, low.alias("low"))
-    one = lambda k: F.sum(F.coalesce(F.getbit("low", F.lit(k)).cast("int") * 2 - 1, F.lit(0)))
-    summed = rows.groupBy(key).agg(F.array(*[one(k) for k in range(64)]).alias("votes"))
-    value = F.aggregate("votes", F.struct(F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("bits")), lambda a, v: F.struct(
-        (a["at"] + 1).alias("at"), F.when(v > 0, a["bits"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), a["at"]))).otherwise(a["bits"]).alias("bits")), lambda a: a["bits"])
-    return summed.select(key, F.conv(F.hex(value), 16, 10).alias("simhash"))
+    return df.select(key, simhash_of(T.normalize(F.coalesce(F.col(text), F.lit("")))).alias("simhash"))
+
+
+def simhash_of(clean: Column) -> Column:
+    """SimHash of a normalised text."""
+    return _simhash(F.regexp_replace(clean, f"{T.SPACE}+", ""))
+
+
+#: Trigrams whose hashes a worker remembers; beyond, it forgets all and starts again.
+KEPT_GRAMS = 1 << 20
+_HASHES: dict[int, int] = {}
+
+
+def _gram_hash(code: int) -> int:
+    """Last 64 bits of the SHA-256 of the characters in a code of 21 bits each, the last character in the lowest."""
+    if code not in _HASHES:
+        if len(_HASHES) >= KEPT_GRAMS:
+            _HASHES.clear()
+        chars = [(code >> 42) & 0x1FFFFF, (code >> 21) & 0x1FFFFF, code & 0x1FFFFF]
+        gram = "".join(chr(c - 1) for c in chars if c)
+        _HASHES[code] = int.from_bytes(hashlib.sha256(gram.encode()).digest()[-8:], "big")
+    return _HASHES[code]
+
+
+def simhashes(texts: list[str]) -> np.ndarray:
+    """SimHash of each text as it is, without regard to spaces."""
+    units = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64) + 1  # 0 is no character
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size) - size
+    count = np.where(size > 3, size - 2, (size > 0).astype(np.int64))
+    owner = np.repeat(np.arange(len(texts)), count)
+    at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+    last = np.repeat(begin + size, count)
+    code = np.zeros(len(at), np.int64)
+    for k in range(3):
+        inside = at + k < last
+        code = np.where(inside, (code << 21) | units[np.minimum(at + k, max(len(units) - 1, 0))], code) if len(units) else code
+    grams, which = np.unique(code, return_inverse=True)
+    hashes = np.fromiter(map(_gram_hash, grams.tolist()), np.uint64, len(grams))
+    signs = (((hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64) * 2 - 1).reshape(-1, 64)
+    counts = np.bincount(owner * max(len(grams), 1) + which, minlength=len(texts) * max(len(grams), 1)).reshape(len(texts), -1).astype(np.float64)
+    votes = counts[:, : len(grams)] @ signs
+    return ((votes > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
+@F.arrow_udf(StringType())
+def _simhash(column: pa.Array) -> pa.Array:
+    texts, out, i = column.to_pylist(), [], 0
+    while i < len(texts):
+        j, chars = i, 0
+        while j < len(texts) and (j == i or (chars + len(texts[j]) <= 1 << 16 and j - i < 64)):
+            chars += len(texts[j])
+            j += 1
+        out += map(str, simhashes(texts[i:j]).tolist())
+        i = j
+    return pa.array(out, pa.string())

@@ -30,10 +30,12 @@ def candidates(*clean: Column) -> Column:
         of_size = lambda cs, size: F.transform(at(size), lambda i: F.array_join(F.slice(cs, i, size), ""))
         # Only distinct n-grams count to the limit, so none is left out before they are known.
         made = F.flatten(F.flatten(F.transform(chars, lambda cs: F.transform(sizes, lambda size: F.slice(F.array_distinct(of_size(cs, size)), 1, LIMIT)))))
-        return F.when(run.rlike("^[一-鿿]+$"), F.concat(F.array(run), made)).otherwise(F.array(run))
+        # A run is all CJK or all Latin, so its first character tells which.
+        return F.when(run >= "一", F.concat(F.array(run), made)).otherwise(F.array(run))
 
     def of(text: Column) -> Column:
-        runs = F.regexp_extract_all(text, F.lit("([一-鿿]{3,}|[a-z_]{4,})"), F.lit(1))
+        # A repeated run adds nothing that its first place has not.
+        runs = F.array_distinct(F.regexp_extract_all(text, F.lit("([一-鿿]{3,}|[a-z_]{4,})"), F.lit(1)))
         return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.array(text), F.flatten(F.transform(runs, grams)))).otherwise(F.array().cast("array<string>"))
 
     return F.slice(F.array_distinct(F.concat(*map(of, clean))), 1, LIMIT)

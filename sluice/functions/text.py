@@ -73,13 +73,9 @@ def mention_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(rf"(?<!{WORD})@{WORD}{{3,}}")).cast("int")
 
 
-def cjk_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, "[^一-鿿]", ""))
-
-
 def is_low_entropy_text(clean: Column) -> Column:
     """Too little to be a phrase of its own: under three CJK characters and under four ASCII letters or digits."""
-    return (cjk_count(clean) < 3) & (F.length(F.regexp_replace(clean, "[^a-zA-Z0-9]", "")) < 4)
+    return ~clean.rlike("(?s)(?:[一-鿿][^一-鿿]*){3}|(?:[a-zA-Z0-9][^a-zA-Z0-9]*){4}")
 
 
 def display_name(first: Column, last: Column) -> Column:

@@ -10,21 +10,32 @@ from sluice.functions import links as L
 from sluice.functions import text as T
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt to as many tasks as there are cores where they come in fewer partitions than that, as they are, otherwise.
+
+    The work on a message's text outweighs its move; a table of many files is
+    not moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def features(messages: DataFrame) -> DataFrame:
-    """Adds clean, skeleton, links, mentions, content_hash, skeleton_hash, punctuation_only, has_preview, carrier and strong.
+    """Adds clean, skeleton, links, mentions, has_preview, preview_link, content_hash, skeleton_hash, punctuation_only, carrier and strong.
 
     One projection; no shuffle.  A caption stands in for a missing text where
-    there is one.
+    there is one.  A preview counts only if its link is not in the text or
+    among its entities, and says where it leads.
     """
     text = L.message_text(F.col("text"), F.col("caption")) if "caption" in messages.columns else F.coalesce("text", F.lit(""))
-    preview = F.col("preview_url")
     entities = None
     if "entities" in messages.columns:
         entities = F.when(F.size("entities") > 0, F.col("entities"))
         if "caption_entities" in messages.columns:
             entities = F.coalesce(entities, F.col("caption_entities"))
-    rows = messages.withColumns({"text": text, "has_preview": preview.isNotNull()})
-    rows = rows.withColumns({"clean": T.normalize(F.col("text")), "skeleton": P.skeleton(F.col("text")), "links": L.extract_links(F.col("text"), preview, entities), "mentions": T.mention_count(F.col("text"))})
+    rows = messages.withColumn("text", text)
+    rows = rows.withColumns({"clean": T.normalize(F.col("text")), "skeleton": P.skeleton(F.col("text")), "links": L.extract_links(F.col("text"), F.col("preview_url"), entities), "mentions": T.mention_count(F.col("text"))})
+    rows = rows.withColumn("preview_link", L.preview_link(F.col("links"))).withColumn("has_preview", F.col("preview_link").isNotNull())
     return rows.withColumns({
         "content_hash": P.stable_hash(F.col("clean")), "skeleton_hash": P.stable_hash(F.col("skeleton")), "punctuation_only": T.is_punctuation_only(F.col("clean")),
         "carrier": L.has_carrier(F.col("text"), F.col("links"), F.col("mentions"), F.col("has_preview")), "strong": L.has_strong_token(F.col("clean")),

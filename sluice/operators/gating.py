@@ -32,15 +32,25 @@ def gate(messages: DataFrame, allowed_chats: DataFrame | None = None, whitelist:
 
 
 def senders(messages: DataFrame) -> DataFrame:
-    """One row for each user that joined, in place of one for the service message; others as they are."""
-    users = F.when(F.size("new_chat_members") > 0, F.col("new_chat_members")).otherwise(F.array("user_id"))
-    return messages.withColumn("user_id", F.explode(F.array_distinct(F.array_compact(users))))
+    """One row for each user that joined, in place of one for the service message, with its text; others as they are.
+
+    Who joined stands in new_chat_members or, where that is empty, as text in
+    action_users; what is no number there is passed over.
+    """
+    none = F.array().cast("array<bigint>")
+    joined = F.coalesce("new_chat_members", none)
+    if "action_users" in messages.columns:
+        named = F.transform(F.coalesce("action_users", F.array().cast("array<string>")), lambda u: u.try_cast("bigint"))
+        joined = F.when(F.size(joined) > 0, joined).otherwise(named)
+    joined = F.array_distinct(F.array_compact(joined))
+    users = F.when(F.size(joined) > 0, joined).otherwise(F.array("user_id"))
+    return messages.withColumn("user_id", F.explode(users))
 
 
 def wants_preview(settings: Settings = DEFAULT) -> Column:
     """Whether a message's preview is worth fetching: the text itself says next to nothing."""
     compact = F.length(F.regexp_replace("clean", r"\s+", ""))
-    return F.col("has_preview") & (F.col("punctuation_only") | (compact <= settings.preview_short_text))
+    return F.lit(settings.preview_enabled) & F.col("has_preview") & (F.col("punctuation_only") | (compact <= settings.preview_short_text))
 
 
 def is_stale(now: Column, settings: Settings = DEFAULT) -> Column:
@@ -50,5 +60,5 @@ def is_stale(now: Column, settings: Settings = DEFAULT) -> Column:
 
 def fan_out(actions: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """A row for each action to report and each admin to tell."""
-    ids = settings.notify_user_ids or settings.admin_user_ids
+    ids = settings.audience
     return actions.where("action <> 'allow'").withColumn("notify_user_id", F.explode(F.array(*map(F.lit, ids)).cast("array<bigint>")))
