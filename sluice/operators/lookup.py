@@ -30,10 +30,10 @@ PROFILE_FIELDS = ("username", "display_name", "first_name", "last_name", "bio")
 
 
 def with_preview(messages: DataFrame, previews: DataFrame) -> DataFrame:
-    """Adds og_ and each of `PREVIEW_FIELDS` of the message's link; a field that `previews` (url and og_ columns) lacks is null."""
+    """Adds og_url and og_ with each of `PREVIEW_FIELDS` of the message's preview link; a field that `previews` (url and og_ columns) lacks is null."""
     fields = [f"og_{f}" for f in PREVIEW_FIELDS]
     known = previews.select(F.col("url").alias("og_url"), *((F.col(f) if f in previews.columns else F.lit(None).cast("string")).alias(f) for f in fields))
-    return messages.join(known, F.rtrim("preview_url", F.lit(".")) == F.col("og_url"), "left")
+    return messages.join(known, F.col("preview_link") == F.col("og_url"), "left")
 
 
 def phrase_fields() -> tuple[Column, ...]:
@@ -68,34 +68,58 @@ def prior_senders(features: DataFrame, window: int) -> DataFrame:
     """message_id, prior_senders: other users with the same skeleton in the last `window` seconds before each message.
 
     Crosses chats.  Rows are in (created_at, message_id) order; only earlier
-    ones count.  A skeleton's rows are cut into time buckets as long as the
-    window, each with the bucket before it, so a text that is copied for weeks
-    never meets in one task.
+    ones count, and rows that are equal in both are not earlier than one another.
+
+    Time is cut into buckets as long as the window.  A user's messages of one
+    skeleton in a bucket reach from the first of them to the bucket's end, and
+    into the next bucket for a window after the last.  So a user is at most two
+    spans in a bucket, known from two partial aggregates; the users that reach a
+    message are a running sum over the spans' ends in its bucket, less its own.
+    The work is linear in a skeleton's rows, however often it is copied.
     """
-    rows = features.select("message_id", "user_id", "skeleton_hash", "created_at")
-    bucket = F.floor(F.col("created_at") / window)
-    both = rows.withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
-    w = Window.partitionBy("skeleton_hash", "bucket").orderBy("created_at").rangeBetween(-window, 0)
-    order = F.struct("created_at", "message_id")
-    seen = F.collect_set(F.struct(F.col("user_id").alias("user"), order.alias("at"))).over(w)
-    earlier = F.filter("seen", lambda s: (s["at"] < order) & s["user"].isNotNull() & ~s["user"].eqNullSafe(F.col("user_id")))
-    out = both.withColumn("seen", seen).where(F.col("bucket") == bucket)
-    return out.select("message_id", F.size(F.array_distinct(F.transform(earlier, lambda s: s["user"]))).cast("bigint").alias("prior_senders"))
+    rows = features.select("message_id", "user_id", "skeleton_hash", "created_at").withColumn("bucket", F.floor(F.col("created_at") / window))
+    group = ["skeleton_hash", "bucket"]
+    at = F.struct(F.col("created_at").alias("t"), F.col("message_id").alias("m"))
+    own = rows.where("user_id is not null").groupBy(*group, "user_id").agg(F.min(at).alias("first"), F.max("created_at").alias("last"))
+    none = F.lit(None)
+    here = own.select(*group, "user_id", "first", none.cast("bigint").alias("until"))
+    before = own.select("skeleton_hash", (F.col("bucket") + 1).alias("bucket"), "user_id", none.cast(own.schema["first"].dataType).alias("first"), (F.col("last") + window).alias("until"))
+    spans = here.unionByName(before).groupBy(*group, "user_id").agg(F.max("first").alias("first"), F.max("until").alias("until"))
+    # A user reaches into the bucket from before, until a time; and from the first message on, to the bucket's end.
+    least, most = F.lit(-(2**63)).cast("bigint"), F.lit(2**63 - 1).cast("bigint")
+    event = lambda t, m, step: F.struct(t.alias("t"), m.alias("m"), F.lit(step).alias("step"))
+    whole = F.col("until").isNotNull() & F.col("first").isNotNull() & (F.col("first.t") <= F.col("until"))
+    enters = F.when(F.col("until").isNotNull(), event(least, least, 1))
+    leaves = F.when(F.col("until").isNotNull() & ~whole, event(F.col("until"), most, -1))
+    writes = F.when(F.col("first").isNotNull() & ~whole, event(F.col("first.t"), F.col("first.m"), 1))
+    ends = spans.select(*group, F.explode(F.array_compact(F.array(enters, leaves, writes))).alias("e")).select(*group, "e.t", "e.m", F.lit(1).alias("kind"), "e.step")
+    own_reach = F.coalesce(F.col("created_at") <= F.col("until"), F.lit(False)) | F.coalesce(F.col("first") < at, F.lit(False))
+    seen = rows.join(spans, [*group, "user_id"], "left").select(*group, F.col("created_at").alias("t"), F.col("message_id").alias("m"), F.lit(0).alias("kind"), F.lit(0).alias("step"), own_reach.cast("int").alias("own"))
+    both = seen.unionByName(ends.withColumn("own", F.lit(0)))
+    # A row's own beginning stands after the row and all that equal it.
+    running = Window.partitionBy(*group).orderBy("t", "m", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("reached", F.sum("step").over(running)).where("kind = 0")
+    return out.select(F.col("m").alias("message_id"), (F.col("reached") - F.col("own")).cast("bigint").alias("prior_senders"))
 
 
 def open_repeats(features: DataFrame, sessions: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """message_id, session_ids (at most 10, newest first): earlier open sessions of the sender in the chat about the same text.
 
     Only the newest 50 sessions of a user count; an earlier session is one
-    opened before the message was written.
+    opened before the message was written.  Each session carries the 50 up to
+    itself, and a message reads those of the last session before it, so no
+    message meets all of a user's sessions.
     """
     content = F.when(F.col("content_hash") != P.EMPTY_HASH, F.col("content_hash"))
     skeleton = F.when((F.col("skeleton_hash") != P.EMPTY_HASH) & ~P.is_low_entropy_skeleton(F.col("skeleton")), F.col("skeleton_hash"))
-    own = features.select("message_id", "chat_id", "user_id", F.col("created_at").alias("sent_at"), content.alias("content"), skeleton.alias("shape"))
-    opened = sessions.where("status = 'open'").select(F.col("id").alias("session_id"), "chat_id", F.col("suspect_user_id").alias("user_id"), "skeleton_hash", "content_hash", "created_at")
-    pairs = own.join(opened, ["chat_id", "user_id"]).where("created_at < sent_at")
-    newest = Window.partitionBy("message_id").orderBy(F.desc("created_at"), F.desc("session_id"))
-    pairs = pairs.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= settings.max_sessions)
-    same = F.coalesce(F.col("content") == F.col("content_hash"), F.lit(False)) | F.coalesce(F.col("shape") == F.col("skeleton_hash"), F.lit(False))
-    ids = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "session_id"))), lambda x: x["session_id"]), 1, 10)
-    return pairs.where(same).groupBy("message_id").agg(ids.alias("session_ids"))
+    opened = sessions.where("status = 'open'").select("chat_id", F.col("suspect_user_id").alias("user_id"), F.col("created_at").alias("at"), F.col("id").alias("key"), F.struct(F.col("id").alias("session_id"), "skeleton_hash", "content_hash").alias("s"))
+    of_user = Window.partitionBy("chat_id", "user_id")
+    recent = F.collect_list("s").over(of_user.orderBy("at", "key").rowsBetween(1 - settings.max_sessions, 0))
+    none = F.lit(None).cast("string")
+    opened = opened.select("chat_id", "user_id", "at", "key", F.lit(1).alias("kind"), recent.alias("recent"), none.alias("content"), none.alias("shape"))
+    own = features.select("chat_id", "user_id", F.col("created_at").alias("at"), F.col("message_id").alias("key"), F.lit(0).alias("kind"), F.lit(None).cast(opened.schema["recent"].dataType).alias("recent"), content.alias("content"), skeleton.alias("shape"))
+    before = of_user.orderBy("at", "kind", "key").rowsBetween(Window.unboundedPreceding, 0)
+    rows = own.where("user_id is not null").unionByName(opened).withColumn("known", F.last("recent", ignorenulls=True).over(before)).where("kind = 0 and known is not null")
+    same = F.filter("known", lambda s: F.coalesce(F.col("content") == s["content_hash"], F.lit(False)) | F.coalesce(F.col("shape") == s["skeleton_hash"], F.lit(False)))
+    ids = F.slice(F.reverse(F.transform(same, lambda s: s["session_id"])), 1, 10)
+    return rows.select(F.col("key").alias("message_id"), ids.alias("session_ids")).where(F.size("session_ids") > 0)

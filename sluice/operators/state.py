@@ -51,15 +51,30 @@ def vote_outcome(votes: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     )
 
 
+#: Events of a key, by their numbers, that are folded together before their results are: no list is longer.
+SLICE = 4096
+
+
+def _slices(events: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """keys, slice, steps: the events of each key in slices of SLICE numbers, in order."""
+    part = F.floor(F.col("seq") / SLICE).alias("slice")
+    return events.groupBy(*keys, part).agg(F.array_sort(F.collect_list(F.struct("seq", *columns))).alias("steps"))
+
+
 def reputation(events: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """chat_id, user_id, reputation_score: from the default, each delta in turn, clamped to 0..100 at every step.
 
-    A clamped addition composes: x -> min(hi, max(lo, x + d)) is closed under
-    composition, so the fold is over a short list of steps a key, not rows of text.
+    A clamped addition composes: x -> min(high, max(low, x + sum)) is closed
+    under composition, so slices of a key's events become one such step each,
+    in parallel, and only those are folded in order.
     """
-    steps = F.array_sort(F.collect_list(F.struct("seq", "delta")))
-    fold = F.aggregate(steps, F.lit(settings.default_reputation), lambda a, e: F.greatest(F.lit(0.0), F.least(F.lit(100.0), a + e["delta"])))
-    return events.groupBy("chat_id", "user_id").agg(fold.alias("reputation_score"))
+    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
+    start = F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0.0).alias("sum"))
+    composed = F.aggregate("steps", start, lambda a, e: F.struct(clamp(a["low"] + e["delta"]).alias("low"), clamp(a["high"] + e["delta"]).alias("high"), (a["sum"] + e["delta"]).alias("sum")))
+    parts = _slices(events, ["chat_id", "user_id"], "delta").select("chat_id", "user_id", "slice", composed.alias("f"))
+    order = F.array_sort(F.collect_list(F.struct("slice", "f")))
+    fold = F.aggregate(order, F.lit(settings.default_reputation), lambda x, p: F.greatest(p["f"]["low"], F.least(p["f"]["high"], x + p["f"]["sum"])))
+    return parts.groupBy("chat_id", "user_id").agg(fold.alias("reputation_score"))
 
 
 def user_activity(messages: DataFrame) -> DataFrame:
@@ -87,40 +102,151 @@ def upsert_fingerprints(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("value").agg(F.min("seq").alias("id"), last("fingerprint_type"), clamp.alias("weight"), last("source"), F.count("*").alias("n"))
 
 
+#: What closed votes leave as the source of a fingerprint, and the source of one with too many false alarms.
+VOTE_SOURCE, DISABLED_SOURCE, DISABLED_AFTER = "vote_confirmed", "disabled_false_positive", 3
+
+
 def fold_feedback(evidence: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """value, weight, false_positives from ordered (seq, value, kind, weight): kind `up` raises to a weight, `down` takes 30 off."""
-    steps = F.array_sort(F.collect_list(F.struct("seq", "kind", "weight")))
-    start = F.struct(F.lit(-1.0).alias("w"), F.lit(0).alias("n"))
+    """value, fingerprint_type, weight, false_positives, source from ordered (seq, value, kind, fingerprint_type, weight, source).
+
+    kind `up` adds the fingerprint or raises it to a weight, and sets type and
+    source; `down` takes 30 off and counts a false alarm, and from the third on
+    sets the source to disabled; on a value that is not there it does nothing.
+
+    Both are x -> max(low, x + sum), which composes, so slices of a value's
+    events are folded in parallel: once for a value that is there, and once
+    from its first `up` for one that is not.
+    """
+    penalty = settings.false_positive_penalty
+    weight = lambda e: F.greatest(F.lit(0.0), F.least(F.lit(100.0), e["weight"]))
+    text, zero = F.lit(None).cast("string"), F.lit(0)
+    start = F.struct(
+        F.lit(float("-inf")).alias("low"), F.lit(0.0).alias("sum"), zero.alias("downs"), F.lit(-1.0).alias("w"), zero.alias("n"),
+        text.alias("last"), text.alias("kind"), text.alias("source"),
+    )
 
     def step(a: Column, e: Column) -> Column:
         up = e["kind"] == "up"
-        known = a["w"] >= 0
-        w = F.when(up, F.greatest(a["w"], F.greatest(F.lit(0.0), F.least(F.lit(100.0), e["weight"])))).when(known, F.greatest(F.lit(0.0), a["w"] - settings.false_positive_penalty)).otherwise(a["w"])
-        return F.struct(w.alias("w"), (a["n"] + F.when(~up & known, 1).otherwise(0)).alias("n"))
-
-    out = evidence.groupBy("value").agg(F.aggregate(steps, start, step).alias("f"))
-    return out.where("f.w >= 0").select("value", F.col("f.w").alias("weight"), F.col("f.n").cast("bigint").alias("false_positives"))
+        there = a["w"] >= 0
+        return F.struct(
+            F.when(up, F.greatest(a["low"], weight(e))).otherwise(F.greatest(F.lit(0.0), a["low"] - penalty)).alias("low"),
+            F.when(up, a["sum"]).otherwise(a["sum"] - penalty).alias("sum"),
+            (a["downs"] + F.when(up, 0).otherwise(1)).alias("downs"),
+            F.when(up, F.greatest(a["w"], weight(e))).when(there, F.greatest(F.lit(0.0), a["w"] - penalty)).otherwise(a["w"]).alias("w"),
+            (a["n"] + F.when(~up & there, 1).otherwise(0)).alias("n"),
+            e["kind"].alias("last"), F.when(up, e["fingerprint_type"]).otherwise(a["kind"]).alias("kind"), F.when(up, e["source"]).otherwise(a["source"]).alias("source"),
+        )
+
+    parts = _slices(evidence, ["value"], "kind", "fingerprint_type", "weight", "source").select("value", "slice", F.aggregate("steps", start, step).alias("f"))
+    first = F.struct(F.lit(-1.0).alias("w"), zero.alias("n"), text.alias("last"), text.alias("kind"), text.alias("source"))
+
+    def join(a: Column, p: Column) -> Column:
+        f, there = p["f"], a["w"] >= 0
+        return F.struct(
+            F.when(there, F.greatest(f["low"], a["w"] + f["sum"])).otherwise(f["w"]).alias("w"), F.when(there, a["n"] + f["downs"]).otherwise(f["n"]).alias("n"),
+            f["last"].alias("last"), F.coalesce(f["kind"], a["kind"]).alias("kind"), F.coalesce(f["source"], a["source"]).alias("source"),
+        )
+
+    out = parts.groupBy("value").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("slice", "f"))), first, join).alias("f")).where("f.w >= 0")
+    disabled = (F.col("f.last") == "down") & (F.col("f.n") >= DISABLED_AFTER)
+    return out.select(
+        "value", F.col("f.kind").alias("fingerprint_type"), F.col("f.w").alias("weight"), F.col("f.n").cast("bigint").alias("false_positives"),
+        F.when(disabled, DISABLED_SOURCE).otherwise(F.col("f.source")).alias("source"),
+    )
 
 
 def vote_evidence(outcomes: DataFrame, sessions: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Evidence for `fold_feedback` from closed sessions: their hashes up if confirmed, down if released, but for sentinels."""
     rows = outcomes.join(sessions.select(F.col("id").alias("session_id"), "skeleton_hash", "content_hash"), "session_id")
-    both = rows.select("outcome", F.posexplode(F.array("skeleton_hash", "content_hash")).alias("k", "value"), (F.col("closed_seq") * 2).alias("base"))
+    hashes = F.array(*(F.struct(F.lit(kind).alias("type"), F.col(f"{kind}_hash").alias("value")) for kind in ("skeleton", "content")))
+    both = rows.select("outcome", F.posexplode(hashes).alias("k", "h"), (F.col("closed_seq") * 2).alias("base"))
     kind = F.when(F.col("outcome") == "confirmed_spam", "up").otherwise("down")
-    return both.where(P.meaningful(F.col("value"))).select((F.col("base") + F.col("k")).alias("seq"), "value", kind.alias("kind"), F.lit(settings.vote_weight).alias("weight"))
+    return both.where(P.meaningful(F.col("h.value"))).select(
+        (F.col("base") + F.col("k")).alias("seq"), F.col("h.value").alias("value"), kind.alias("kind"), F.col("h.type").alias("fingerprint_type"),
+        F.lit(settings.vote_weight).alias("weight"), F.lit(VOTE_SOURCE).alias("source"),
+    )
 
 
 def expired(sessions: DataFrame, now: int | Column, settings: Settings = DEFAULT) -> DataFrame:
-    """Open sessions past their time, the oldest first, as many as one sweep takes."""
+    """Open sessions past their time, the oldest first, as many as one sweep takes; closed_at is the sweep's time."""
     due = sessions.where((F.col("status") == "open") & (F.col("expires_at") <= now)).orderBy("expires_at", "id").limit(settings.expire_batch)
-    return due.withColumn("status", F.lit("expired_released"))
+    return due.withColumns({"status": F.lit("expired_released"), "closed_at": now if isinstance(now, Column) else F.lit(now).cast("bigint")})
+
+
+def sweep_time(expires_at: Column, start: int, settings: Settings = DEFAULT) -> Column:
+    """The first sweep at or after a time; sweeps come every interval (5 seconds at least) from `start` on. Votes until then count."""
+    step = max(5, settings.sweep_interval_seconds)
+    return (F.lit(start) + F.ceil((expires_at - start) / step) * step).cast("bigint")
+
+
+def close_sessions(sessions: DataFrame, votes: DataFrame, closes: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """session_id, status, closed_at, spam_votes, ham_votes of every session after its votes and `closes` (session_id, status, at).
+
+    The first to close a session wins: the vote that reaches a threshold (spam
+    looked at first), or a close by an admin or a sweep; of equal times the
+    close, which then stops the vote.  Votes after that change nothing.
+    """
+    first = closes.groupBy("session_id").agg(F.min_by(F.struct("status", "at"), F.struct("at", "status")).alias("c"))
+    rows = running_votes(votes.join(first, "session_id", "left").where("c is null or ts < c.at").select(*votes.columns))
+    n = settings.vote_min_confirmations
+    hit = (F.col("spam") >= n) | (F.col("ham") >= n)
+    tally = F.struct("ts", "seq", "spam", "ham")
+    done = rows.groupBy("session_id").agg(F.min_by(tally, F.when(hit, F.struct("ts", "seq"))).alias("hit"), F.max_by(tally, F.struct("ts", "seq")).alias("end"))
+    out = sessions.select(F.col("id").alias("session_id")).join(done, "session_id", "left").join(first, "session_id", "left")
+    at = F.coalesce("hit", "end")
+    by_vote = F.when(F.col("hit.spam") >= n, "confirmed_spam").otherwise("released")
+    status = F.when(F.col("hit").isNotNull(), by_vote).otherwise(F.coalesce("c.status", F.lit("open")))
+    zero = F.lit(0).cast("bigint")
+    return out.select(
+        "session_id", status.alias("status"), F.when(F.col("hit").isNotNull(), F.col("hit.ts")).otherwise(F.col("c.at")).alias("closed_at"),
+        F.coalesce(at["spam"], zero).alias("spam_votes"), F.coalesce(at["ham"], zero).alias("ham_votes"),
+    )
 
 
 def ban_cascade(bans: DataFrame, sessions: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """For each (chat_id, user_id, message_id) banned: the ids of the user's open sessions in the chat (newest 50) and of all messages to delete."""
-    opened = sessions.where("status = 'open'").select(F.col("id").alias("session_id"), "chat_id", F.col("suspect_user_id").alias("user_id"), "original_message_id", F.col("created_at").alias("opened_at"))
-    rows = bans.select("chat_id", "user_id", "message_id").join(opened, ["chat_id", "user_id"], "left")
-    newest = Window.partitionBy("chat_id", "user_id", "message_id").orderBy(F.desc("opened_at"), F.desc("session_id"))
-    rows = rows.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= settings.max_sessions)
-    found = rows.groupBy("chat_id", "user_id", "message_id").agg(F.array_sort(F.collect_set("session_id")).alias("session_ids"), F.collect_set("original_message_id").alias("o"))
-    return found.withColumn("deleted_ids", F.array_sort(F.array_distinct(F.concat("o", F.array("message_id"))))).drop("o")
+    """For each (chat_id, user_id, message_id) banned: session_ids of the user's open sessions in the chat (newest 50), and
+    deleted_ids of all messages to delete.
+
+    Which sessions are newest does not depend on the ban, so they are ranked
+    and gathered once a user and chat, and a ban joins one row.
+    """
+    opened = sessions.where("status = 'open' and suspect_user_id is not null")
+    newest = Window.partitionBy("chat_id", "suspect_user_id").orderBy(F.desc("created_at"), F.desc("id"))
+    opened = opened.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= settings.max_sessions)
+    known = opened.groupBy("chat_id", F.col("suspect_user_id").alias("user_id")).agg(F.array_sort(F.collect_set("id")).alias("session_ids"), F.collect_set("original_message_id").alias("originals"))
+    rows = bans.select("chat_id", "user_id", "message_id").join(known, ["chat_id", "user_id"], "left")
+    none = F.array().cast("array<bigint>")
+    gone = F.array_sort(F.array_distinct(F.concat(F.coalesce("originals", none), F.array("message_id"))))
+    return rows.select("chat_id", "user_id", "message_id", F.coalesce("session_ids", none).alias("session_ids"), gone.alias("deleted_ids"))
+
+
+def set_value(rows: DataFrame, changes: DataFrame, key: str, column: str, order: str = "seq") -> DataFrame:
+    """`rows` with `column` of the last of `changes` (key, column, order) where there is one, a null value too; changes of
+    rows that are not there do nothing.  Bios, ids of vote messages and times of notifications are set so."""
+    last = changes.groupBy(key).agg(F.max_by(F.struct(column), order).alias("_set"))
+    out = rows.join(last, key, "left")
+    return out.withColumn(column, F.when(F.col("_set").isNotNull(), F.col(f"_set.{column}")).otherwise(F.col(column))).drop("_set")
+
+
+def delete_rows(rows: DataFrame, deletes: DataFrame, key: str) -> DataFrame:
+    """`rows` without those whose `key` is among `deletes`."""
+    return rows.join(deletes.select(key), key, "left_anti")
+
+
+def deleted_counts(rows: DataFrame, deletes: DataFrame, key: str) -> DataFrame:
+    """key and n, the rows that each of `deletes` takes away; 0 for one that finds none."""
+    found = rows.groupBy(key).agg(F.count("*").alias("n"))
+    return deletes.select(key).distinct().join(found, key, "left").select(key, F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+
+
+def refresh_bios(profiles: DataFrame, answers: DataFrame, now: int, settings: Settings = DEFAULT) -> DataFrame:
+    """`profiles` after asking for the bios of the stale ones: `answers` has (user_id, bio) of those that answered.
+
+    An answer sets the bio, to none too; who did not answer keeps the old one.
+    Either way the time of asking is noted, so that a failure waits as long.
+    """
+    if not settings.bio_enabled:
+        return profiles
+    stale = F.col("bio_fetched_at").isNull() | (F.lit(now) - F.col("bio_fetched_at") >= settings.bio_ttl_seconds)
+    rows = profiles.join(answers.groupBy("user_id").agg(F.max_by(F.struct("bio"), F.lit(1)).alias("_answer")), "user_id", "left")
+    return rows.withColumns({"bio": F.when(stale & F.col("_answer").isNotNull(), F.col("_answer.bio")).otherwise(F.col("bio")), "bio_fetched_at": F.when(stale, F.lit(now).cast("bigint")).otherwise(F.col("bio_fetched_at"))}).drop("_answer")

@@ -6,27 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import fingerprints as P
-from sluice.operators import gating, lookup, rules, state
-from sluice.operators.features import features
+from sluice.operators import gating, lookup, rules, scoring, state
+from sluice.operators.features import features, spread
 from sluice.settings import Settings
-from sluice.sources.bindings import START, relation
+from sluice.sources.bindings import SHORT_IDS, START, relation
+from sluice.sources.shared import written
 
 from . import duck as D
 from .registry import query
-from .text_queries import PHRASES
+from .text_queries import phrases_of
 
 #: The provided rows are far apart in time, so the look-back is a day.
 WINDOW = 86_400
-SETTINGS = Settings(repeat_window_seconds=WINDOW, notify_user_ids=(7, 9))
+SETTINGS = Settings(repeat_window_seconds=WINDOW, notify_user_ids=(7, 9), admin_user_ids=(3, 14, 15))
 
+#: What is known of fingerprints: both hashes of labelled messages, the text of toxic ones, and what verdicts say of spam.
+_LABELLED = f"features f JOIN labels l ON l.doc_id = f.message_id % {SHORT_IDS}"
 D.EXTRA |= {
-    "allowed_chats": "SELECT CAST(n_nationkey AS BIGINT) AS chat_id FROM nation WHERE n_nationkey % 4 <> 1",
-    "whitelisted_users": "SELECT CAST(s_suppkey AS BIGINT) AS user_id, CAST(s_suppkey % 3 AS BIGINT) AS added_at FROM supplier WHERE s_suppkey % 7 = 2",
-    "og": "SELECT * FROM (VALUES ('https://WWW.Spam1.example/x', '推特 成人版 视频'), ('https://WWW.Spam2.example/x', 'weather news')) AS t(url, og_text)",
     "sessions": "SELECT s.*, f.content_hash, f.skeleton_hash FROM vote_sessions s JOIN features f ON f.message_id = s.original_message_id",
-    "evidence": f"""SELECT message_id * 2 AS seq, 'skeleton' AS fingerprint_type, skeleton_hash AS value, CAST(30 + (message_id * 7) % 66 AS DOUBLE) AS weight, 'manual' AS source FROM features WHERE message_id % 5 = 0
-      UNION ALL SELECT message_id * 2 + 1, 'content', content_hash, CAST(30 + message_id % 66 AS DOUBLE), 'vote' FROM features WHERE message_id % 5 = 0
-      UNION ALL SELECT message_id * 2 + 1000000, 'phrase', {D.digest("concat('phrase:', clean)")}, CAST(25 + message_id % 60 AS DOUBLE), 'scorer' FROM features WHERE message_id % 24 = 2 AND clean <> ''""",
+    "evidence": f"""SELECT message_id * 4 AS seq, 'skeleton' AS fingerprint_type, skeleton_hash AS value, CAST(30 + (message_id * 7) % 66 AS DOUBLE) AS weight, 'manual' AS source FROM {_LABELLED}
+      UNION ALL SELECT message_id * 4 + 1, 'content', content_hash, CAST(30 + message_id % 66 AS DOUBLE), 'vote' FROM {_LABELLED}
+      UNION ALL SELECT message_id * 4 + 2, 'phrase', {D.digest("concat('phrase:', clean)")}, CAST(25 + message_id % 60 AS DOUBLE), 'scorer' FROM {_LABELLED} WHERE toxic = 1 AND clean <> ''
+      UNION ALL SELECT message_id * 4 + 3, 'phrase', value, CAST(20 + message_id % 40 AS DOUBLE), 'llm_spam_phrase' FROM learnt WHERE fingerprint_type = 'phrase'""",
+    "said": "SELECT message_id, unnest(string_split(phrases, '|')) AS phrase FROM verdicts WHERE status = 'ok' AND is_spam AND confidence >= 0.70",
+    "learnt": f"""SELECT f.message_id, 'skeleton' AS fingerprint_type, skeleton_hash AS value, 50.0::DOUBLE AS weight, 'llm_spam' AS source FROM features f JOIN verdicts v ON v.chat_id = f.chat_id AND v.message_id = f.message_id
+        WHERE status = 'ok' AND is_spam AND confidence >= 0.70 AND {D.meaningful('skeleton_hash')} AND NOT {D.low_skeleton('skeleton')}
+      UNION ALL SELECT message_id, 'phrase', {D.digest(f"concat('phrase:', {D.normalize('phrase')})")}, 50.0::DOUBLE, 'llm_spam_phrase' FROM said WHERE NOT {D.low_text(D.normalize('phrase'))}""",
     "fingerprints": "SELECT value, min(seq) AS id, arg_max(fingerprint_type, seq) AS fingerprint_type, greatest(0.0::DOUBLE, least(100.0::DOUBLE, max(weight))) AS weight, arg_max(source, seq) AS source, count(*) AS n FROM evidence GROUP BY value",
     "keys": f"""SELECT message_id, 0 AS place, 'skeleton' AS fingerprint_type, skeleton_hash AS value FROM features WHERE {D.meaningful("skeleton_hash")} AND NOT {D.low_skeleton("skeleton")}
       UNION ALL SELECT message_id, 1, 'content', content_hash FROM features WHERE {D.meaningful("content_hash")} AND NOT {D.low_text("clean")}
@@ -42,7 +47,7 @@ D.EXTRA |= {
       WHERE (fc = sc AND fc <> '{P.EMPTY_HASH}') OR (fs = ss AND fs <> '{P.EMPTY_HASH}' AND NOT {D.low_skeleton("skeleton")}) GROUP BY message_id""",
     "inputs": """SELECT f.*, coalesce(r.reputation_score, 50.0::DOUBLE) AS reputation_score, coalesce(r.messages_seen, 0) AS messages_seen, p.bio, g.og_text, s.fp_type, s.fp_weight, s.fp_value, o.session_ids, q.prior_senders
       FROM features f LEFT JOIN user_reputation r ON r.chat_id = f.chat_id AND r.user_id = f.user_id LEFT JOIN user_profiles p ON p.user_id = f.user_id
-      LEFT JOIN og g ON g.url = rtrim(f.preview_url, '.') LEFT JOIN strongest s ON s.message_id = f.message_id LEFT JOIN open_repeats o ON o.message_id = f.message_id LEFT JOIN repeats q ON q.message_id = f.message_id""",
+      LEFT JOIN previews g ON g.url = f.preview_link LEFT JOIN strongest s ON s.message_id = f.message_id LEFT JOIN open_repeats o ON o.message_id = f.message_id LEFT JOIN repeats q ON q.message_id = f.message_id""",
     "ranked": f"""SELECT *, CASE WHEN fp_value NOT IN ({D.quoted(P.SENTINELS)}) THEN fp_weight END AS w, CASE WHEN reputation_score <= 20 THEN '_low_reputation' ELSE '' END AS low,
       (skeleton_hash <> '{P.EMPTY_HASH}' AND NOT {D.low_skeleton("skeleton")}) AS shape, {D.spam_bio("bio")} AS bad_bio, coalesce({D.strong(D.normalize("og_text"))}, false) AS bad_og FROM inputs""",
     "decided": """SELECT *, CASE WHEN rule <= 6 THEN 'ban' WHEN rule IN (7, 8, 10) THEN 'withdraw_vote' ELSE 'review' END AS action,
@@ -54,7 +59,7 @@ D.EXTRA |= {
       SELECT *, CASE WHEN reputation_score < 80 AND len(session_ids) > 0 THEN 1 WHEN len(links) > 0 AND reputation_score < 80 AND shape AND coalesce(prior_senders, 0) + 1 >= 3 THEN 2
         WHEN w >= 85 AND fp_type = 'content' AND reputation_score < 80 THEN 3 WHEN bad_bio THEN 4 WHEN clean <> '' AND carrier AND strong THEN 5 WHEN has_preview AND bad_og THEN 6
         WHEN w >= 85 THEN 7 WHEN w >= 40 THEN 8 WHEN w IS NOT NULL THEN 9 WHEN punctuation_only AND has_preview THEN 10 WHEN len(links) > 0 THEN 11 ELSE 12 END AS rule FROM ranked)""",
-    "judged": """SELECT d.*, v.status AS verdict_status, v.is_spam, v.confidence AS verdict_confidence,
+    "judged": """SELECT d.*, v.status AS verdict_status, v.is_spam, v.error, v.category, v.phrases, v.confidence AS verdict_confidence,
       CASE WHEN v.status = 'ok' THEN CASE WHEN NOT v.is_spam THEN 'allow' WHEN v.confidence >= 0.85 AND reputation_score < 80 THEN 'ban' WHEN v.confidence >= 0.70 THEN 'withdraw_vote' ELSE 'review' END END AS v_action,
       CASE WHEN v.status = 'ok' THEN CASE WHEN NOT v.is_spam THEN 'llm_not_spam' WHEN v.confidence >= 0.85 AND reputation_score < 80 THEN concat('llm_spam_high_confidence', low) WHEN v.confidence >= 0.70 THEN 'llm_spam' ELSE 'llm_low_confidence' END END AS v_reason
       FROM decided d LEFT JOIN verdicts v ON v.chat_id = d.chat_id AND v.message_id = d.message_id""",
@@ -66,73 +71,97 @@ D.EXTRA |= {
 _TEXTS = ("messages", "texts", "features")
 
 
+_FIELDS = ("username", f"CASE WHEN p.user_id IS NOT NULL THEN concat_ws(' ', nullif(first_name, ''), nullif(last_name, '')) END", "first_name", "last_name", "bio")
+#: Relation `phrases` of a message's text, its link's preview and its sender's profile, in that order.
+ALL_PHRASES = phrases_of(
+    "SELECT message_id, 0 AS f, clean FROM texts"
+    + "".join(f" UNION ALL SELECT f.message_id, {1 + i}, {D.normalize(c)} FROM features f JOIN previews g ON g.url = f.preview_link" for i, c in ((0, "og_title"), (1, "og_description"), (4, "og_text")))
+    + "".join(f" UNION ALL SELECT f.message_id, {6 + i}, {D.normalize(c)} FROM features f JOIN user_profiles p USING (user_id)" for i, c in enumerate(_FIELDS))
+)
+
+
 def chain(*more: str) -> str:
     """WITH of all that a decision rests on, and of `more`."""
-    first = D.with_(*_TEXTS).rstrip() + PHRASES
+    first = D.with_(*_TEXTS, "user_profiles", "previews", "verdicts", "said", "learnt").rstrip() + ALL_PHRASES
     return first + ",\n" + D.with_(*more).removeprefix("WITH ")
 
 
-_ALL = ("user_reputation", "user_profiles", "vote_sessions", "og", "sessions", "evidence", "fingerprints", "keys", "strongest", "repeats", "open_repeats", "inputs", "ranked", "decided")
+_ALL = ("user_reputation", "vote_sessions", "sessions", "evidence", "fingerprints", "keys", "strongest", "repeats", "open_repeats", "inputs", "ranked", "decided")
 
 
-def _rel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if name in ("allowed_chats", "whitelisted_users"):
-        source = "nation" if name == "allowed_chats" else "supplier"
-        return spark.sql(D.EXTRA[name].replace(f"FROM {source}", f"FROM {{{source}}}"), **{source: relation(spark, sf_dir, source)})
-    if name == "og":
-        return spark.sql(D.EXTRA[name])
-    return relation(spark, sf_dir, name)
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(spread(relation(spark, sf_dir, "messages"), "message_id"))
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(relation(spark, sf_dir, "messages"))
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relation(spark, sf_dir, "verdicts").withColumnRenamed("confidence", "verdict_confidence")
+    return rows.withColumn("signal_phrases", F.filter(F.split("phrases", r"\|"), lambda p: p != "")).drop("phrases")
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashes = messages(spark, sf_dir).select(F.col("message_id").alias("original_message_id"), "content_hash", "skeleton_hash")
+def sessions_of(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vote sessions with the hashes of their messages, among the feature rows."""
+    hashes = rows.select(F.col("message_id").alias("original_message_id"), "content_hash", "skeleton_hash")
     return relation(spark, sf_dir, "vote_sessions").join(hashes, "original_message_id")
 
 
-def evidence(rows: DataFrame) -> DataFrame:
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions_of(messages(spark, sf_dir), spark, sf_dir)
+
+
+def evidence(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of fingerprints, from the feature rows."""
+    labels = relation(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), "toxic")
     m = F.col("message_id")
     row = lambda seq, kind, value, weight, source: F.struct(seq.alias("seq"), F.lit(kind).alias("fingerprint_type"), value.alias("value"), weight.cast("double").alias("weight"), F.lit(source).alias("source"))
-    some = F.array(row(m * 2, "skeleton", F.col("skeleton_hash"), 30 + (m * 7) % 66, "manual"), row(m * 2 + 1, "content", F.col("content_hash"), 30 + m % 66, "vote"))
-    phrase = F.array(row(m * 2 + 1000000, "phrase", P.stable_hash(F.concat(F.lit("phrase:"), "clean")), 25 + m % 60, "scorer"))
-    none = F.filter(some, lambda _: F.lit(False))
-    made = F.concat(F.when(m % 5 == 0, some).otherwise(none), F.when((m % 24 == 2) & (F.col("clean") != ""), phrase).otherwise(none))
-    return rows.select(F.explode(made).alias("e")).select("e.*")
+    both = [row(m * 4, "skeleton", F.col("skeleton_hash"), 30 + (m * 7) % 66, "manual"), row(m * 4 + 1, "content", F.col("content_hash"), 30 + m % 66, "vote")]
+    phrase = F.when((F.col("toxic") == 1) & (F.col("clean") != ""), row(m * 4 + 2, "phrase", P.stable_hash(F.concat(F.lit("phrase:"), "clean")), 25 + m % 60, "scorer"))
+    labelled = rows.join(labels, m % SHORT_IDS == F.col("label_id"))
+    known = labelled.select(F.explode(F.array_compact(F.array(*both, phrase))).alias("e")).select("e.*")
+    said = learnt(rows, spark, sf_dir).where("fingerprint_type = 'phrase'")
+    return known.unionByName(said.select((m * 4 + 3).alias("seq"), "fingerprint_type", "value", (20 + m % 40).cast("double").alias("weight"), "source"))
 
 
-def fingerprints(rows: DataFrame) -> DataFrame:
-    return state.upsert_fingerprints(evidence(rows))
+def learnt(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What verdicts teach, from the feature rows."""
+    return scoring.spam_evidence(rows.join(verdicts(spark, sf_dir), ["chat_id", "message_id"]))
+
+
+def fingerprints(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.upsert_fingerprints(evidence(rows, spark, sf_dir))
+
+
+def known_of(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows with their sender's profile and their link's preview."""
+    return lookup.with_preview(lookup.with_profile(rows, relation(spark, sf_dir, "user_profiles")), relation(spark, sf_dir, "previews"))
 
 
 def known_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages with their sender's profile and their link's preview."""
-    rows = lookup.with_profile(messages(spark, sf_dir), relation(spark, sf_dir, "user_profiles"))
-    return lookup.with_preview(rows, _rel(spark, sf_dir, "og"))
+    return known_of(messages(spark, sf_dir), spark, sf_dir)
 
 
-def strongest(spark: SparkSession, sf_dir: str, known: DataFrame) -> DataFrame:
-    """The heaviest of the fingerprints `known` of every message, its link's preview and its sender's profile."""
-    return lookup.strongest_fingerprint(known_messages(spark, sf_dir), known, phrase_texts=lookup.phrase_fields())
+def strongest_of(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heaviest known fingerprint of every message, its link's preview and its sender's profile."""
+    return lookup.strongest_fingerprint(known_of(rows, spark, sf_dir), fingerprints(rows, spark, sf_dir), phrase_texts=lookup.phrase_fields())
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole local decision of every message."""
-    rows = messages(spark, sf_dir)
-    best = strongest(spark, sf_dir, fingerprints(rows))
+    """The whole local decision of every message.
+
+    The feature rows, which several branches read, are stored once, and each
+    reads the columns that it needs.
+    """
+    rows = written(messages(spark, sf_dir), "feature-rows")
+    best = strongest_of(rows, spark, sf_dir)
     repeats = lookup.prior_senders(rows, WINDOW)
-    again = lookup.open_repeats(rows, sessions(spark, sf_dir), SETTINGS)
-    rows = lookup.with_context(known_messages(spark, sf_dir), relation(spark, sf_dir, "user_reputation"))
+    again = lookup.open_repeats(rows, sessions_of(rows, spark, sf_dir), SETTINGS)
+    rows = lookup.with_context(known_of(rows, spark, sf_dir), relation(spark, sf_dir, "user_reputation"))
     for more in (best, repeats, again):
         rows = rows.join(more, "message_id", "left")
     return rules.decide(rows, SETTINGS)
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = relation(spark, sf_dir, "verdicts").withColumnRenamed("confidence", "verdict_confidence")
-    return rules.merge(decisions(spark, sf_dir).join(verdicts, ["chat_id", "message_id"], "left"), SETTINGS)
+    return rules.merge(decisions(spark, sf_dir).join(verdicts(spark, sf_dir), ["chat_id", "message_id"], "left"), SETTINGS)
 
 
 _SCOPE = """chat_type IN ('group', 'supergroup') AND NOT (update_type <> 'edited_message' AND coalesce(is_automatic_forward AND (sender_chat_id IS NULL OR sender_chat_id <> chat_id), false))
@@ -146,17 +175,17 @@ def moderation_scope(spark, sf_dir):
 
 @query(D.with_("messages", "allowed_chats") + f"SELECT message_id, chat_id FROM messages WHERE {_SCOPE} AND user_id <> 777000 AND chat_id IN (SELECT chat_id FROM allowed_chats)")
 def allowed_chats(spark, sf_dir):
-    return gating.gate(relation(spark, sf_dir, "messages"), _rel(spark, sf_dir, "allowed_chats")).select("message_id", "chat_id")
+    return gating.gate(relation(spark, sf_dir, "messages"), relation(spark, sf_dir, "allowed_chats")).select("message_id", "chat_id")
 
 
 @query(D.with_("messages", "whitelisted_users") + f"SELECT message_id, user_id FROM messages WHERE {_SCOPE} AND user_id <> 777000 AND user_id NOT IN (SELECT user_id FROM whitelisted_users)")
 def whitelist_bypass(spark, sf_dir):
-    return gating.gate(relation(spark, sf_dir, "messages"), None, _rel(spark, sf_dir, "whitelisted_users")).select("message_id", "user_id")
+    return gating.gate(relation(spark, sf_dir, "messages"), None, relation(spark, sf_dir, "whitelisted_users")).select("message_id", "user_id")
 
 
-@query(D.with_(*_TEXTS) + r"SELECT message_id, preview_url FROM features WHERE has_preview AND (punctuation_only OR length(regexp_replace(clean, '\s+', '', 'g')) <= 8)")
+@query(D.with_(*_TEXTS) + r"SELECT message_id, preview_link FROM features WHERE has_preview AND (punctuation_only OR length(regexp_replace(clean, '\s+', '', 'g')) <= 8)")
 def og_candidates(spark, sf_dir):
-    return messages(spark, sf_dir).where(gating.wants_preview()).select("message_id", "preview_url")
+    return messages(spark, sf_dir).where(gating.wants_preview()).select("message_id", "preview_link")
 
 
 _NOW = START + 2_000_000
@@ -184,12 +213,12 @@ def message_profile(spark, sf_dir):
 
 @query(chain("evidence", "fingerprints") + "SELECT value, id, fingerprint_type, weight, source, n FROM fingerprints")
 def fingerprint_upsert(spark, sf_dir):
-    return fingerprints(messages(spark, sf_dir)).select("value", "id", "fingerprint_type", "weight", "source", "n")
+    return fingerprints(written(messages(spark, sf_dir), "feature-rows"), spark, sf_dir).select("value", "id", "fingerprint_type", "weight", "source", "n")
 
 
 @query(chain("evidence", "fingerprints", "keys", "strongest") + "SELECT * FROM strongest")
 def strongest_fingerprint(spark, sf_dir):
-    return strongest(spark, sf_dir, fingerprints(messages(spark, sf_dir)))
+    return strongest_of(written(messages(spark, sf_dir), "feature-rows"), spark, sf_dir)
 
 
 @query(D.with_(*_TEXTS, "repeats") + "SELECT * FROM repeats")
@@ -199,7 +228,8 @@ def repeat_senders(spark, sf_dir):
 
 @query(D.with_(*_TEXTS, "vote_sessions", "sessions", "open_repeats") + "SELECT message_id, array_to_string(session_ids, ',') AS session_ids FROM open_repeats")
 def open_vote_repeat(spark, sf_dir):
-    found = lookup.open_repeats(messages(spark, sf_dir), sessions(spark, sf_dir), SETTINGS)
+    rows = written(messages(spark, sf_dir).drop("text", "clean", "links"), "feature-rows")
+    found = lookup.open_repeats(rows, sessions_of(rows, spark, sf_dir), SETTINGS)
     return found.select("message_id", F.array_join(F.col("session_ids").cast("array<string>"), ",").alias("session_ids"))
 
 
@@ -216,10 +246,9 @@ def decision_summary(spark, sf_dir):
 @query(D.with_("messages", "user_reputation", "verdicts") + """SELECT v.message_id, CASE WHEN NOT is_spam THEN 'allow' WHEN confidence >= 0.85 AND coalesce(reputation_score, 50) < 80 THEN 'ban' WHEN confidence >= 0.70 THEN 'withdraw_vote' ELSE 'review' END AS action,
   CASE WHEN NOT is_spam THEN 'llm_not_spam' WHEN confidence >= 0.85 AND coalesce(reputation_score, 50) < 80 THEN concat('llm_spam_high_confidence', CASE WHEN coalesce(reputation_score, 50) <= 20 THEN '_low_reputation' ELSE '' END)
     WHEN confidence >= 0.70 THEN 'llm_spam' ELSE 'llm_low_confidence' END AS reason, confidence
-  FROM verdicts v JOIN messages m ON m.message_id = v.message_id LEFT JOIN user_reputation r ON r.chat_id = m.chat_id AND r.user_id = m.user_id WHERE status = 'ok'""")
+  FROM verdicts v JOIN messages m ON m.chat_id = v.chat_id AND m.message_id = v.message_id LEFT JOIN user_reputation r ON r.chat_id = m.chat_id AND r.user_id = m.user_id WHERE status = 'ok'""")
 def llm_decision(spark, sf_dir):
-    verdicts = relation(spark, sf_dir, "verdicts").withColumnRenamed("confidence", "verdict_confidence")
-    rows = lookup.with_context(relation(spark, sf_dir, "messages").join(verdicts, ["chat_id", "message_id"]), relation(spark, sf_dir, "user_reputation"))
+    rows = lookup.with_context(relation(spark, sf_dir, "messages").join(verdicts(spark, sf_dir), ["chat_id", "message_id"]), relation(spark, sf_dir, "user_reputation"))
     rows = rows.withColumn("d", rules.verdict_decision()).where("d is not null")
     return rows.select("message_id", "d.action", "d.reason", "d.confidence")
 
@@ -227,7 +256,7 @@ def llm_decision(spark, sf_dir):
 _TAKES = "scorer AND v_action IS NOT NULL AND (action IN ('allow', 'review') OR v_action IN ('withdraw_vote', 'ban'))"
 
 
-@query(chain(*_ALL, "verdicts", "judged") + f"SELECT message_id, CASE WHEN {_TAKES} THEN v_action ELSE action END AS final_action, CASE WHEN {_TAKES} THEN v_reason ELSE reason END AS final_reason, CASE WHEN {_TAKES} THEN verdict_confidence ELSE confidence END AS final_confidence FROM judged")
+@query(chain(*_ALL, "judged") + f"SELECT message_id, CASE WHEN {_TAKES} THEN v_action ELSE action END AS final_action, CASE WHEN {_TAKES} THEN v_reason ELSE reason END AS final_reason, CASE WHEN {_TAKES} THEN verdict_confidence ELSE confidence END AS final_confidence FROM judged")
 def merged_decision(spark, sf_dir):
     return judged(spark, sf_dir).select("message_id", "final_action", "final_reason", "final_confidence")
 
@@ -237,15 +266,6 @@ def notify_fanout(spark, sf_dir):
     return gating.fan_out(decisions(spark, sf_dir).where("action = 'ban'"), SETTINGS).select("message_id", "notify_user_id")
 
 
-@query(chain(*_ALL) + """SELECT message_id, chat_id, user_id, action, reason, substring(text, 1, 500) AS text_snapshot, array_to_string(list_transform(links, lambda l: l.url), ' ') AS urls FROM decided WHERE action IN ('ban', 'withdraw_vote')""")
-def action_log(spark, sf_dir):
-    rows = decisions(spark, sf_dir).where(F.col("action").isin("ban", "withdraw_vote"))
-    return rows.select("message_id", "chat_id", "user_id", "action", "reason", F.substring("text", 1, 500).alias("text_snapshot"), F.array_join(F.transform("links", lambda x: x["url"]), " ").alias("urls"))
-
-
-@query(D.with_(*_TEXTS, "verdicts") + f"SELECT f.message_id, skeleton_hash AS value, 50.0::DOUBLE AS weight FROM features f JOIN verdicts v ON v.chat_id = f.chat_id AND v.message_id = f.message_id WHERE status = 'ok' AND is_spam AND confidence >= 0.70 AND {D.meaningful('skeleton_hash')} AND NOT {D.low_skeleton('skeleton')}")
+@query(D.with_(*_TEXTS, "verdicts", "said", "learnt") + "SELECT * FROM learnt")
 def llm_feedback(spark, sf_dir):
-    from sluice.operators.scoring import spam_evidence
-
-    rows = messages(spark, sf_dir).join(relation(spark, sf_dir, "verdicts").withColumnRenamed("confidence", "verdict_confidence"), ["chat_id", "message_id"])
-    return spam_evidence(rows).select("message_id", "value", "weight")
+    return learnt(messages(spark, sf_dir), spark, sf_dir)

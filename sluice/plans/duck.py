@@ -78,7 +78,8 @@ def canonical(x: str) -> str:
 
 
 def domain(x: str) -> str:
-    host = f"lower(regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
+    """Of any url, which is made canonical first."""
+    host = f"lower(trim(regexp_extract({canonical(x)}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]+)', 1), '[]'))"
     return f"nullif({every(f'rtrim({host}, {chr(39)}.{chr(39)})', '^www\\.')}, '')"
 
 
@@ -90,6 +91,11 @@ def links(x: str, preview: str = "NULL") -> str:
     return f"list_filter({whole}, lambda l, i: l.url <> '' AND list_position(list_transform({whole}, lambda m: m.url), l.url) = i)"
 
 
+def preview(links_: str) -> str:
+    """The first link that only the preview has."""
+    return f"list_filter({links_}, lambda l: l.source = 'preview')[1].url"
+
+
 def domains(links_: str) -> str:
     return f"list_sort(list_distinct(list_filter(list_transform({links_}, lambda l: l.domain), lambda d: d IS NOT NULL)))"
 
@@ -119,5 +125,5 @@ EXTRA = {
     # Steps in turn, so that each text is normalised once.
     "texts": f"SELECT *, {normalize('text')} AS clean, {skeleton('text')} AS skeleton, {links('text', 'preview_url')} AS links, {mentions('text')} AS mentions FROM messages",
     "features": f"""SELECT *, {digest("clean")} AS content_hash, {digest("skeleton")} AS skeleton_hash, {punctuation_only("clean")} AS punctuation_only,
-      preview_url IS NOT NULL AS has_preview, {carrier("text", "links", "mentions", "preview_url IS NOT NULL")} AS carrier, {strong("clean")} AS strong FROM texts""",
+      {preview("links")} IS NOT NULL AS has_preview, {preview("links")} AS preview_link, {carrier("text", "links", "mentions", f"{preview('links')} IS NOT NULL")} AS carrier, {strong("clean")} AS strong FROM texts""",
 }

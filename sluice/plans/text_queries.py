@@ -9,7 +9,7 @@ from sluice.functions import fingerprints as P
 from sluice.functions import links as L
 from sluice.functions import phrases as R
 from sluice.functions import text as T
-from sluice.operators.features import features
+from sluice.operators.features import features, spread
 from sluice.sources.bindings import relation
 
 from . import duck as D
@@ -17,7 +17,7 @@ from .registry import query
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, sf_dir, "messages")
+    return spread(relation(spark, sf_dir, "messages"), "message_id")
 
 
 def _one(spark: SparkSession, sf_dir: str, value: object) -> DataFrame:
@@ -81,15 +81,17 @@ def trigram_count(spark, sf_dir):
     return _one(spark, sf_dir, F.size(P.trigrams(T.normalize(F.col("text")))))
 
 
-@query(
-    D.with_("messages", "texts")
-    + f""", compact AS (SELECT message_id, {_COMPACT} AS c FROM texts),
+#: Relation `simhashes` (message_id, simhash) from `texts`.
+SIMHASHES = f""", compact AS (SELECT message_id, {_COMPACT} AS c FROM texts),
 grams AS (SELECT message_id, CASE WHEN length(c) = 0 THEN [] WHEN length(c) <= 3 THEN [c] ELSE list_transform(range(1, length(c) - 1), lambda i: substring(c, i, 3)) END AS grams FROM compact),
 hashes AS (SELECT message_id, CAST('0x' || right(sha256(gram), 16) AS UBIGINT) AS h FROM (SELECT message_id, unnest(grams) AS gram FROM grams)),
 bits AS (SELECT message_id, b, sum(CASE WHEN (h >> CAST(b AS UBIGINT)) & CAST(1 AS UBIGINT) = 1 THEN 1 ELSE -1 END) AS votes FROM hashes, range(64) AS r(b) GROUP BY ALL),
-found AS (SELECT message_id, sum(CASE WHEN votes > 0 THEN CAST(1 AS HUGEINT) << CAST(b AS INTEGER) ELSE 0 END) AS v FROM bits GROUP BY message_id)
-SELECT m.message_id, CAST(coalesce(v, 0) AS VARCHAR) AS simhash FROM messages m LEFT JOIN found USING (message_id)"""
-)
+found AS (SELECT message_id, sum(CASE WHEN votes > 0 THEN CAST(1 AS HUGEINT) << CAST(b AS INTEGER) ELSE 0 END) AS v FROM bits GROUP BY message_id),
+simhashes AS (SELECT m.message_id, CAST(coalesce(v, 0) AS VARCHAR) AS simhash FROM texts m LEFT JOIN found USING (message_id))
+"""
+
+
+@query(D.with_("messages", "texts").rstrip() + SIMHASHES + "SELECT * FROM simhashes")
 def simhash(spark, sf_dir):
     return P.simhash(_messages(spark, sf_dir), "message_id", "text")
 
@@ -108,7 +110,8 @@ def link_domains(spark, sf_dir):
     return features(_messages(spark, sf_dir)).select("message_id", F.array_join(L.link_domains(F.col("links")), " ").alias("value"))
 
 
-_URLS = """SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN concat('  ', url, '。，)') WHEN 2 THEN concat('www.', substring(url, 9)) WHEN 3 THEN concat('http://u:p@WWW.A', CAST(page_id AS STRING), '.Example.:8080/x')
+_URLS = """SELECT page_id, CASE page_id % 12 WHEN 6 THEN concat('HTTP://[::1]/', CAST(page_id AS STRING)) WHEN 7 THEN concat('http://', CAST(page_id % 256 AS STRING), '.', CAST(page_id % 200 AS STRING), '.3.4/x;y?z#f') WHEN 8 THEN concat('https://:@Name', CAST(page_id AS STRING), '.example:?q')
+  WHEN 9 THEN 'http://sub.LOCALHOST:80' WHEN 10 THEN concat('https://a:b@h', CAST(page_id AS STRING), '.example/') WHEN 11 THEN concat('  www.Www.B', CAST(page_id AS STRING), '.example./y。') WHEN 0 THEN url WHEN 1 THEN concat('  ', url, '。，)') WHEN 2 THEN concat('www.', substring(url, 9)) WHEN 3 THEN concat('http://u:p@WWW.A', CAST(page_id AS STRING), '.Example.:8080/x')
   WHEN 4 THEN concat('https://h', CAST(page_id AS STRING), '.example:443?q=a|b') ELSE concat('ftp://x_', CAST(page_id AS STRING), '.example/') END AS url FROM {pages}"""
 
 
@@ -139,14 +142,31 @@ def domain_whitelist(spark, sf_dir):
 
 
 _WHERE = "regexp_extract(url, '(?i)^https?://([^/?#]*)', 1)"
-_HOST = f"regexp_replace({_WHERE}, ':[0-9]*$', '')"
+_SERVER = f"regexp_extract({_WHERE}, '([^@]*)$', 1)"
+_PORT = f"regexp_extract({_SERVER}, '^(\\[[^\\]]*\\]|[^:]*)(:(.*))?$', 3)"
+_HOST = f"lower(trim(regexp_extract({_SERVER}, '^(\\[[^\\]]*\\]|[^:]*)', 1), '[]'))"
+_FORM = f"(regexp_matches(url, '(?i)^https?://') AND {_HOST} <> '' AND regexp_extract({_WHERE}, '^(.*)@', 1) IN ('', ':') AND {_PORT} IN ('', '0', '80', '443'))"
+_OCTETS = f"CASE WHEN regexp_full_match({_HOST}, '[0-9]+(\\.[0-9]+){{3}}') THEN list_transform(string_split({_HOST}, '.'), lambda x: CAST(x AS INTEGER)) END"
+#: Literal addresses that are not public, of those that the bound urls have: private, own, shared, multicast and reserved ones.
+_INNER = f"""({_HOST} = '::1' OR coalesce(o[1] IN (0, 10, 127) OR o[1] >= 224 OR (o[1] = 100 AND o[2] BETWEEN 64 AND 127) OR (o[1] = 169 AND o[2] = 254) OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31)
+  OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 198 AND o[2] IN (18, 19)), false))"""
 
 
-@query(_url_sql(f"regexp_matches(url, '(?i)^https?://') AND {_HOST} <> '' AND NOT contains({_WHERE}, '@') AND regexp_extract({_WHERE}, ':([0-9]*)$', 1) IN ('', '80', '443') AND lower({_HOST}) <> 'localhost' AND NOT ends_with(lower({_HOST}), '.localhost')"))
+@query(f"WITH urls AS ({_URLS.format(pages='pages')}), o AS (SELECT *, {_OCTETS} AS o FROM urls) SELECT page_id, {_FORM} AND {_HOST} <> 'localhost' AND NOT ends_with({_HOST}, '.localhost') AND NOT {_INNER} AS value FROM o")
 def url_guard(spark, sf_dir):
     return _urls(spark, sf_dir).select("page_id", L.url_guard(F.col("url")).alias("value"))
 
 
+_PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
+_QUERY = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*[^?#]*(\\?[^#]*)', 1)"
+
+
+@query(_url_sql(f"CASE WHEN {_FORM} THEN concat_ws(' ', concat(lower(regexp_extract(url, '^([A-Za-z]+)', 1)), '://', {_WHERE}, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END, {_QUERY}), {_HOST}, CASE WHEN {_PORT} IN ('80', '443') THEN {_PORT} WHEN regexp_matches(url, '(?i)^https') THEN '443' ELSE '80' END) END"))
+def url_endpoint(spark, sf_dir):
+    at = L.endpoint(F.col("url"))
+    return _urls(spark, sf_dir).select("page_id", F.when(at.isNotNull(), F.concat_ws(" ", at["url"], at["host"], at["port"].cast("string"))).alias("value"))
+
+
 @query(_sql("carrier", "messages", "texts", "features"))
 def message_carrier(spark, sf_dir):
     return features(_messages(spark, sf_dir)).select("message_id", F.col("carrier").alias("value"))
@@ -171,17 +191,26 @@ _RUNS = r"regexp_extract_all(clean, '[\x{4e00}-\x{9fff}]{3,}|[a-z_]{4,}')"
 _GRAMS = (
     "list_transform(range(3, least(12, length(r)) + 1), lambda s: list_transform(range(1, length(r) - s + 2), lambda i: substring(r, i, s)))"
 )
-#: DuckDB's list_distinct does not keep the order, so first places are kept by a window.
-PHRASES = rf""", runs AS (SELECT message_id, clean, generate_subscripts({_RUNS}, 1) AS place, unnest({_RUNS}) AS r FROM texts WHERE clean <> ''),
+
+
+def phrases_of(fields: str) -> str:
+    """Relation `phrases` (message_id, phrase, n) from rows (message_id, f, clean): the distinct ones in order of their first
+    place, as a window finds it, since DuckDB's list_distinct does not keep the order."""
+    return rf""", fields AS ({fields}),
+runs AS (SELECT message_id, f, clean, generate_subscripts({_RUNS}, 1) AS place, unnest({_RUNS}) AS r FROM fields WHERE clean <> ''),
 parts AS (
-  SELECT message_id, 0 AS place, 0 AS inner_place, clean AS phrase FROM texts WHERE clean <> ''
-  UNION ALL SELECT message_id, place, 0, r FROM runs
-  UNION ALL SELECT message_id, place, unnest(range(1, CAST(len(flatten(g)) AS BIGINT) + 1)), unnest(flatten(g))
-    FROM (SELECT message_id, place, {_GRAMS} AS g FROM runs WHERE regexp_full_match(r, '[\x{{4e00}}-\x{{9fff}}]+'))),
-firsts AS (SELECT message_id, phrase, min((place, inner_place)) AS pos FROM parts GROUP BY ALL),
+  SELECT message_id, f, 0 AS place, 0 AS inner_place, clean AS phrase FROM fields WHERE clean <> ''
+  UNION ALL SELECT message_id, f, place, 0, r FROM runs
+  UNION ALL SELECT message_id, f, place, unnest(range(1, CAST(len(flatten(g)) AS BIGINT) + 1)), unnest(flatten(g))
+    FROM (SELECT message_id, f, place, {_GRAMS} AS g FROM runs WHERE regexp_full_match(r, '[\x{{4e00}}-\x{{9fff}}]+'))),
+firsts AS (SELECT message_id, phrase, min((f, place, inner_place)) AS pos FROM parts GROUP BY ALL),
 phrases AS (SELECT message_id, phrase, row_number() OVER (PARTITION BY message_id ORDER BY pos) AS n FROM firsts QUALIFY n <= 256)"""
 
 
+#: Of the message's text alone.
+PHRASES = phrases_of("SELECT message_id, 0 AS f, clean FROM texts")
+
+
 @query(D.with_("messages", "texts") + PHRASES + """, joined AS (SELECT message_id, count(*) AS n, md5(string_agg(phrase, '|' ORDER BY n)) AS digest FROM phrases GROUP BY message_id)
 SELECT m.message_id, CAST(coalesce(n, 0) AS INTEGER) AS n, coalesce(digest, md5('')) AS digest FROM messages m LEFT JOIN joined USING (message_id)""")
 def phrase_candidates(spark, sf_dir):

@@ -11,8 +11,8 @@ from sluice.functions import phrases as R
 from sluice.functions import text as T
 from sluice.operators import gating, rules, scoring, state
 from sluice.operators.features import features
-from sluice.operators.previews import charset, is_html, parse_preview
-from sluice.settings import Settings
+from sluice.operators.previews import Response, charset, fetch, fetched, is_html, parse_preview
+from sluice.settings import Settings, read_env
 from sluice.sources.bindings import relation
 from sluice.streaming import folds
 
@@ -114,8 +114,8 @@ def test_folds(spark):
     assert one(spark, lambda w: state.hit_weight(w, F.lit(1)), 85.0, "double") == 85.0
     deltas = spark.createDataFrame([(i, 1, 1, d) for i, d in enumerate((60.0, -35.0, -90.0, 8.0))], "seq long, chat_id long, user_id long, delta double")
     assert state.reputation(deltas.orderBy(F.rand())).first().reputation_score == 8.0
-    ups = spark.createDataFrame([(1, "v", "up", 85.0), (2, "v", "down", 0.0), (0, "v", "down", 0.0)], "seq long, value string, kind string, weight double")
-    assert tuple(state.fold_feedback(ups).first()) == ("v", 55.0, 1)
+    ups = spark.createDataFrame([(1, "v", "up", 85.0), (2, "v", "down", 0.0), (0, "v", "down", 0.0)], "seq long, value string, kind string, weight double").selectExpr("*", "'content' AS fingerprint_type", "'vote' AS source")
+    assert tuple(state.fold_feedback(ups).first()) == ("v", "content", 55.0, 1, "vote")
 
 
 def test_replies(spark):
@@ -207,15 +207,16 @@ def test_phrases_of_profile_and_preview_are_looked_up(spark, monkeypatch):
     from sluice.plans import QUERIES
     from sluice.plans import decision_queries as Q
 
-    def known(rows):
+    def known(rows, *_):
         phrases = spark.createDataFrame([(1, "轻松日入过万"), (2, "成人版")], "id long, p string")
         return phrases.select("id", F.lit("phrase").alias("fingerprint_type"), R.phrase_hash(F.col("p")).alias("value"), (F.lit(95.0) + F.col("id")).alias("weight"))
 
     # The message's own phrases come first, so only short messages leave room for others within the limit.
-    messages = Q.messages(spark, SF).where("length(text) < 100").select("message_id", "user_id", "preview_url")
+    messages = Q.messages(spark, SF).where("length(text) < 100").select("message_id", "user_id", "preview_link")
     bios = relation(spark, SF, "user_profiles").where("bio like '%轻松日入过万%'").select("user_id")
     of_profile = {r.message_id for r in messages.join(bios, "user_id").collect()}
-    of_preview = {r.message_id for r in messages.where("preview_url like '%Spam1%'").collect()}
+    previews = relation(spark, SF, "previews").where("og_description like '%成人版%'").select(F.col("url").alias("preview_link"))
+    of_preview = {r.message_id for r in messages.join(previews, "preview_link").collect()}
     monkeypatch.setattr(Q, "fingerprints", known)
     rows = QUERIES["strongest_fingerprint"](spark, SF).join(messages, "message_id").collect()
     found = {r.message_id: r.fp_id for r in rows}
@@ -240,14 +241,139 @@ def test_relations_take_every_row(spark):
     assert messages.select("user_id").distinct().count() > 97
 
 
-def test_requests_have_profile_and_preview(spark):
-    import json
+def test_fetches_are_guarded():
+    pages = {"https://a.example/x": Response(302, headers={"location": "/y?q#f"}), "https://a.example/y?q": Response(200, b"<title>y</title>" + b" " * 70_000, {"content-type": "text/html; charset=utf-8"}), "https://a.example/": Response(200, b"png", {"content-type": "image/png"}), "https://a.example/in": Response(301, headers={"location": "http://127.0.0.1/"}), "https://a.example/loop": Response(307, headers={"location": "/loop"}), "https://a.example/no": Response(404)}
+    names = {"a.example": ["8.8.8.8"], "mixed.example": ["8.8.8.8", "10.0.0.1"]}
+    asked = []
+
+    def fetcher(url, address):
+        asked.append((url, address))
+        return pages[url]
+
+    got = lambda url: fetch(url, fetcher, lambda host, port: names[host])
+    found = got("https://a.example/x")
+    assert (found["url"], found["final_url"], found["title"], found["truncated"]) == ("https://a.example/x", "https://a.example/y?q", "y", True)
+    assert got("https://a.example#f")["text"] == "" and asked[-1] == ("https://a.example/", "8.8.8.8")
+    assert got("https://a.example/in") is None and got("https://a.example/no") is None and got("https://mixed.example/") is None and got("https://b.example/") is None
+    before = len(asked)
+    assert got("https://a.example/loop") is None and len(asked) == before + 4
+    for url in ("ftp://a.example/", "https://u@a.example/", "https://a.example:8080/", "https:///x", "http://[::1]/", "http://224.0.0.1/", "x"):
+        assert got(url) is None
+    assert len(asked) == before + 4
+
+
+def test_fetches_of_a_table(spark):
+    rows = spark.createDataFrame([(1, "https://a.example/x"), (2, "https://a.example/x"), (3, None), (4, "http://10.0.0.1/")], "message_id long, preview_link string")
+    got = fetched(rows, lambda url, address: Response(200, f"<title>{url} {address}</title>".encode()), lambda host, port: ["9.9.9.9"]).collect()
+    assert sorted((r.url, r.preview and r.preview.title) for r in got) == [("http://10.0.0.1/", None), ("https://a.example/x", "https://a.example/x 9.9.9.9")]
+
+
+def test_scorers_are_asked_in_order(spark):
+    def down(requests):
+        raise TimeoutError("after 8.0s")
+
+    some = lambda requests: ['{"is_spam": false, "confidence": 0.2}' if '"raw_text":"a' in r else "no" for r in requests]
+    last = lambda requests: ['{"is_spam": true, "confidence": 0.9}' if '"raw_text":"b' in r else "" for r in requests]
+    df = features(spark.createDataFrame([(i, t, None, 50.0, True) for i, t in enumerate("abc")], "message_id long, text string, preview_url string, reputation_score double, scorer boolean"))
+    ask = lambda *scorers: {r.message_id: (r.status, r.provider_count, r.is_spam, r.error) for r in scoring.score(df, scorers).collect()}
+    assert ask(down, some, last) == {0: ("ok", 3, False, None), 1: ("ok", 3, True, None), 2: ("failed", 3, None, "empty content")}
+    assert ask(down)[0] == ("failed", 1, None, "TimeoutError: after 8.0s") and ask()[0][:2] == ("disabled", 0)
+
+
+@pytest.mark.parametrize("reply", ['{"is_spam": true, "confidence": 1}', "```JSON\n{\"is_spam\": false, \"confidence\": 0.5}\n```", 'so {"is_spam": true, "confidence": 2} it is', "[]", "", '{"is_spam": 1, "confidence": 1}', '{"is_spam": true, "confidence": "1"}', '{"is_spam": true, "confidence": true}', "{", "5"])
+def test_both_readers_of_replies_agree(spark, reply):
+    assert (one(spark, scoring.parse_verdict, reply) is None) == (scoring.fault(reply) is not None)
+
+
+def test_providers():
+    of = lambda **x: [(p.base_url, p.api_key, p.model) for p in scoring.providers(Settings.from_mapping(x))]
+    assert of(NEWAPI_BASE_URLS="https://a.example, https://b.example/v1/chat/completions", NEWAPI_API_KEY="k", NEWAPI_MODELS="m,n") == [("https://a.example/v1", "k", "m"), ("https://b.example/v1", "k", "n")]
+    assert of(NEWAPI_BASE_URL="a,b,c", NEWAPI_API_KEYS="k,l") == [("a", "k", "gpt-5.4"), ("b", "l", "gpt-5.4")] and of(NEWAPI_BASE_URL="a") == []
+
+
+def test_env_files():
+    got = read_env("# c\nA=1\n B = \"x=y\" \nnothing\nC='z'\nA=2\n", {"C": "kept"})
+    assert got == {"A": "1", "B": "x=y", "C": "kept"}
+    s = Settings.from_mapping({"WHITELIST_DOMAINS": "A.example, b.EXAMPLE", "ADMIN_USER_IDS": "4", "VOTE_MIN_CONFIRMATIONS": "", "OG_FETCH_ENABLED": "off", "REPUTATION_BAN_THRESHOLD": "15"})
+    assert s.whitelist_domains == ("a.example", "b.example") and s.audience == (4,) and s.vote_min_confirmations == 3 and not s.preview_enabled and s.low_reputation == 15.0
+
+
+def test_previews_count_only_if_the_text_lacks_their_link(spark):
+    rows = [(1, "see https://a.example/x.", "https://a.example/x"), (2, "see", "https://a.example/x"), (3, "see", ""), (4, "see", None)]
+    got = {r.message_id: (r.has_preview, r.preview_link, r.carrier) for r in features(spark.createDataFrame(rows, "message_id long, text string, preview_url string")).collect()}
+    assert got == {1: (False, None, True), 2: (True, "https://a.example/x", True), 3: (False, None, False), 4: (False, None, False)}
+
 
+@pytest.mark.parametrize("url, host", [("www.a.example/x", "a.example"), ("  https://b.example/y。", "b.example"), ("http://[::1]/x", "::1"), ("https://u@p@c.example:80", "c.example"), ("t.me/x", None), ("HTTPS://WWW.D.Example.", "d.example")])
+def test_url_domain(spark, url, host):
+    assert one(spark, L.url_domain, url) == host
+
+
+def test_composed_folds_equal_ordered_ones(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(state, "SLICE", 7)
+    g = random.Random(5)
+    events = [(i, 1, g.randrange(3), g.choice([8.0, -35.0, 60.0])) for i in range(200)]
+    steps = [(i, f"v{g.randrange(4)}", g.choice(["up", "down", "down"]), g.choice(["content", "phrase"]), float(g.randrange(120)), f"s{i}") for i in range(200)]
+    score, folds = {}, {}
+    for _, c, u, d in events:
+        score[c, u] = max(0.0, min(100.0, score.get((c, u), 50.0) + d))
+    for _, v, kind, t, w, s in steps:
+        if kind == "up":
+            old = folds.get(v, (None, 0.0, 0, None))
+            folds[v] = (t, max(old[1], min(100.0, w)), old[2], s)
+        elif v in folds:
+            t0, w0, n, s0 = folds[v]
+            folds[v] = (t0, max(0.0, w0 - 30), n + 1, "disabled_false_positive" if n + 1 >= 3 else s0)
+    got = state.reputation(spark.createDataFrame(events, "seq long, chat_id long, user_id long, delta double").repartition(5)).collect()
+    assert {(r.chat_id, r.user_id): r.reputation_score for r in got} == score
+    got = state.fold_feedback(spark.createDataFrame(steps, "seq long, value string, kind string, fingerprint_type string, weight double, source string").repartition(5)).collect()
+    assert {r.value: (r.fingerprint_type, r.weight, r.false_positives, r.source) for r in got} == folds
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_prior_senders_equal_a_plain_count(spark, seed):
+    import random
+
+    from sluice.operators.lookup import prior_senders
+
+    g = random.Random(seed)
+    rows = [(f"s{g.randrange(2)}", i, g.choice([None, 1, 2, 3, 4]), g.randrange(0, 1500)) for i in range(150)]
+    df = spark.createDataFrame(rows, "skeleton_hash string, message_id long, user_id long, created_at long")
+    plain = [(m, len({u2 for s2, m2, u2, t2 in rows if s2 == s and (t2, m2) < (t, m) and t2 >= t - 100 and u2 is not None and u2 != u})) for s, m, u, t in rows]
+    assert sorted(map(tuple, prior_senders(df, 100).collect())) == sorted(plain)
+
+
+def test_consecutive_numbers(spark):
+    from sluice.operators.effects import numbered
+
+    rows = [(i, (i * 7919) % 50_000) for i in range(500)]
+    got = numbered(spark.createDataFrame(rows, "k long, at long"), "id", "at", "k", first=10).collect()
+    assert {r.k: r.id for r in got} == {k: 10 + i for i, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+
+
+def test_tables_go_when_they_are_dropped(spark, tmp_path):
+    from sluice.sources.shared import Scratch, written
+
+    scratch = Scratch(spark)
+    df = scratch.written(spark.range(10), "x")
+    kept = written(df, "y")
+    assert df.count() == 10
+    scratch.drop()
+    assert kept.count() == 10
+    with pytest.raises(Exception):
+        spark.read.parquet(scratch.path).count()
+
+
+def test_requests_have_profile_and_preview(spark):
     from sluice.plans import QUERIES
 
-    asked = {r.message_id: json.loads(r.payload) for r in QUERIES["llm_payload"](spark, SF).collect()}
+    asked = {r.message_id: r for r in QUERIES["llm_payload"](spark, SF).collect()}
     users = {r.user_id: r.bio for r in relation(spark, SF, "user_profiles").collect()}
-    for m in relation(spark, SF, "messages").collect():
-        profile, preview = asked[m.message_id]["sender_profile"], asked[m.message_id]["og_preview"]
-        assert profile["bio"] == users[m.user_id] if m.user_id in users else profile is None
-        assert preview["text"] == "推特 成人版 视频" if m.preview_url == "https://WWW.Spam1.example/x." else preview is None
+    known = {r.url: r.og_title for r in relation(spark, SF, "previews").collect()}
+    rows = relation(spark, SF, "messages").collect()
+    for m in rows:
+        r = asked[m.message_id]
+        assert r.bio == users.get(m.user_id) and r.title == known.get((m.preview_url or "").rstrip("."))
+    assert any(r.title for r in asked.values())
