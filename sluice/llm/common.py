@@ -1,29 +1,29 @@
-"""What the training-data operators share: tables in the shared folder, and keys."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.sources.shared import Scratch, forget, shared_dir, written
+
+__all__ = ["Scratch", "bounded_batches", "forget", "free_name", "shared_dir", "table", "written"]
+
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), f"sluice-shared-{os.getpid()}")
-        os.makedirs(found, exist_ok=True)
-    return found
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, where it sets no bounds of its own, so that a Python worker holds a few MB of text at a time."""
+    for name, value in _BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sluice/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
