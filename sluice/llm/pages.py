@@ -3,21 +3,23 @@
 Every element's subtree is hashed together with its page's host.  Spark counts
 on how many distinct pages of a host each subtree recurs, pages with the same
 body being one; subtrees on a good share of them are the site's template and
-are deleted, together with elements that their tag,
+are deleted from each page's tree before anything else.  The main text is then
+looked for in what is left: elements that do not recur, but that their tag,
 role or class marks as menus, headers, footers, sidebars, notices, adverts,
-forms or reader comments.  What is left of the article is written block by
-block.  Within an article, text elements (paragraphs, headings, lists and so
-on) are template only if nearly all pages of the host have them: passages that
-several articles share stay.
+forms or reader comments, go too, and the article (where no element is one,
+all the rest) is written block by block.  Within an article, text elements
+(paragraphs, headings, lists and so on) are template only if nearly all pages
+of the host have them: passages that several articles share stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,10 @@ from .urls import url_parts
 LEAST_PAGES, SHARE = 3, 0.3
 #: The same for text elements within an article, which only notices on nearly every page reach.
 LEAST_WITHIN, SHARE_WITHIN = 10, 0.8
+#: Template subtrees that are broadcast, 8 bytes each; beyond, pages are joined with their host's.
+MOST_MARKS = 4_000_000
+#: Parts that a host's pages are dealt into for that join.
+SALTS = 64
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style".split())
@@ -59,12 +65,13 @@ _SPACES = re.compile(r"\s+")
 
 
 class Node:
-    """An element; children are elements and strings."""
+    """An element; children are elements and strings. inside: within an article or main element."""
 
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "children", "gone", "inside", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.tag, self.attrs, self.parent, self.children, self.gone = tag, attrs, parent, [], False
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
 
 
 class _Builder(HTMLParser):
@@ -73,6 +80,7 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
+        self.nodes = [self.root]  # in page order, so parents stand before their children
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCK:
@@ -87,6 +95,7 @@ class _Builder(HTMLParser):
             if last:
                 self.at = last.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.nodes.append(node)
         self.at.children.append(node)
         if tag not in _VOID:
             self.at = node
@@ -113,13 +122,16 @@ class _Builder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not wanted
 
-def parse(html: str) -> Node:
-    """The page's tree; any text is taken for HTML."""
+
+def parse(html: str) -> list[Node]:
+    """The elements of a page in page order, its root first; any text is taken for HTML."""
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    return builder.root
+    return builder.nodes
 
 
 def _boilerplate(node: Node, inside: bool) -> bool:
@@ -134,83 +146,86 @@ def _boilerplate(node: Node, inside: bool) -> bool:
     return any(_MARKS.search(attrs[k]) for k in ("class", "id") if attrs.get(k))
 
 
-def _walk(root: Node) -> Iterator[tuple[Node, bool, bool]]:
-    """Elements after their children: (element, within an article, whether it begins one)."""
-    stack = [(root, False, False)]
-    while stack:
-        node, inside, done = stack.pop()
-        if done:
-            yield node, inside, node.tag in ("article", "main")
-            continue
-        stack.append((node, inside, True))
-        inner = inside or node.tag in ("article", "main")
-        stack += [(c, inner, False) for c in reversed(node.children) if isinstance(c, Node)]
-
-
-def _key_of(host: str, content: bytes) -> int:
-    """Hash of something on a host: 63 bits and a last bit of 0."""
-    return int.from_bytes(hashlib.blake2b(host.encode("utf-8", "replace") + b"\x00" + content, digest_size=8).digest(), "little", signed=True) & ~1
-
+def _digest(content: bytes) -> bytes:
+    return hashlib.blake2b(content, digest_size=8).digest()
 
-def subtree_hashes(root: Node, host: str) -> dict[int, int]:
-    """id(element) -> hash of host, tag, class and content, of the elements that may be template.
 
-    The last bit is 1 for text elements within an article.
-    """
-    return _hashes(root, host)[0]
+def site_of(host: str) -> int:
+    """A number of 63 bits for a host, with a last bit of 0."""
+    return int.from_bytes(_digest(b"site " + host.encode("utf-8", "replace")), "little", signed=True) & ~1
 
 
-def _hashes(root: Node, host: str) -> tuple[dict[int, int], int]:
-    """The subtree hashes, and the hash of host and whole body (of the whole page where it has none)."""
+def subtree_hashes(nodes: list[Node], host: str) -> tuple[dict[int, int], int]:
+    """The hash of host, tag, class and content of each element that may be template, by place in `nodes`, and that of
+    the whole body (of the whole page where it has none).  The last bit is 1 for text elements within an article."""
     digest: dict[int, bytes] = {}
-    out = {}
-    whole = root
-    for node, inside, begins in _walk(root):
-        h = hashlib.blake2b(node.tag.encode(), digest_size=8)
-        h.update(b"\x01" + node.attrs.get("class", "").encode("utf-8", "replace"))
+    out, whole, site = {}, nodes[0], site_of(host)
+    for place in range(len(nodes) - 1, -1, -1):  # children before their parents
+        node = nodes[place]
+        parts = [node.tag.encode("utf-8", "replace"), b"\x01", node.attrs.get("class", "").encode("utf-8", "replace")]
         empty = True
         for c in node.children:
             if isinstance(c, Node):
-                h.update(b"\x02" + digest[id(c)])
-                empty = empty and len(digest[id(c)]) < 8
-            elif c.strip():
-                h.update(b"\x03" + _SPACES.sub(" ", c).strip().encode("utf-8", "replace"))
-                empty = False
-        digest[id(node)] = h.digest()[: 7 if empty else 8]  # 7 bytes mark an element without text
-        if not empty and not begins and node.tag in _BLOCK and node.tag not in ("html", "body"):
-            out[id(node)] = _key_of(host, digest[id(node)]) | (inside and node.tag in _TEXT)
+                inner = digest[id(c)]
+                parts += (b"\x02", inner)
+                empty = empty and len(inner) < 8
+            else:
+                text = " ".join(c.split())
+                if text:
+                    parts += (b"\x03", text.encode("utf-8", "replace"))
+                    empty = False
+        found = _digest(b"".join(parts))
+        digest[id(node)] = found[:7] if empty else found  # 7 bytes mark an element without text
+        if not empty and node.tag in _BLOCK and node.tag not in ("html", "body", "article", "main"):
+            out[place] = ((int.from_bytes(found, "little", signed=True) ^ site) & ~1) | (node.inside and node.tag in _TEXT)
         if node.tag == "body":
             whole = node
-    return out, _key_of(host, digest[id(whole)])
+    return out, int.from_bytes(digest[id(whole)], "little", signed=True)
+
+
+def remove_template(nodes: list[Node], host: str, template: Container[int]) -> int:
+    """Deletes the subtrees of a page whose hashes are in `template`; how many, those within others not counted."""
+    removed = 0
+    hashes, _ = subtree_hashes(nodes, host)
+    for place, node in enumerate(nodes):
+        if node.parent is not None and node.parent.gone:
+            node.gone = True
+        elif place in hashes and hashes[place] in template:
+            node.gone = True
+            removed += 1
+    return removed
 
 
-def extract(html: str, host: str = "", template: frozenset[int] = frozenset()) -> str:
+def extract(html: str, host: str = "", template: Container[int] = frozenset()) -> str:
     """Text of the article: blocks in page order, joined by newlines; empty if there is none."""
-    root = parse(html)
-    if template:
-        hashes = subtree_hashes(root, host)
-        template = frozenset(k for k, h in hashes.items() if h in template)
+    return _extract(html, host, template)[0]
 
-    def mains(node: Node, tags: tuple[str, ...]) -> list[Node]:
-        found, stack = [], [node]
+
+def _extract(html: str, host: str, template: Container[int]) -> tuple[str, int]:
+    """The text, and the number of template subtrees deleted."""
+    nodes = parse(html)
+    removed = remove_template(nodes, host, template) if template else 0
+
+    def mains(tag: str) -> list[Node]:
+        found, stack = [], [nodes[0]]
         while stack:
             n = stack.pop()
-            if id(n) in template or _boilerplate(n, n.tag in tags):
+            if n.gone or _boilerplate(n, n.tag == tag):
                 continue
-            if n.tag in tags:
+            if n.tag == tag:
                 found.append(n)
             else:
                 stack += [c for c in reversed(n.children) if isinstance(c, Node)]
         return found
 
-    for start in (mains(root, ("article",)), mains(root, ("main",)), [root]):
-        text = _blocks(start, template)
+    for start in (mains("article"), mains("main"), nodes[:1]):
+        text = _blocks(start)
         if text:
-            return text
-    return ""
+            return text, removed
+    return "", removed
 
 
-def _blocks(starts: list[Node], template: frozenset[int]) -> str:
+def _blocks(starts: list[Node]) -> str:
     blocks: list[str] = []
     run: list[str] = []
 
@@ -229,7 +244,7 @@ def _blocks(starts: list[Node], template: frozenset[int]) -> str:
                 flush()
             elif isinstance(node, str):
                 run.append(node)
-            elif node is start or not (id(node) in template or _boilerplate(node, inside)):
+            elif node is start or not (node.gone or _boilerplate(node, inside)):
                 if node.tag == "br":
                     run.append(" ")
                     continue
@@ -241,46 +256,91 @@ def _blocks(starts: list[Node], template: frozenset[int]) -> str:
     return "\n".join(blocks)
 
 
-def extract_pages(df: DataFrame, url: str = "url", html: str = "html", least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """Every row of `df` with `text` and `n_chars` (code points); a null page has an empty text.
+class _Marks:
+    """Sorted hashes, as a container."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def __contains__(self, value: int) -> bool:
+        at = int(np.searchsorted(self.values, value))
+        return at < len(self.values) and int(self.values[at]) == value
+
+
+def templates(df: DataFrame, url: str = "url", html: str = "html", least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    """site, mark: the subtrees that are template on their host, written to the shared folder.
 
-    Columns text and n_chars of `df` are replaced.  Rows of a host with the
-    same body, under whatever urls, count as one page.
+    Rows of a host with the same body, under whatever urls, are one page.  A
+    host has no more of them than its pages have subtrees on average, over
+    `share`, however many its pages are.
     """
-    host, _ = url_parts(f"`{url}`")
-    pages = df.drop("text", "n_chars").withColumn("_host", host).withColumn("_key", F.xxhash64(url, html))
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, int, int, int]] = []
-            for key, host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows: set[tuple[int, int, int]] = set()
+            for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if html:
-                    own, body = _hashes(parse(html), host)
-                    site = _key_of(host, b"")
-                    rows += [(key, site, body, mark) for mark in {site, *own.values()}]
-            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["_key", "site", "body", "mark"])
-
-    def texts(keys: pa.Array, htmls: pa.Array, hosts: pa.Array, templates: pa.Array) -> pa.Array:
-        rows = zip(htmls.to_pylist(), hosts.to_pylist(), templates.to_pylist(), strict=True)
-        return pa.array([extract(html or "", host, frozenset(t or ())) for html, host, t in rows], pa.string())
+                    own, body = subtree_hashes(parse(html), host)
+                    site = site_of(host)
+                    rows |= {(site, body, mark) for mark in {site, *own.values()}}
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["site", "body", "mark"])
 
+    host, _ = url_parts(f"`{url}`")
     # A page's own row, whose mark is its site, counts the site's distinct pages.
-    found = written(pages.select("_key", "_host", html).mapInArrow(marks, "_key bigint, site bigint, body bigint, mark bigint"), "pages-marks")
-    counted = found.select("site", "mark", "body").distinct().groupBy("site", "mark").agg(F.count("*").alias("pages"))
+    found = df.select(host.alias("host"), F.col(html).alias("html")).mapInArrow(marks, "site bigint, body bigint, mark bigint")
+    counted = written(found.distinct().groupBy("site", "mark").agg(F.count("*").alias("pages")).where(F.col("pages") >= least), "pages-recurring")
     own = F.col("mark") == F.col("site")
     sizes = counted.where(own).select("site", F.col("pages").alias("all_pages"))
     within = F.col("mark").bitwiseAND(F.lit(1)) == 1
     enough = F.col("pages") >= F.when(within, F.greatest(F.lit(least), F.lit(LEAST_WITHIN))).otherwise(least)
     often = F.col("pages") >= F.when(within, F.greatest(F.lit(share), F.lit(SHARE_WITHIN))).otherwise(share) * F.col("all_pages")
-    # Stored, so that its size is known before the join and all marks are not shuffled for a small table.
-    template = written(counted.where(~own & enough).join(sizes, "site").where(often).select("mark"), "pages-template")
-    lists = found.join(template, "mark").groupBy("_key").agg(F.collect_set("mark").alias("_template"))
-    rows = pages.join(lists, "_key", "left")
-    out = rows.withColumn("text", F.arrow_udf(texts, "string")("_key", html, "_host", "_template"))
-    return out.withColumn("n_chars", F.char_length("text").cast("bigint")).drop("_host", "_key", "_template")
+    return written(counted.where(~own & enough).join(sizes, "site").where(often).select("site", "mark"), "pages-template")
+
+
+def extract_pages(df: DataFrame, url: str = "url", html: str = "html", least: int = LEAST_PAGES, share: float = SHARE, most_marks: int = MOST_MARKS) -> DataFrame:
+    """Every row of `df` with `text`, `n_chars` (its code points) and `n_template` (template subtrees deleted).
+
+    Columns of these names in `df` are replaced; all others stay.  A null or
+    empty page has an empty text.  Null urls and urls without a host share one
+    nameless host.  Rows of a host with the same body, under whatever urls,
+    count as one page, so repeated rows and mirrors make nothing template, and
+    each still has its text.  An empty table gives no rows.
+    """
+    spark, rest = df.sparkSession, df.drop("text", "n_chars", "n_template")
+    host, _ = url_parts(f"`{url}`")
+    template = templates(df, url, html, least, share)
+    kinds = [pa.string(), pa.int64()]
+
+    def answer(rows: list[tuple[str, int]]) -> pa.Array:
+        columns = list(zip(*rows, strict=True)) or [(), ()]
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["text", "n_template"])
+
+    if template.count() <= most_marks:
+        sent = spark.sparkContext.broadcast(_Marks(np.sort(template.select("mark").toArrow()["mark"].to_numpy())))
+
+        def texts(htmls: pa.Array, hosts: pa.Array) -> pa.Array:
+            return answer([_extract(html or "", host, sent.value) for html, host in zip(htmls.to_pylist(), hosts.to_pylist(), strict=True)])
+
+        found = rest.select("*", F.arrow_udf(texts, "text string, n_template bigint")(html, host).alias("text"))
+    else:
+
+        def texts_of(htmls: pa.Array, hosts: pa.Array, lists: pa.Array) -> pa.Array:
+            rows = zip(htmls.to_pylist(), hosts.to_pylist(), lists.to_pylist(), strict=True)
+            return answer([_extract(html or "", host, frozenset(marks or ())) for html, host, marks in rows])
+
+        sites = F.arrow_udf(lambda hosts: pa.array(map(site_of, hosts.to_pylist()), pa.int64()), "bigint")
+        lists = template.groupBy("site").agg(F.collect_set("mark").alias("marks")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rest.select(F.struct("*").alias("row"), F.col(html).alias("html"), host.alias("host"), F.pmod(F.xxhash64(url, html), F.lit(SALTS)).cast("int").alias("salt"))
+        rows = rows.withColumn("site", sites("host")).join(lists, ["site", "salt"], "left")
+        found = rows.select("row.*", F.arrow_udf(texts_of, "text string, n_template bigint")("html", "host", "marks").alias("text"))
+    out = found.withColumn("n_template", F.col("text.n_template")).withColumn("text", F.col("text.text"))
+    return out.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def op5_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_template")
