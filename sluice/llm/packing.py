@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import table
+from .common import bounded_batches, free_name, table
 
 LENGTH = 4096
 END = 1
 #: Rows whose pieces one task packs.
 GROUP_ROWS = 16384
 #: Words whose ids a worker keeps; beyond, it forgets all and starts again.
-KEPT_WORDS = 2_000_000
+KEPT_WORDS = 500_000
 
 
 def vocabulary() -> str:
@@ -211,11 +211,14 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, path: str | None = None, with_ids: bool = True) -> DataFrame:
-    """key, row (a number that tells rows with equal keys apart), piece, start, length, ids_crc32 and, if asked, ids.
+    """key, piece, start, length, ids_crc32 and, if asked, ids; other columns play no part.
 
     A text's ids are the tokenizer's, then `end`; only longer ones are cut.
-    Null counts as empty, which is `end` alone.
+    Null counts as empty, which is `end` alone.  Null and repeated keys are
+    kept as they are, a row each; an empty table gives no pieces.  Texts go
+    through in blocks of about 2 MB, or one text if it is longer.
     """
+    bounded_batches(df.sparkSession)
     path = path or vocabulary()
     kind = df.schema[key].dataType.simpleString()
 
@@ -250,7 +253,14 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
 
 
 def pack(df: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:
-    """Adds sequence_id and offset to rows with a `length` of at most `length` tokens, in so many groups."""
+    """Adds sequence_id and offset to rows with a `length` of at most `length` tokens, in so many groups.
+
+    Columns of these two names in `df` are replaced.  Rows fall into groups by
+    their values and their partition, so that equal rows, however many, do not
+    meet in one group.
+    """
+    df = df.drop("sequence_id", "offset")
+    group = free_name(df, "group")
     kinds = df.schema
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", sequence_id bigint, offset bigint"
     names = [f.name for f in kinds]
@@ -263,8 +273,8 @@ def pack(df: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:
         base = key[0].as_py() << 32
         return part.append_column("sequence_id", pa.array([base + s for s in sequence], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    spread = F.pmod(F.xxhash64(*[f.name for f in kinds if f.dataType.typeName() != "array"]), F.lit(groups))
-    return df.withColumn("_group", spread).groupBy("_group").applyInArrow(run, out)
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[f.name for f in kinds if f.dataType.typeName() != "array"]), F.lit(groups))
+    return df.withColumn(group, spread).groupBy(group).applyInArrow(run, out)
 
 
 def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", with_ids: bool = False, **options: object) -> DataFrame:

@@ -8,12 +8,14 @@ a logistic unit gives the window's probability.  A text is cut into windows
 that overlap by a quarter, all of them are scored, and the largest is the text's score.
 
 The training sample is bounded (`SAMPLE` rows of each class, the least by a
-hash of their key; of each a bounded number of windows a round): it alone
-comes to the driver.  Scoring covers every window of every text.
+hash of their key; of each a bounded number of windows a round): it meets in
+one task, and the trained network alone comes to the driver.  Scoring covers
+every window of every text.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import table
+from .common import Scratch, bounded_batches, table
 
 #: Rows of each class, of at most so many UTF-8 bytes, that training uses.
 SAMPLE, SAMPLE_BYTES = 1000, 20_000
@@ -314,29 +316,43 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Trains on a bounded sample of labelled rows whose crc32(key as text) mod 5 is not 0.
 
     Rows of other labels than 0 and 1 and null keys are not used.  Of rows with
-    one key, the label is the larger and the text the least.
+    one key, the label is the larger and the text the least.  The sample meets
+    in one task, which trains; only the network, of fixed size, comes to the
+    driver.  Without labelled rows all scores are low.
     """
+    bounded_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     fold = F.crc32(F.col("key").cast("string").cast("binary"))
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and key is not null")
     marked = marked.where(fold % FOLDS != HELD_OUT).groupBy("key").agg(F.max("label").alias("label")).withColumn("turn", F.xxhash64("key"))
     sizes = docs.select(F.col(key).alias("key"), F.octet_length(text).alias("size"), F.col(text).alias("text"))
     short = sizes.where(F.col("size") <= SAMPLE_BYTES)
-    known = marked.join(short.select("key").distinct(), "key")
-    kinds = known.schema["key"].dataType.simpleString()
-    picks = [r for c in (0, 1) for r in known.where(F.col("label") == c).orderBy("turn", "key").limit(SAMPLE).collect()]
-    if not picks:
-        return train([], np.zeros(0, bool))
-    ids = docs.sparkSession.createDataFrame([(r.key,) for r in picks], f"key {kinds}")
-    got = {r.key: r.text for r in short.join(F.broadcast(ids), "key").groupBy("key").agg(F.min("text").alias("text")).collect()}
-    rows = sorted((r.key, got[r.key], r.label) for r in picks)
-    return train([t for _, t, _ in rows], np.array([c for _, _, c in rows], bool))
+    known = scratch.written(marked.join(short.select("key"), "key", "left_semi"), "labelled")
+    first, second = (known.where(F.col("label") == c).orderBy("turn", "key").limit(SAMPLE) for c in (0, 1))
+    picks = scratch.written(first.unionByName(second).select("key", "label"), "picks")
+    sample = short.join(F.broadcast(picks), "key").groupBy("key").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        net = train([t for _, t, _ in rows], np.array([c for _, _, c in rows], bool))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p)], pa.binary())], names=["weights"])
+
+    found = sample.coalesce(1).mapInArrow(learn, "weights binary").first()
+    scratch.drop()
+    net = Network()
+    net.p = pickle.loads(found.weights) if found else train([], np.zeros(0, bool)).p
+    return net
 
 
 def with_scores(df: DataFrame, net: Network, text: str = "text", into: str = "score") -> DataFrame:
-    """Adds the probability that a text is toxic: that of its most toxic window.
+    """Adds the probability that a text is toxic, that of its most toxic window, as the column `into`.
 
-    A text without tokens, empty or null, has that of a window of none.
+    A text without tokens, empty or null, has that of a window of none.  Every
+    row stays, repeated ones too, and equal texts have equal scores; a column
+    `into` of `df` is replaced.  A long text is read in pieces of a few
+    thousand windows.
     """
+    bounded_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
     def judge(column: pa.Array) -> pa.Array:

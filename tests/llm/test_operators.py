@@ -80,10 +80,12 @@ def test_media_of_texts(spark, odd):
     assert rows[1].error and rows[2].error and rows[3].height == 1 and rows[3].error is None
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_equal_a_plain_model(spark, odd, order):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_equal_a_plain_model(spark, odd, order, monkeypatch):
     import math
 
+    monkeypatch.setattr(ngrams, "LANE", 3)
+
     k_ = 5.0
     got = sorted(map(tuple, ngrams.score(odd, order=order, prior=k_).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=str)
     counts, n, plain = collections.Counter(), 0, []
@@ -250,6 +252,87 @@ def test_notices_within_articles_go_and_shared_passages_stay(spark):
     assert got == {i: f"Title {i}\nown {i}" + ("\nA passage of several articles" if i < 8 else "") for i in range(20)}
 
 
+def plain_templates(rows, least=3, share=0.3, least_within=10, share_within=0.8):
+    """Texts without recurring subtrees, by comparing serialised subtrees of pages with one another."""
+    import html.parser
+
+    class Tree(html.parser.HTMLParser):
+        def __init__(self, page):
+            super().__init__()
+            self.root = self.at = ["#", [], None]
+            self.feed(page)
+            self.close()
+
+        def handle_starttag(self, tag, attrs):
+            self.at[1].append([tag, [], self.at])
+            self.at = self.at[1][-1]
+
+        def handle_endtag(self, tag):
+            self.at = self.at[2]
+
+        def handle_data(self, data):
+            self.at[1].append(data)
+
+    def shape(node):
+        return node if isinstance(node, str) else (node[0], *map(shape, node[1]))
+
+    def subtrees(node, inside=False):
+        for c in node[1]:
+            if not isinstance(c, str):
+                yield c, inside and c[0] == "p"
+                yield from subtrees(c, inside or c[0] == "article")
+
+    trees = [Tree(page).root for _, page in rows]
+    distinct = {}
+    for (host, _), tree in zip(rows, trees, strict=True):
+        distinct.setdefault((host, shape(tree)), tree)
+    counts, pages_of = collections.Counter(), collections.Counter(h for h, _ in distinct)
+    for (host, _), tree in distinct.items():
+        counts.update({(host, shape(c), w) for c, w in subtrees(tree) if c[0] not in ("body", "article")})
+
+    def text(node, host, inside=False):
+        out = []
+        for c in node[1]:
+            if isinstance(c, str):
+                out.append(c)
+                continue
+            within = inside and c[0] == "p"
+            n = counts[host, shape(c), within]
+            if n >= (least_within if within else least) and n >= (share_within if within else share) * pages_of[host]:
+                continue
+            out += text(c, host, inside or c[0] == "article")
+        return out
+
+    return ["\n".join(text(t, h)) for (h, _), t in zip(rows, trees, strict=True)]
+
+
+@pytest.mark.parametrize("most_marks", [10**6, 0])
+def test_recurrence_alone_tells_the_template(spark, most_marks):
+    g = random.Random(8)
+    word = lambda: g.choice("alpha beta gamma delta".split()) + str(g.randrange(10**6))
+    rows = []
+    for host, n in (("a.example", 40), ("b.example", 12), ("c.example", 2)):
+        parts = [f"<div>{word()}</div>" for _ in range(3)] + [f"<section><p>{word()}</p><p>{word()}</p></section>"]
+        shared = [f"<p>{word()}</p>" for _ in range(2)]
+        for _ in range(n):
+            body = "".join(p for p in parts if g.random() < 0.7) + "".join(f"<div><p>{word()}</p></div>" for _ in range(2))
+            if g.random() < 0.5:
+                body += "<article>" + "".join(f"<p>{word()}</p>" for _ in range(2)) + shared[0] + (shared[1] if g.random() < 0.3 else "") + "</article>"
+                body = body[body.index("<article>") :]
+            rows.append((host, f"<body>{body}</body>"))
+    rows += [rows[0]] * 5
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", page, "kept", -1) for i, (h, page) in enumerate(rows)], "page_id long, url string, html string, site string, n_chars int")
+    out = pages.extract_pages(df, most_marks=most_marks)
+    assert sorted(out.columns) == ["html", "n_chars", "n_template", "page_id", "site", "text", "url"]
+    got = {r.page_id: r for r in out.collect()}
+    assert [got[i].text for i in range(len(rows))] == plain_templates(rows)
+    assert sum(r.n_template > 0 for r in got.values()) > 20 and all(r.site == "kept" and r.n_chars == len(r.text) for r in got.values())
+
+
+def test_no_pages(spark):
+    assert pages.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_cascade_is_exact(spark):
     universe = [f"k{i}" for i in range(3000)]
     listed = {f"k{i}" for i in range(0, 3000, 7)} | {"absent"}
@@ -371,13 +454,74 @@ def test_toxicity_of_odd_rows(spark, odd):
 def test_pipeline(spark, odd):
     import corpus_pipeline
 
-    docs = odd.drop("score")
-    sizes = []
+    names = {"key": 77, "turn": 78, "place": 79, "toxicity": 80, "_key": 81, "row": 82, "name": 83, "block": 84}
+    docs = odd.select("*", *(F.lit(v).alias(k) for k, v in names.items()))
+    columns, sizes = docs.columns, []
     for _, stage in corpus_pipeline.STAGES[:3]:
         docs = stage(spark, docs, SF)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        sizes.append(docs.count())
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert all(r[k] == v for r in rows for k, v in names.items()) and all(r.score == "clash" for r in rows)
+        sizes.append(len(rows))
     assert sizes[1] < sizes[0]
-    kept = corpus_pipeline.STAGES[1][1](spark, odd.drop("score"), SF).collect()
-    assert collections.Counter(r.text for r in kept if r.text and "b c" in r.text.lower()) == {"a b c": 1}
     assert corpus_pipeline.STAGES[3][1](spark, docs, SF).select(F.sum("length")).first()[0] >= sizes[2]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_one_document_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    g = random.Random(12)
+    rows = []
+    for _ in range(12):
+        base = [f"w{g.randrange(5000)}" for _ in range(80)]
+        for _ in range(g.choice([1, 2, 6])):
+            text = list(base)
+            for _ in range(g.choice([0, 0, 1, 2, 3])):
+                text[g.randrange(80)] = f"z{g.randrange(5000)}"
+            rows.append((len(rows), " ".join(text)))
+    rows += [(500, rows[0][1]), (500, "words of its own that nothing else has at all"), (501, None), (502, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(spark.createDataFrame([(None, "no id here but these few words", "en", "s", 0)] * 3, docs.schema))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    plain = plain_components(rows[:-4], 5)
+    expected = sorted(k for k, c in plain.items() if k == c)
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [*expected, 501, 502]
+    assert [r.text for r in kept if r.doc_id is None] == ["no id here but these few words"]
+
+
+@pytest.mark.parametrize("tile, hot", [(3, 16384), (2048, 16384), (4, 2)])
+def test_near_duplicates_of_repeated_and_null_keys(spark, tile, hot, monkeypatch):
+    monkeypatch.setattr(dedup, "TILE", tile)
+    monkeypatch.setattr(dedup, "HOT", hot)
+    g = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    near = lambda a, n: " ".join([*base[a : a + 60 - n], *(f"x{g.randrange(10**6)}" for _ in range(n))])
+    x, y = near(0, 0), near(60, 0)
+    rows = [(3, x), (5, x), (5, y), (7, y), (9, near(120, 0)), (None, near(120, 2)), (None, near(180, 0)), (None, near(180, 1)), (11, ""), (11, x), (13, " "), (None, ""), (9, near(120, 0))]
+    form = [" ".join([*base[:40], *(f"y{g.randrange(10**6)}" for _ in range(14))]) for _ in range(30)]  # alike, but not linked
+    rows += [(100 + i, t) for i, t in enumerate(form)] + [(200 + i, t + " end") for i, t in enumerate(form[:10])]
+    got = collections.Counter(map(tuple, dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()))
+    # Row numbers stand for rows; a further word shared by all rows of a key would link them.
+    plain = plain_components([(i, t) for i, (_, t) in enumerate(rows)], 2)
+    groups = {}
+    for i, c in plain.items():
+        groups.setdefault(c, set()).add(i)
+    merged = True
+    while merged:
+        merged = False
+        for a in list(groups):
+            for b in list(groups):
+                keys = [{rows[i][0] for i in groups[c] if rows[i][0] is not None and rows[i][1].strip()} for c in (a, b)] if a in groups and b in groups and a != b else [set(), set()]
+                if keys[0] & keys[1]:
+                    groups[a] |= groups.pop(b)
+                    merged = True
+    expected = collections.Counter()
+    for members in groups.values():
+        least = min((rows[i][0] for i in members if rows[i][0] is not None), default=None)
+        for i in members:
+            k, w = rows[i][0], split(rows[i][1])
+            n = len(set(zip(w, w[1:], strict=False))) if len(w) > 1 else len(w)
+            expected[k, n, least, least is None or k == least] += 1
+    assert got == expected
