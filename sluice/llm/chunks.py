@@ -11,6 +11,7 @@ containment the share of the text's bytes in chunks the other also has.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import table
+from .common import bounded_batches, table
 
 _GEAR = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
 #: Least, normal and largest chunk in bytes; bits that must be zero before and after the normal size.
@@ -107,29 +108,53 @@ def containment(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarra
 
 #: Rows of a block of the order by key, and the most blocks (their first keys are kept on the driver).
 BLOCK_ROWS, MOST_BLOCKS = 4096, 65_536
+#: Texts, and characters of them, that are chunked together.
+HELD_ROWS, HELD_CHARS = 128, 1 << 20
+
+
+class _Blocks:
+    """Cuts of the order by (key, MD5 of the text): nulls first, at quantiles of the keys, and within a key that has many quantiles at parts of the MD5."""
+
+    def __init__(self, quantiles: list[int], nulls: int):
+        count = Counter(quantiles)
+        edges = set(count)
+        edges |= {k - 1 for k, n in count.items() if n > 1}  # a block of its own for a key of many rows
+        self.edges = np.array(sorted(edges), np.int64)
+        parts = [max(1, -(-nulls // BLOCK_ROWS)), *(count[k] + 1 if count[k] > 1 else 1 for k in self.edges.tolist()), 1]
+        self.parts = np.array(parts, np.int64)
+        self.first = np.cumsum(self.parts) - self.parts
+
+    def of(self, keys: pa.Array, sums: pa.Array) -> pa.Array:
+        null = keys.is_null().to_numpy(zero_copy_only=False)
+        at = np.searchsorted(self.edges, keys.fill_null(0).to_numpy(zero_copy_only=False), side="left") + 1
+        at[null] = 0
+        high = np.array([int(s[:8], 16) for s in sums.to_pylist()], np.int64)
+        return pa.array(self.first[at] + high * self.parts[at] // 2**32)
 
 
 def in_order(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text, block, copy: sorted partitions that hold whole blocks of the order by key.
+    """key, text, copy: sorted partitions that hold whole blocks of the order by key.
 
-    Null keys come first; equal keys are ordered by the MD5 of the text.  Keys
-    are cut at approximate quantiles into blocks.  Each block's last row, a
-    copy, is the first row of the next block; the last block's is the first of
-    all.  Only the first key and MD5 of each block come to the driver.
+    Null keys come first; null and equal keys are ordered by the MD5 of the
+    text.  Keys are cut at approximate quantiles into blocks, rows of one key,
+    or of none, by that MD5, so no key makes a block large.  Each block's last
+    row, a copy, is the first row of the next block; the last block's is the
+    first of all.  Only the first key and MD5 of each block come to the driver.
     """
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    blocks = min(MOST_BLOCKS, -(-df.count() // BLOCK_ROWS))
-    edges = np.array(sorted(set(rows.approxQuantile("key", [k / blocks for k in range(1, blocks)], 1 / (4 * blocks)))) if blocks > 1 else [])
+    total, nulls = rows.agg(F.count("*"), F.count_if(F.col("key").isNull())).first()
+    blocks = min(MOST_BLOCKS, -(-(total - nulls) // BLOCK_ROWS))
+    cuts_ = rows.approxQuantile("key", [k / blocks for k in range(1, blocks)], 1 / (4 * blocks)) if blocks > 1 else []
+    known = _Blocks([int(x) for x in cuts_], nulls)
 
-    def find(keys: pa.Array) -> pa.Array:
-        at = np.searchsorted(edges, keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
-        return pa.array(at.astype(np.int32))
+    def find(keys: pa.Array, sums: pa.Array) -> pa.Array:
+        return known.of(keys, sums)
 
-    rows = rows.withColumn("block", F.arrow_udf(find, "int")("key")).withColumn("sum", F.md5(F.col("text").cast("binary")))
+    rows = rows.withColumn("sum", F.md5(F.col("text").cast("binary"))).withColumn("block", F.arrow_udf(find, "bigint")("key", "sum"))
     first = {r.block: (r.least.key, r.least.sum) for r in rows.groupBy("block").agg(F.min(F.struct("key", "sum")).alias("least")).collect()}
     order = sorted(first)
     marks = [(*first[b], order[i - 1]) for i, b in enumerate(order)]
-    marks = df.sparkSession.createDataFrame(marks, "k bigint, s string, to int")
+    marks = df.sparkSession.createDataFrame(marks, "k bigint, s string, to bigint")
     copies = (
         rows.join(F.broadcast(marks), F.col("key").eqNullSafe(F.col("k")) & (F.col("sum") == F.col("s")))
         .groupBy("to").agg(F.first("key").alias("key"), F.first("text").alias("text"), F.first("sum").alias("sum"))
@@ -153,17 +178,25 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
 
     The next row is the one that follows by ascending key, after the last the
-    first; a single row is its own next.  Null texts count as empty.
+    first; a single row is its own next.  Null texts count as empty.  Null keys
+    come first; rows with null or equal keys follow one another by the MD5 of
+    their texts, and rows equal in both in any order, which gives the same
+    values.  Every row stays; other columns play no part; an empty table gives
+    no rows.  Texts are held a few at a time, by their length.
     """
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []
+        chars = 0
         for batch in batches:
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 held.append(row[:2])
-                if row[2] or len(held) > 128:  # a copy ends its block
+                chars += len(row[1])
+                if row[2] or len(held) > HELD_ROWS or (len(held) > 1 and chars > HELD_CHARS):  # a copy ends its block
                     yield judge(held)
                     held = [] if row[2] else held[-1:]
+                    chars = sum(len(t) for _, t in held)
 
     def judge(held: list[tuple[int | None, str]]) -> pa.RecordBatch:
         texts = [t for _, t in held]

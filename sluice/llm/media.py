@@ -2,8 +2,8 @@
 
 An image is a uint8 array (height, width) or (height, width, 3).  Every
 function is pure numpy on one image; the DataFrame operators run them inside
-`mapInArrow`, one row at a time within Arrow batches, so that memory is bounded
-by the largest image.
+`mapInArrow`, one row at a time within Arrow batches, and hand on their files a
+few MB at a time, so that memory is bounded by the largest image.
 """
 
 from __future__ import annotations
@@ -19,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 #: Samples in a row of the image that a text becomes.
 ROW = 64
 TILE = (8, 9)
+#: Bytes of files that leave together.
+OUT_BYTES = 4_000_000
+#: Rows of an image that the integral image is taken of at a time.
+STRIP = 4096
 
 
 def encode_netpbm(image: np.ndarray) -> bytes:
@@ -63,6 +67,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         samples = np.frombuffer(data, ">u2" if top > 255 else np.uint8, n, at + 1)
     if len(samples) != n:
         raise ValueError("Netpbm image is cut short")
+    if kind not in (1, 4) and not 0 < top < 65536:
+        raise ValueError("Netpbm maximum out of range")
+    if kind not in (1, 4) and len(samples) and samples.max() > top:
+        raise ValueError("Netpbm sample above the maximum")
     if kind not in (1, 4) and top != 255:
         samples = (samples.astype(np.int64) * 255 + top // 2) // top
     shape = (height, width, 3) if depth == 3 else (height, width)
@@ -86,7 +94,7 @@ def encode_bmp(image: np.ndarray) -> bytes:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits; a grey palette gives a two-dimensional array."""
+    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits, or of 32 bits in fields of 8; a grey palette gives a two-dimensional array."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP image")
     start, size, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
@@ -96,6 +104,12 @@ def decode_bmp(data: bytes) -> np.ndarray:
     body = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     if height > 0:
         body = body[::-1]
+    if packed == 3:
+        masks = struct.unpack_from("<3I", data, 54)
+        shifts = [m.bit_length() - 8 for m in masks]
+        if bits != 32 or any(s not in (0, 8, 16, 24) or m != 255 << s for m, s in zip(masks, shifts, strict=True)):
+            raise ValueError("unsupported BMP fields")
+        return np.ascontiguousarray(body[:, : width * 4].reshape(rows, width, 4)[:, :, [s // 8 for s in shifts]])
     if bits >= 24:
         return np.ascontiguousarray(body[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1])
     (used,) = struct.unpack_from("<I", data, 46)
@@ -114,20 +128,35 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over the exact area of each new pixel, by fractional look-ups in the integral image."""
+    """Mean over the exact area of each new pixel, by fractional look-ups in the integral image.
+
+    The integral image is built strip by strip, and only its rows at the new
+    pixels' edges are kept, so a tall image takes no more memory than a strip.
+    """
     if image.ndim == 3:
         return np.stack([area_resize(image[:, :, c], height, width) for c in range(image.shape[2])], 2)
     h, w = image.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(image, 0, dtype=np.float64), 1, out=total[1:, 1:])
 
-    def edges(table: np.ndarray, n: int, size: int) -> np.ndarray:
+    def edges(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(n + 1) * (size / n)
         low = np.minimum(at.astype(np.int64), size - 1)
-        part = (at - low)[:, None]
-        return table[low] * (1 - part) + table[low + 1] * part
-
-    total = edges(edges(total, height, h).T, width, w).T
+        return low, (at - low)[:, None]
+
+    low, part = edges(height, h)
+    wanted = np.unique(np.concatenate([low, low + 1]))
+    kept, above = np.zeros((len(wanted), w + 1)), np.zeros(w + 1)
+    for start in range(0, h, STRIP):
+        strip = np.cumsum(image[start : start + STRIP], 0, dtype=np.float64)
+        total = np.zeros((len(strip), w + 1))
+        np.cumsum(strip, 1, out=total[:, 1:])
+        total += above
+        at = np.flatnonzero((wanted > start) & (wanted <= start + len(strip)))
+        kept[at] = total[wanted[at] - start - 1]
+        above = total[-1].copy()
+    first, second = kept[np.searchsorted(wanted, low)], kept[np.searchsorted(wanted, low + 1)]
+    total = (first * (1 - part) + second * part).T
+    low, part = edges(width, w)
+    total = (total[low] * (1 - part) + total[low + 1] * part).T
     area = (h / height) * (w / width)
     mean = (total[1:, 1:] - total[:-1, 1:] - total[1:, :-1] + total[:-1, :-1]) / area
     return np.clip(np.floor(mean + 0.5), 0, 255).astype(np.uint8)
@@ -180,26 +209,33 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Null counts as empty; the UTF-8 bytes are padded with 0 to a positive
     multiple of 64.  payload_* come from the samples decoded again; tile is the
-    resized 8 by 9 NPY file, feature its difference hash.
+    resized 8 by 9 NPY file, feature its difference hash.  Every row stays,
+    repeated ones too; equal texts have equal values; other columns of `df`
+    play no part; an empty table gives no rows.  Rows leave in batches of a few
+    MB of files, or of one file that is longer.
     """
+    bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
-            for start in range(0, len(batch), 256):  # a few MB of files at a time
-                rows = []
-                for data in batch.column(1).slice(start, 256).cast(pa.large_binary()).to_pylist():
-                    data = data or b""
-                    padded = data + bytes(-len(data) % ROW or (0 if data else ROW))
-                    media = encode_netpbm(np.frombuffer(padded, np.uint8).reshape(-1, ROW))
-                    image = decode(media)
-                    back = image.tobytes()
-                    tile = area_resize(image, *TILE)
-                    rows.append((len(data), media, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), npy_bytes(tile), difference_hash(tile)))
-                parts = zip(*rows, strict=True)
-                types = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([keys.slice(start, 256), *(pa.array(p, t) for p, t in zip(parts, types, strict=True))], names=["key", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "tile", "feature"])
+            keys, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
+            rows, held, done = [], 0, 0
+            for i in range(len(batch)):
+                data = texts[i].as_py() or b""
+                padded = data + bytes(-len(data) % ROW or (0 if data else ROW))
+                media = encode_netpbm(np.frombuffer(padded, np.uint8).reshape(-1, ROW))
+                image = decode(media)
+                back = image.tobytes()
+                tile = area_resize(image, *TILE)
+                rows.append((len(data), media, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), npy_bytes(tile), difference_hash(tile)))
+                held += len(media)
+                if held >= OUT_BYTES or i + 1 == len(batch):
+                    columns = [pa.array(p, t) for p, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([keys.slice(done, len(rows)), *columns], names=["key", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "tile", "feature"])
+                    rows, held, done = [], 0, i + 1
 
     schema = f"key {kind}, n_bytes bigint, media binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, tile binary, feature string"
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Scratch, table, written
+from .common import Scratch, bounded_batches, table, written
 
 ORDER = 3
 #: Weight of the shorter context, in occurrences.
@@ -187,6 +187,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
     often as they occur and have equal scores.  A text longer than a chunk
     makes its chunk longer.  An empty table gives no rows.
     """
+    bounded_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     body = F.coalesce(F.col(text), F.lit(""))
@@ -270,7 +271,7 @@ class Automaton:
         by = np.argsort(keys)
         self.keys, self.weights, self.ends = np.append(keys[by], np.iinfo(np.int64).max), np.concatenate(weights)[by], np.concatenate(ends)[by]
 
-    def read(self, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def read(self, tokens: np.ndarray, offsets: np.ndarray, lane: int = LANE) -> np.ndarray:
         """log10 probability of each text: its tokens read one after another, all texts at once.
 
         A text longer than a lane is read by several.  A state knows the last
@@ -278,10 +279,10 @@ class Automaton:
         as many tokens before its own, whose weights do not count.
         """
         size = np.diff(offsets)
-        count = -(-size // LANE)
+        count = -(-size // lane)
         text = np.repeat(np.arange(len(size)), count)
-        own = offsets[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * LANE
-        end = np.minimum(own + LANE, offsets[1:][text])
+        own = offsets[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * lane
+        end = np.minimum(own + lane, offsets[1:][text])
         first = np.maximum(own - (self.order - 1), offsets[:-1][text])
         by = np.argsort(first - end, kind="stable")  # the longest first, so that those still reading stand in front
         text, own, end, first = text[by], own[by], end[by], first[by]

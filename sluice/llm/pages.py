@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bounded_batches, free_name, table, written
 from .urls import url_parts
 
 #: Distinct pages of a host, at least, and share of all of them on which a subtree must recur to be template.
@@ -310,8 +310,10 @@ def extract_pages(df: DataFrame, url: str = "url", html: str = "html", least: in
     count as one page, so repeated rows and mirrors make nothing template, and
     each still has its text.  An empty table gives no rows.
     """
-    spark, rest = df.sparkSession, df.drop("text", "n_chars", "n_template")
+    spark, rest = df.sparkSession, df.drop(*{"text", "n_chars", "n_template"} - {url, html})
+    bounded_batches(spark)
     host, _ = url_parts(f"`{url}`")
+    at = free_name(rest, "extracted")
     template = templates(df, url, html, least, share)
     kinds = [pa.string(), pa.int64()]
 
@@ -325,7 +327,7 @@ def extract_pages(df: DataFrame, url: str = "url", html: str = "html", least: in
         def texts(htmls: pa.Array, hosts: pa.Array) -> pa.Array:
             return answer([_extract(html or "", host, sent.value) for html, host in zip(htmls.to_pylist(), hosts.to_pylist(), strict=True)])
 
-        found = rest.select("*", F.arrow_udf(texts, "text string, n_template bigint")(html, host).alias("text"))
+        found = rest.select("*", F.arrow_udf(texts, "text string, n_template bigint")(html, host).alias(at))
     else:
 
         def texts_of(htmls: pa.Array, hosts: pa.Array, lists: pa.Array) -> pa.Array:
@@ -336,8 +338,8 @@ def extract_pages(df: DataFrame, url: str = "url", html: str = "html", least: in
         lists = template.groupBy("site").agg(F.collect_set("mark").alias("marks")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rest.select(F.struct("*").alias("row"), F.col(html).alias("html"), host.alias("host"), F.pmod(F.xxhash64(url, html), F.lit(SALTS)).cast("int").alias("salt"))
         rows = rows.withColumn("site", sites("host")).join(lists, ["site", "salt"], "left")
-        found = rows.select("row.*", F.arrow_udf(texts_of, "text string, n_template bigint")("html", "host", "marks").alias("text"))
-    out = found.withColumn("n_template", F.col("text.n_template")).withColumn("text", F.col("text.text"))
+        found = rows.select("row.*", F.arrow_udf(texts_of, "text string, n_template bigint")("html", "host", "marks").alias(at))
+    out = found.withColumn("n_template", F.col(f"{at}.n_template")).withColumn("text", F.col(f"{at}.text")).drop(at)
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 

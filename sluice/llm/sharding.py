@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Scratch, bounded_batches, table, written
 
 SHARDS = 40
 #: What a row costs besides its text.
@@ -41,25 +41,32 @@ def longest_first(sizes: list[int], loads: list[float]) -> list[int]:
     return out
 
 
-def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """key, size, text_crc32, shard, slot of each row; rows with equal texts share a shard.
+def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, block_groups: int = BLOCK_GROUPS) -> DataFrame:
+    """key, size, text_crc32, shard, slot of each row; rows with equal texts share a shard; other columns play no part.
 
     Size is the UTF-8 bytes of the text (null: none, and grouped with the empty
     text) plus 16.  Slots number a shard's rows without gaps.  A group larger
-    than a shard's even part makes its shard larger by as much.
+    than a shard's even part makes its shard larger by as much.  Null and
+    repeated keys are rows like others; an empty table gives no rows.
+
+    The large groups, of which there are at most SHARDS * LARGE, are broadcast
+    to their rows, so a text that any share of all rows have goes through no
+    shuffle by text; slots are counted within the parts of a stored table.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
+    scratch = Scratch(spark)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("key"), F.md5(body.cast("binary")).alias("group"), (F.octet_length(body) + ROW_BYTES).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
-    rows = written(rows, "shard-rows")
-    groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "shard-groups")
+    rows = scratch.written(rows, "shard-rows")
+    groups = scratch.written(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "shard-groups")
     total, n = groups.agg(F.sum("bytes"), F.count("*")).first()
     total = total or 0
     edge = total // (shards * LARGE)
     large = sorted(((r.bytes, r.group) for r in groups.where(F.col("bytes") > edge).collect()), reverse=True)
     loads = [0.0] * shards
     dealt = [(g, k) for (_, g), k in zip(large, longest_first([b for b, _ in large], loads), strict=True)]
-    blocks = max(1, -(-n // BLOCK_GROUPS))
+    blocks = max(1, -(-n // block_groups))
     # Loads above the even part can't be made up for; below it, each block makes up for its share.
     share = [load / blocks for load in loads]
 
@@ -71,15 +78,19 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
 
     rest = groups.where(F.col("bytes") <= edge).withColumn("block", F.conv(F.substring("group", 1, 8), 16, 10).cast("bigint") % blocks)
     placed = rest.groupBy("block").applyInArrow(deal, "group string, shard int")
-    if dealt:
-        placed = placed.unionByName(spark.createDataFrame(dealt, "group string, shard int"))
-    found = written(rows.join(placed, "group").withColumn("cell", F.pmod(F.xxhash64("key", "group"), F.lit(64 * max(1, n // 10**7))).cast("int")), "shard-placed")
+    known = F.broadcast(spark.createDataFrame(dealt, "group string, large int"))
+    marked = rows.join(known, "group", "left")
+    small = marked.where("large is null").drop("large").join(placed, "group")
+    both = small.unionByName(marked.where("large is not null").withColumnRenamed("large", "shard"))
+    found = scratch.written(both.withColumn("place", F.monotonically_increasing_id()), "shard-placed").withColumn("cell", F.shiftright("place", 33))
     counts = found.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("cell_begin", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inner = Window.partitionBy("shard", "cell").orderBy(F.col("key").asc_nulls_first(), "group")
+    inner = Window.partitionBy("shard", "cell").orderBy("place")
     slots = found.withColumn("inside", F.row_number().over(inner) - 1).join(counts, ["shard", "cell"])
-    return slots.select(F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("cell_begin") + F.col("inside")).cast("bigint").alias("slot"))
+    out = written(slots.select(F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("cell_begin") + F.col("inside")).cast("bigint").alias("slot")), "shards")
+    scratch.drop()
+    return out
 
 
 def op10_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -348,8 +348,8 @@ def with_scores(df: DataFrame, net: Network, text: str = "text", into: str = "sc
     """Adds the probability that a text is toxic, that of its most toxic window, as the column `into`.
 
     A text without tokens, empty or null, has that of a window of none.  Every
-    row stays, repeated ones too, and equal texts have equal scores; a column
-    `into` of `df` is replaced.  A long text is read in pieces of a few
+    row stays, repeated ones too, and equal texts have equal scores but for the
+    last digits; a column `into` of `df` is replaced.  A long text is read in pieces of a few
     thousand windows.
     """
     bounded_batches(df.sparkSession)

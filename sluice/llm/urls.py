@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bounded_batches, free_name, table, written
 
 MAX_LISTED = 2_000_000
 
@@ -127,8 +127,12 @@ def filter_urls(df: DataFrame, url: str = "url", rules: tuple = RULES, blocked_h
 
     A null url, one without :// and one without a host have no keys and are
     allowed.  Ties between rules of one length go to the first by code point.
-    Columns of these names in `df` are replaced.
+    Columns of these names in `df` are replaced, all others stay; every row
+    stays, and equal urls have equal verdicts, however long; an empty table
+    gives no rows.  A batch judges each of its hosts and beginnings of paths
+    once.
     """
+    bounded_batches(df.sparkSession)
     host, path = url_parts(f"`{url}`")
     parts = df.withColumn("host", host).withColumn("path", path)
     depths = tuple(sorted({len(p) for _, _, p in rules}))
@@ -147,16 +151,19 @@ def filter_urls(df: DataFrame, url: str = "url", rules: tuple = RULES, blocked_h
 
     def judge(hosts, paths):
         cascade, named = sent.value
+        known: dict[tuple[str, str], tuple[str | None, str]] = {}
         rule, verdict = [], []
-        for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True):
-            hits = [k for k in candidate_keys(h, p, depths) if k in cascade]
-            fits = sorted((k for k in hits if k in named), key=lambda k: (-len(k), k))
-            rule.append(named[fits[0]][1] if fits else None)
-            verdict.append(named[fits[0]][0] if fits else "block" if hits else "allow")
+        for head in zip(hosts.to_pylist(), paths.to_pylist(), strict=True):
+            if head not in known:
+                hits = [k for k in candidate_keys(*head, depths) if k in cascade]
+                fits = sorted((k for k in hits if k in named), key=lambda k: (-len(k), k))
+                known[head] = (named[fits[0]][1] if fits else None, named[fits[0]][0] if fits else "block" if hits else "allow")
+            rule.append(known[head][0])
+            verdict.append(known[head][1])
         return pa.StructArray.from_arrays([pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["rule", "verdict"])
 
-    judged = F.arrow_udf(judge, "rule string, verdict string")("host", "path")
-    return parts.withColumn("_judged", judged).withColumn("rule", F.col("_judged.rule")).withColumn("verdict", F.col("_judged.verdict")).drop("_judged")
+    judged, at = F.arrow_udf(judge, "rule string, verdict string")("host", F.substring("path", 1, deepest)), free_name(parts, "judged")
+    return parts.withColumn(at, judged).withColumn("rule", F.col(f"{at}.rule")).withColumn("verdict", F.col(f"{at}.verdict")).drop(at)
 
 
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

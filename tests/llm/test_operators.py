@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -81,11 +82,9 @@ def test_media_of_texts(spark, odd):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_scores_equal_a_plain_model(spark, odd, order, monkeypatch):
+def test_scores_equal_a_plain_model(spark, odd, order):
     import math
 
-    monkeypatch.setattr(ngrams, "LANE", 3)
-
     k_ = 5.0
     got = sorted(map(tuple, ngrams.score(odd, order=order, prior=k_).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=str)
     counts, n, plain = collections.Counter(), 0, []
@@ -525,3 +524,240 @@ def test_near_duplicates_of_repeated_and_null_keys(spark, tile, hot, monkeypatch
             n = len(set(zip(w, w[1:], strict=False))) if len(w) > 1 else len(w)
             expected[k, n, least, least is None or k == least] += 1
     assert got == expected
+
+
+EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def made(spark, tmp_path_factory):
+    """A folder of tables with odd documents, on which the registered queries run."""
+    g = random.Random(21)
+    words_ = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(g.choice(words_) for _ in range(g.choice([0, 1, 3, 20, 90, 400]))), "en", g.choice(["a", "b", None]), 0) for i in range(120)]
+    rows += [(200 + i, rows[i % 5][1], "en", "b", 0) for i in range(20)] + [(300, None, None, None, None), (301, "", "", "", 0), (302, "Ünï \t cödé 日本 🙂" * 30, "xx", "c", 1), (303, "x" * 5000, "en", "a", 0)]
+    folder = tmp_path_factory.mktemp("made")
+    docs = spark.createDataFrame(rows, EMPTY)
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, int(r[0] % 6 == 0)) for r in rows if r[0] < 200], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder), {r[0]: r[1] for r in rows}
+
+
+def run_query(spark, made, name):
+    return QUERIES[name](spark, made[0]).collect()
+
+
+def test_op1_query_equals_a_plain_version(spark, made):
+    def plain(text):
+        data = (text or "").encode()
+        n = len(data)
+        data += bytes(-n % 64 or (0 if n else 64))
+        rows = len(data) // 64
+        media_ = b"P5\n64 %d\n255\n" % rows + data
+        # Mean of the exact area, by repeating each sample as often as the new grid needs.
+        big = np.repeat(np.repeat(np.frombuffer(data, np.uint8).reshape(rows, 64), 8, 0), 9, 1).astype(np.float64)
+        means = big.reshape(8, rows, 9, 64).mean((1, 3))
+        tile = np.clip(np.floor(means + 0.5), 0, 255).astype(np.uint8)
+        bits = (tile[:, :-1] < tile[:, 1:]).reshape(-1)
+        return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media_), hashlib.sha256(media_).hexdigest(), f"{int(''.join('01'[int(b)] for b in bits), 2):016x}"
+
+    got = {r.doc_id: tuple(r)[1:8] for r in run_query(spark, made, "op1_media_tiles")}
+    assert got == {k: plain(t) for k, t in made[1].items()}
+
+
+def test_op2_query_equals_a_plain_model(spark, made):
+    got = {r.doc_id: r for r in run_query(spark, made, "op2_backoff_score")}
+    counts, n = collections.Counter(), 0
+    for k, t in made[1].items():
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            w = ["^", *split(t), "$"]
+            n += len(w) - 1
+            counts.update(tuple(w[i : i + m]) for m in (1, 2, 3) for i in range(len(w) - m + 1))
+    v = sum(len(x) == 1 and x != ("^",) for x in counts)
+    for k, t in made[1].items():
+        w, score = ["^", *split(t), "$"], 0.0
+        for i in range(1, len(w)):
+            p = (counts[w[i],] + 1) / (n + v + 1)
+            for m in range(1, min(ngrams.ORDER, i + 1)):
+                context = tuple(w[i - m : i])
+                if counts[context]:
+                    p = (counts[*context, w[i]] + ngrams.PRIOR * p) / (counts[context] + ngrams.PRIOR)
+            score += np.log10(p)
+        r = got[k]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w) - 1, sum(counts[x,] > 0 for x in w[1:]), n) and r.score == pytest.approx(score, rel=1e-9)
+
+
+def test_lanes_of_any_length_give_the_same_scores():
+    g = random.Random(9)
+    column = pa.array([" ".join(g.choice("abcd") for _ in range(g.randrange(60))) for _ in range(50)])
+    tokens, offsets = ngrams.token_hashes(column)
+    for order in (1, 2, 3, 4):
+        by_order = ngrams.grams(tokens, offsets, order)
+        asked = [ngrams._Asked(by_order, orders) for orders in ngrams.rounds(order)]
+        count = np.concatenate([a.counts(np.ones(len(tokens), bool), len(column)) for a in asked])
+        automaton = ngrams.Automaton(asked, count, offsets, order, 500, 3.0)
+        scores = [automaton.read(asked[0].at[1], offsets, lane) for lane in (1, 2, 5, 1000)]
+        assert all(np.allclose(s, scores[0], rtol=1e-12) for s in scores)
+
+
+def test_op3_query_equals_brute_force(spark, made):
+    got = {r.doc_id: (r.component_id, r.kept) for r in run_query(spark, made, "op3_minhash_dedup")}
+    assert got == {k: (c, k == c) for k, c in plain_components(list(made[1].items()), 2).items()}
+
+
+def test_op4_query_packs_every_piece(spark, made):
+    rows = run_query(spark, made, "op4_bestfit_pack")
+    tokenizer = packing.Encoder(packing.vocabulary()).tokenizer
+    expected = {}
+    for k, t in made[1].items():
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        for i in range(0, len(ids), 4096):
+            part = ids[i : i + 4096]
+            expected[k, i // 4096] = (i, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == expected
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for o, n in sorted(places):
+            assert o == at
+            at += n
+        assert at <= 4096
+    assert len(by) == plain_best_fit([n for _, n, _ in expected.values()], 4096)
+
+
+def plain_chunks(text):
+    """Boundaries one byte after another, as the normalised gear hash defines them."""
+    data, out, start, value = text.encode(), [], 0, 0
+    hashes = []
+    for byte in data:
+        value = ((value << 1) + int(chunks._GEAR[byte])) % 2**64
+        hashes.append(value)
+    least, normal, most = chunks.SIZES
+    while start < len(data):
+        end = min(start + most, len(data))
+        for at in range(start + least, end):
+            if hashes[at - 1] >> (64 - (chunks.BITS[0] if at < start + normal else chunks.BITS[1])) == 0:
+                end = at
+                break
+        out.append(data[start:end])
+        start = end
+    return out
+
+
+def test_op7_query_equals_a_plain_version(spark, made):
+    rows, texts = {r.doc_id: r for r in run_query(spark, made, "op7_chunk_fingerprint")}, made[1]
+    order = sorted(texts)
+
+    def share(a, b):
+        a, b = set(plain_chunks(a)), set(plain_chunks(b))
+        return sum(len(c) for c in a & b) / sum(map(len, a)) if a else float(not b)
+
+    for i, k in enumerate(order):
+        own, nxt, r = texts[k] or "", texts[order[(i + 1) % len(order)]] or "", rows[k]
+        n = len(own) // 2
+        edited = own[: len(own) - n] + nxt[:n]
+        assert (r.n_chars, r.edited_sha256) == (len(own), hashlib.sha256(edited.encode()).hexdigest())
+        assert len(r.fingerprint) == 14 * len(set(plain_chunks(own))) and len(r.edited_fingerprint) == 14 * len(set(plain_chunks(edited)))
+        assert (r.near_edited, r.near_next) == (pytest.approx(share(own, edited)), pytest.approx(share(own, nxt)))
+
+
+def test_fingerprints_of_many_rows_with_one_key_or_none(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "BLOCK_ROWS", 8)
+    g = random.Random(13)
+    rows = [(g.choice([None, 5, 5, g.randrange(100)]), f"text {i} " * g.randrange(5)) for i in range(300)]
+    expected = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    plain = collections.Counter((k, len(t), chunks.sha_hex(chunks.edit_tail(t, expected[(i + 1) % len(expected)][1]))) for i, (k, t) in enumerate(expected))
+    got = chunks.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got.collect()) == plain
+
+
+def test_op9_query_never_sees_held_out_labels(spark, made, tmp_path):
+    got = {r.doc_id: (r.held_out, r.score, r.predicted) for r in run_query(spark, made, "op9_gru_toxicity")}
+    assert got.keys() == made[1].keys() and all(h == (zlib.crc32(str(k).encode()) % 5 == 0) and p == (s >= 0.5) for k, (h, s, p) in got.items())
+    labels = spark.read.parquet(f"{made[0]}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    spark.read.parquet(f"{made[0]}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic"))).write.parquet(f"{tmp_path}/labels.parquet")
+    again = {r.doc_id: (r.held_out, r.score, r.predicted) for r in QUERIES["op9_gru_toxicity"](spark, str(tmp_path)).collect()}
+    assert {k: v[1] for k, v in again.items()} == pytest.approx({k: v[1] for k, v in got.items()})
+    by_text = collections.defaultdict(set)
+    for k, (_, s, _) in got.items():
+        by_text[made[1][k] or ""].add(s)
+    assert all(max(s) - min(s) < 1e-5 for s in by_text.values())
+
+
+def test_network_finds_held_out_toxic_texts(spark):
+    texts, toxic = made_up(400, 5)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(toxic.tolist())], "doc_id long, toxic int")
+    rows = toxicity.with_scores(docs, toxicity.fit(docs, labels)).collect()
+    held = [(r.score >= 0.5, bool(toxic[r.doc_id])) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 50 and sum(a == b for a, b in held) > 0.95 * len(held)
+
+
+def test_op10_query_deals_longest_first(spark, made):
+    rows = run_query(spark, made, "op10_lpt_shards")
+    size = {k: len((t or "").encode()) + 16 for k, t in made[1].items()}
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.grown_shard) for r in rows} == {k: (n, zlib.crc32((made[1][k] or "").encode()), "bytes", None) for k, n in size.items()}
+    loads, slots, where = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
+    for r in rows:
+        loads[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        where[made[1][r.doc_id] or ""].add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in where.values())
+    # One block: the loads are those of the plain rule, groups by size.
+    groups = collections.Counter()
+    for k, n in size.items():
+        groups[made[1][k] or ""] += n
+    plain = [0] * 40
+    for n in sorted(groups.values(), reverse=True):
+        plain[plain.index(min(plain))] += n
+    assert sorted(loads[s] for s in range(40)) == sorted(plain)
+
+
+@pytest.mark.parametrize("make", [
+    lambda d: media.text_media(d), lambda d: ngrams.score(d), lambda d: dedup.near_duplicates(d), lambda d: packing.packed(d), lambda d: chunks.fingerprints(d), lambda d: mixing.plan(d),
+    lambda d: sharding.shard(d), lambda d: urls.filter_urls(d, "text"), lambda d: pages.extract_pages(d, "lang", "text"),
+])
+def test_empty_tables(spark, make):
+    assert make(spark.createDataFrame([], EMPTY)).collect() == []
+
+
+def test_clashing_columns_stay_out_of_the_way(spark):
+    names = "group key row band node n size turn name block shard place cell chunk held_out judged rule host salt site marks copy sum position id".split()
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 6), (2, "a b c d e f", "en", "s", 6), (2, "x", None, None, None)], EMPTY).select("*", *(F.lit(f"kept {n}").alias(n) for n in names))
+    assert {r.shard for r in sharding.shard(docs).collect()} <= set(range(40))
+    for make in (media.text_media, ngrams.score, dedup.near_duplicates, packing.packed, chunks.fingerprints, mixing.plan):
+        assert len(make(docs).collect()) == 3
+    out = pages.extract_pages(urls.filter_urls(docs.drop("rule", "host"), "lang"), "lang", "text").collect()
+    assert len(out) == 3 and all(r[n] == f"kept {n}" for r in out for n in names if n not in ("rule", "host"))
+    assert all(r[n] == f"kept {n}" for r in mixing.mixed(docs).collect() for n in names)
+
+
+def test_netpbm_and_bmp_of_other_kinds():
+    assert media.decode(b"P2\n2 1\n15\n0 15").tolist() == [[0, 255]] and media.decode(b"P5\n1 1\n65535\n\xff\xff").tolist() == [[255]]
+    for broken in (b"P2\n2 1\n15\n0 16", b"P5\n1 1\n0\n\x00", b"P5\n2 2\n255\n\x00", b"BM"):
+        with pytest.raises((ValueError, struct.error)):
+            media.decode(broken)
+    head = b"BM" + struct.pack("<IHHI", 70, 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 32, 3, 4, 0, 0, 0, 0)
+    fields = struct.pack("<3I", 0x0000FF, 0x00FF00, 0xFF0000)
+    assert media.decode(head + fields + bytes([1, 2, 3, 0])).tolist() == [[[1, 2, 3]]]
+    g = np.random.default_rng(4)
+    tall = g.integers(0, 256, (9000, 5), dtype=np.uint8)
+    whole = np.zeros((9001, 6))
+    whole[1:, 1:] = np.cumsum(np.cumsum(tall, 0, dtype=np.float64), 1)
+    means = np.array([[whole[1125 * (i + 1), j + 1] - whole[1125 * i, j + 1] - whole[1125 * (i + 1), j] + whole[1125 * i, j] for j in range(5)] for i in range(8)]) / 1125
+    assert (media.area_resize(tall, 8, 5) == np.floor(means + 0.5)).all()
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from sluice.sources import shared
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://x:7077"), conf=conf)
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(fake)
