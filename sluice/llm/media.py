@@ -128,38 +128,38 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over the exact area of each new pixel, by fractional look-ups in the integral image.
+    """Mean over the exact area of each new pixel, halves up, by fractional look-ups in the integral image.
 
-    The integral image is built strip by strip, and only its rows at the new
-    pixels' edges are kept, so a tall image takes no more memory than a strip.
+    All in whole numbers: an edge lies so many new heights (or widths) below a
+    row.  The integral image is built strip by strip, and only its rows at the
+    edges are kept, so a tall image takes no more memory than a strip.
     """
     if image.ndim == 3:
         return np.stack([area_resize(image[:, :, c], height, width) for c in range(image.shape[2])], 2)
     h, w = image.shape
 
     def edges(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(n + 1) * (size / n)
-        low = np.minimum(at.astype(np.int64), size - 1)
-        return low, (at - low)[:, None]
+        at = np.arange(n + 1, dtype=np.int64) * size
+        low = np.minimum(at // n, size - 1)
+        return low, (at - low * n)[:, None]
 
     low, part = edges(height, h)
     wanted = np.unique(np.concatenate([low, low + 1]))
-    kept, above = np.zeros((len(wanted), w + 1)), np.zeros(w + 1)
+    kept, above = np.zeros((len(wanted), w + 1), np.int64), np.zeros(w + 1, np.int64)
     for start in range(0, h, STRIP):
-        strip = np.cumsum(image[start : start + STRIP], 0, dtype=np.float64)
-        total = np.zeros((len(strip), w + 1))
+        strip = np.cumsum(image[start : start + STRIP], 0, dtype=np.int64)
+        total = np.zeros((len(strip), w + 1), np.int64)
         np.cumsum(strip, 1, out=total[:, 1:])
         total += above
         at = np.flatnonzero((wanted > start) & (wanted <= start + len(strip)))
         kept[at] = total[wanted[at] - start - 1]
         above = total[-1].copy()
     first, second = kept[np.searchsorted(wanted, low)], kept[np.searchsorted(wanted, low + 1)]
-    total = (first * (1 - part) + second * part).T
+    total = (first * (height - part) + second * part).T
     low, part = edges(width, w)
-    total = (total[low] * (1 - part) + total[low + 1] * part).T
-    area = (h / height) * (w / width)
-    mean = (total[1:, 1:] - total[:-1, 1:] - total[1:, :-1] + total[:-1, :-1]) / area
-    return np.clip(np.floor(mean + 0.5), 0, 255).astype(np.uint8)
+    total = (total[low] * (width - part) + total[low + 1] * part).T
+    sums = total[1:, 1:] - total[:-1, 1:] - total[1:, :-1] + total[:-1, :-1]
+    return ((2 * sums + h * w) // (2 * h * w)).astype(np.uint8)
 
 
 def npy_bytes(image: np.ndarray) -> bytes:
