@@ -16,6 +16,8 @@ def spread(rows: DataFrame, *by: str) -> DataFrame:
     The work on a message's text outweighs its move; a table of many files is
     not moved.
     """
+    if rows.isStreaming:
+        return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
 

@@ -1,8 +1,9 @@
 """The batch folds as `transformWithState` operators.
 
 Each keeps what the fold needs of a key and nothing more.  Within a
-micro-batch a key's rows are put in order; rows later than the watermark are
-dropped by Spark before they arrive.
+micro-batch a key's rows are put in order.  Operators with timers work in event
+time: they want a watermark on the stream (`sources.timed`), and rows that come
+later than that do not reach them; `sources.split_late` keeps those.
 """
 
 from __future__ import annotations
@@ -100,8 +101,104 @@ class Reputation(StatefulProcessor):
         pass
 
 
-def _run(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
-    return df.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode=mode, timeMode="None")
+class SessionLife(StatefulProcessor):
+    """By session: its opening, votes and closes until the first of them closes it, or the first sweep after its time; out comes how it ended, once.
+
+    Votes count until that sweep, though the session's time is over; votes at
+    or after it do not, whenever they come.
+    """
+
+    def __init__(self, least: int, start: int, interval: int):
+        self.least, self.start, self.interval = least, start, interval
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.votes = handle.getMapState("votes", "voter_user_id long", "vote string")
+        self.ends = handle.getValueState("ends", "at long")
+        self.closed = handle.getValueState("closed", "status string")
+
+    def _tally(self) -> tuple[int, int]:
+        votes = [v[0] for _, v in self.votes.iterator()]
+        return votes.count("spam"), votes.count("ham")
+
+    def _end(self, key: Any, status: str, at: int) -> pd.DataFrame:
+        self.closed.update((status,))
+        return pd.DataFrame([(key[0], status, at, *self._tally())], columns=["session_id", "status", "closed_at", "spam_votes", "ham_votes"])
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        for kind, what, voter, ts, until in zip(batch.kind, batch.what, batch.voter_user_id, batch.ts, batch.expires_at, strict=True):
+            if self.closed.exists():
+                return
+            if kind == "open":
+                at = self.start + -(-(int(until) - self.start) // self.interval) * self.interval
+                self.ends.update((at,))
+                self.handle.registerTimer(at * 1000)
+            elif self.ends.exists() and ts >= self.ends.get()[0]:
+                continue
+            elif kind == "close":
+                yield self._end(key, what, int(ts))
+            elif what in ("spam", "ham"):
+                self.votes.updateValue((int(voter),), (what,))
+                spam, ham = self._tally()
+                if spam >= self.least or ham >= self.least:
+                    yield self._end(key, "confirmed_spam" if spam >= self.least else "released", int(ts))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if not self.closed.exists():
+            yield self._end(key, "expired_released", self.ends.get()[0])
+
+    def close(self) -> None:
+        pass
+
+
+class Delayed(StatefulProcessor):
+    """By chat and message: something to do later; out comes a row to do it, when its time has come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "at long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = int(pd.concat(list(rows)).due_at.min())
+        if not self.due.exists():
+            self.due.update((at,))
+            self.handle.registerTimer(at * 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = self.due.get()[0]
+        self.due.clear()
+        yield pd.DataFrame([("delete", *key, at)], columns=["kind", "chat_id", "message_id", "due_at"])
+
+    def close(self) -> None:
+        pass
+
+
+class BioCache(StatefulProcessor):
+    """By user: that the bio was asked for, which is forgotten after its time; out comes for each message whether to ask now."""
+
+    def __init__(self, ttl_seconds: int):
+        self.ttl_seconds = ttl_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.asked = handle.getValueState("asked", "message_id long", ttlDurationMs=self.ttl_seconds * 1000)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch, out = pd.concat(list(rows)).sort_values("message_id"), []
+        for message in batch.message_id:
+            fresh = self.asked.exists()
+            if not fresh:
+                self.asked.update((int(message),))
+            out.append((int(key[0]), int(message), not fresh))
+        yield pd.DataFrame(out, columns=["user_id", "message_id", "ask"])
+
+    def close(self) -> None:
+        pass
+
+
+def _run(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str, time: str = "None") -> DataFrame:
+    return df.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode=mode, timeMode=time)
 
 
 def repeat_senders(messages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -118,3 +215,21 @@ def vote_outcomes(votes: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 def reputation(events: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Scores of a stream of (seq, chat_id, user_id, delta), one row a key and batch."""
     return _run(events, ["chat_id", "user_id"], Reputation(settings.default_reputation), "chat_id long, user_id long, reputation_score double", "Update")
+
+
+def session_ends(events: DataFrame, start: int, settings: Settings = DEFAULT) -> DataFrame:
+    """How sessions end, as `operators.state.close_sessions` has it, from a timed stream of (session_id, kind, what,
+    voter_user_id, expires_at, ts, seq): kind open (with expires_at), vote (what: spam or ham) or close (what: the status)."""
+    life = SessionLife(settings.vote_min_confirmations, start, max(5, settings.sweep_interval_seconds))
+    return _run(events, ["session_id"], life, "session_id long, status string, closed_at long, spam_votes long, ham_votes long", "Append", "EventTime")
+
+
+def delayed_deletes(effects: DataFrame) -> DataFrame:
+    """Rows to delete what a timed stream of (chat_id, message_id, due_at) says, once its time has come."""
+    return _run(effects, ["chat_id", "message_id"], Delayed(), "kind string, chat_id long, message_id long, due_at long", "Append", "EventTime")
+
+
+def bios_to_ask(messages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """user_id, message_id, ask of a stream of messages: whether the sender's bio is due to be asked for."""
+    rows = messages.where("user_id is not null").select("user_id", "message_id")
+    return _run(rows, ["user_id"], BioCache(settings.bio_ttl_seconds), "user_id long, message_id long, ask boolean", "Append", "ProcessingTime")

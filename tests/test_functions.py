@@ -377,3 +377,89 @@ def test_requests_have_profile_and_preview(spark):
         r = asked[m.message_id]
         assert r.bio == users.get(m.user_id) and r.title == known.get((m.preview_url or "").rstrip("."))
     assert any(r.title for r in asked.values())
+
+
+def batches(spark, parts, path, schema):
+    """A stream of the parts, one micro-batch each."""
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+def run_stream(df, name, checkpoint):
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    assert q.awaitTermination(100)
+    return df.sparkSession.table(name).collect()
+
+
+def test_sessions_end_on_a_stream_as_in_batch(spark, rocks, tmp_path):
+    pytest.importorskip("google.protobuf")
+    import random
+
+    from sluice.streaming.sources import timed
+
+    g = random.Random(3)
+    schema = "session_id long, kind string, what string, voter_user_id long, expires_at long, ts long, seq long"
+    opens = [(s, "open", None, None, 1000 + 50 * s + 1800, 1000 + 50 * s, s) for s in range(20)]
+    votes = [(g.randrange(20), "vote", g.choice(["spam", "ham", "other"]), g.randrange(6), None, g.randrange(1960, 4200), 100 + i) for i in range(240)]
+    closes = [(s, "close", "admin_banned", None, None, 2500 + s, 500 + s) for s in range(0, 20, 6)]
+    rows = sorted([*votes, *closes], key=lambda r: (r[5], r[6]))
+    parts = [opens, rows[:80], rows[80:160], rows[160:], [(99, "vote", "spam", 1, None, 50_000, 900)], [(99, "vote", "ham", 1, None, 60_000, 901)]]
+    settings = Settings()
+    got = run_stream(folds.session_ends(timed(batches(spark, parts, str(tmp_path / "in"), schema)), 0, settings), "session_ends", str(tmp_path / "state"))
+    sessions = spark.createDataFrame([(r[0], r[4]) for r in opens], "id long, expires_at long")
+    ends = sessions.select(F.col("id").alias("session_id"), F.lit("expired_released").alias("status"), state.sweep_time(F.col("expires_at"), 0, settings).alias("at"))
+    admin = spark.createDataFrame([(c[0], c[2], c[5]) for c in closes], "session_id long, status string, at long")
+    cast = spark.createDataFrame([(v[0], v[3], v[2], v[6], v[5]) for v in votes], "session_id long, voter_user_id long, vote string, seq long, ts long")
+    expected = state.close_sessions(sessions, cast, ends.unionByName(admin), settings).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
+    assert {r.status for r in got} == {"confirmed_spam", "released", "expired_released", "admin_banned"}
+
+
+def test_delayed_deletes_come_when_due(spark, rocks, tmp_path):
+    pytest.importorskip("google.protobuf")
+    from sluice.streaming.sources import timed
+
+    schema = "chat_id long, message_id long, due_at long, ts long"
+    parts = [[(1, 5, 220, 100), (1, 6, 9000, 100)], [(2, 7, 100_000, 5000)], [(2, 8, 100_000, 5001)]]
+    got = run_stream(folds.delayed_deletes(timed(batches(spark, parts, str(tmp_path / "in"), schema))), "deletes", str(tmp_path / "state"))
+    assert [tuple(r) for r in got] == [("delete", 1, 5, 220)]
+
+
+def test_bios_are_asked_once(spark, rocks, tmp_path):
+    pytest.importorskip("google.protobuf")
+    import time
+
+    parts = [[(1, 1), (1, 2), (2, 3)], [(1, 4), (3, 5)]]
+    df = folds.bios_to_ask(batches(spark, parts, str(tmp_path / "in"), "user_id long, message_id long"))
+    q = df.writeStream.format("memory").queryName("bios").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+    end = time.time() + 60  # a query in processing time never runs out of work
+    while spark.table("bios").count() < 5 and time.time() < end:
+        time.sleep(1)
+    q.stop()
+    assert sorted((r.message_id, r.ask) for r in spark.table("bios").collect()) == [(1, True), (2, False), (3, True), (4, False), (5, True)]
+
+
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    from sluice.streaming.sources import split_late
+
+    parts = [[(1, 1000)], [(2, 5000), (3, 450)], [(4, 4500), (5, 4300)]]
+    stream = batches(spark, parts, str(tmp_path / "in"), "k long, ts long")
+    split_late(stream, str(tmp_path / "good"), str(tmp_path / "late"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "good")).collect()) == [1, 2, 3, 4]
+    assert [r.k for r in spark.read.parquet(str(tmp_path / "late")).collect()] == [5]
+
+
+def test_observations_of_a_stream_equal_those_of_a_table(spark, tmp_path):
+    from sluice.operators.effects import observations
+    from sluice.schemas import TABLES
+    from sluice.streaming.sources import message_stream, observe
+
+    rows = relation(spark, SF, "messages").selectExpr("chat_id", "message_id", "user_id", "chat_type", "text", "CAST(NULL AS STRING) AS caption", "CAST(NULL AS ARRAY<STRUCT<type: STRING, url: STRING>>) AS entities", "CAST(NULL AS ARRAY<STRUCT<type: STRING, url: STRING>>) AS caption_entities", "preview_url", "sender_chat_id", "is_automatic_forward", "CAST(NULL AS ARRAY<BIGINT>) AS new_chat_members", "update_type", "created_at")
+    assert [f.name for f in rows.schema] == [f.name for f in spark.createDataFrame([], TABLES["messages"]).schema]
+    rows.write.parquet(str(tmp_path / "in"))
+    observe(message_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    expected = observations(features(rows))
+    assert got.count() == rows.count() and got.select(expected.columns).exceptAll(expected).count() == 0
+    assert message_stream(spark, str(tmp_path / "in"), edits=False).isStreaming
