@@ -16,8 +16,11 @@ from . import text as T
 URL = rf"(?i)(?<!{T.WORD})(?:https?://|www\.)[^\s<>()\[\]{{}}\"']+"
 EMAIL = rf"(?i)(?<!{T.WORD}){T.WORD}[\p{{L}}\p{{N}}_.+-]*@[\p{{L}}\p{{N}}_.-]+\.[a-z]{{2,}}\b"
 MENTION = rf"(?<!{T.WORD})@{T.WORD}{{3,}}"
-TOKEN = "(<url>|<email>|<mention>|[一-鿿]+|[a-z_ſı]+|[^ ])"
-REPEATED = "|".join(f"(?<=(?:^| ){p} ){p} " for p in ("<url>", "<email>", "<mention>", "<w>", "<"))
+TOKEN = "[一-鿿]+|[a-z_ſı]+|[^ ]"
+WORDS = "(?<![a-z_ſı])[a-z_]+(?![a-z_ſı])"
+PLACEHOLDERS = ("<url>", "<email>", "<mention>", "<w>")
+#: What stands for the placeholders in between: noncharacters, which no text has.
+MARKS = ("\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3")
 LOW_ENTROPY_SKELETONS = (
     "<url>", "<mention>", "<email>", "<w>", "<url> <w>", "<w> <url>", "<url> <mention>", "<mention> <url>", "<url> <url>",
     "<w> <mention>", "<mention> <w>", "<email> <w>", "<w> <email>",
@@ -41,13 +44,27 @@ def stable_hash(value: Column) -> Column:
 
 def skeleton(text: Column) -> Column:
     """Shape of a text: CJK runs and punctuation as they are, words as <w>, carriers as <url>, <email>, <mention>."""
-    x = F.lower(T.strip_zero_width(text))
-    for pattern, token in ((URL, " <url> "), (EMAIL, " <email> "), (MENTION, " <mention> ")):
-        x = F.regexp_replace(x, pattern, token)
+    return skeleton_bare(T.strip_zero_width(text))
+
+
+def skeleton_bare(bare: Column) -> Column:
+    """The same of a text without invisible characters.
+
+    Placeholders are single noncharacters until the end, so that every step is
+    one pass over the text and none goes token by token.
+    """
+    x = F.lower(bare)
+    for pattern, mark in zip((URL, EMAIL, MENTION), MARKS, strict=False):
+        x = F.regexp_replace(x, pattern, f" {mark} ")
     x = T.squeeze(F.regexp_replace(T.strip_emoji(x), T.DIGITS, ""))
-    tokens = F.transform(F.regexp_extract_all(x, F.lit(TOKEN), F.lit(1)), lambda t: F.when(t.rlike("^[a-z_]+$"), F.lit("<w>")).otherwise(t))
-    # A placeholder after an equal one goes: one pass over the joined text, as a lambda would make the tokens anew for each.
-    return F.rtrim(F.regexp_replace(F.concat(F.array_join(tokens, " "), F.lit(" ")), REPEATED, ""))
+    for name, mark in zip(PLACEHOLDERS[:3], MARKS, strict=False):  # a text's own, too
+        x = F.replace(x, F.lit(name), F.lit(mark))
+    x = F.regexp_replace(x, WORDS, MARKS[-1])
+    x = F.regexp_replace(x, f"({TOKEN}) *", "$1 ")
+    x = F.rtrim(F.regexp_replace(x, f"([<{''.join(MARKS)}]) (?=\\1 )", ""))
+    for name, mark in zip(PLACEHOLDERS, MARKS, strict=True):
+        x = F.replace(x, F.lit(mark), F.lit(name))
+    return x
 
 
 def content_hash(text: Column) -> Column:

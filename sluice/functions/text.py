@@ -46,9 +46,14 @@ def strip_emoji(text: Column) -> Column:
     return F.regexp_replace(text, r"\p{So}", "")
 
 
-def nfkc(text: Column) -> Column:
-    """Compatibility form."""
-    safe = text.rlike(_SAFE)
+def is_safe(text: Column) -> Column:
+    """Whether `nfkc` needs no more than a translation."""
+    return text.rlike(_SAFE)
+
+
+def nfkc(text: Column, safe: Column | None = None) -> Column:
+    """Compatibility form. safe: `is_safe` of the text, where it is known."""
+    safe = is_safe(text) if safe is None else safe
     return F.coalesce(F.when(safe, F.translate(text, _FULL, _HALF)), _nfkc(F.when(~safe, text)))
 
 
@@ -59,7 +64,12 @@ def squeeze(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """The canonical form that content is compared in: compatibility form, lower case, no symbols, no digits."""
-    plain = F.lower(strip_emoji(nfkc(strip_zero_width(text))))
+    return normalize_bare(strip_zero_width(text))
+
+
+def normalize_bare(bare: Column, safe: Column | None = None) -> Column:
+    """The same of a text without invisible characters."""
+    plain = F.lower(strip_emoji(nfkc(bare, safe)))
     return squeeze(F.regexp_replace(plain, DIGITS, ""))
 
 

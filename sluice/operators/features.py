@@ -10,16 +10,21 @@ from sluice.functions import links as L
 from sluice.functions import text as T
 
 
+#: Bytes of a row group, which one task reads.
+ROW_GROUP = 128 << 20
+
+
 def spread(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows dealt to as many tasks as there are cores where they come in fewer partitions than that, as they are, otherwise.
+    """Rows of a table that has fewer row groups than there are cores, dealt to all of them; as they are, otherwise.
 
-    The work on a message's text outweighs its move; a table of many files is
-    not moved.
+    The work on a message's text outweighs its move; a table of a row group a
+    core or more is not moved.
     """
     if rows.isStreaming:
         return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores, *by) if size < cores * ROW_GROUP else rows
 
 
 def features(messages: DataFrame) -> DataFrame:
@@ -35,9 +40,10 @@ def features(messages: DataFrame) -> DataFrame:
         entities = F.when(F.size("entities") > 0, F.col("entities"))
         if "caption_entities" in messages.columns:
             entities = F.coalesce(entities, F.col("caption_entities"))
-    rows = messages.withColumn("text", text)
-    rows = rows.withColumns({"clean": T.normalize(F.col("text")), "skeleton": P.skeleton(F.col("text")), "links": L.extract_links(F.col("text"), F.col("preview_url"), entities), "mentions": T.mention_count(F.col("text"))})
-    rows = rows.withColumn("preview_link", L.preview_link(F.col("links"))).withColumn("has_preview", F.col("preview_link").isNotNull())
+    # Step by step, so that what several functions begin with is made once.
+    rows = messages.withColumn("text", text).withColumn("_bare", T.strip_zero_width(F.col("text"))).withColumn("_safe", T.is_safe(F.col("_bare")))
+    rows = rows.withColumns({"clean": T.normalize_bare(F.col("_bare"), F.col("_safe")), "skeleton": P.skeleton_bare(F.col("_bare")), "links": L.extract_links(F.col("text"), F.col("preview_url"), entities), "mentions": T.mention_count(F.col("text"))})
+    rows = rows.drop("_bare", "_safe").withColumn("preview_link", L.preview_link(F.col("links"))).withColumn("has_preview", F.col("preview_link").isNotNull())
     return rows.withColumns({
         "content_hash": P.stable_hash(F.col("clean")), "skeleton_hash": P.stable_hash(F.col("skeleton")), "punctuation_only": T.is_punctuation_only(F.col("clean")),
         "carrier": L.has_carrier(F.col("text"), F.col("links"), F.col("mentions"), F.col("has_preview")), "strong": L.has_strong_token(F.col("clean")),

@@ -9,6 +9,7 @@ from sluice.functions import fingerprints as P
 from sluice.functions import phrases as R
 from sluice.functions import text as T
 from sluice.settings import DEFAULT, Settings
+from sluice.sources.shared import written
 
 
 def with_context(messages: DataFrame, reputation: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -77,7 +78,8 @@ def prior_senders(features: DataFrame, window: int) -> DataFrame:
     message are a running sum over the spans' ends in its bucket, less its own.
     The work is linear in a skeleton's rows, however often it is copied.
     """
-    rows = features.select("message_id", "user_id", "skeleton_hash", "created_at").withColumn("bucket", F.floor(F.col("created_at") / window))
+    # Stored, as three branches read these few columns of rows that took long to make.
+    rows = written(features.select("message_id", "user_id", "skeleton_hash", "created_at"), "sent").withColumn("bucket", F.floor(F.col("created_at") / window))
     group = ["skeleton_hash", "bucket"]
     at = F.struct(F.col("created_at").alias("t"), F.col("message_id").alias("m"))
     own = rows.where("user_id is not null").groupBy(*group, "user_id").agg(F.min(at).alias("first"), F.max("created_at").alias("last"))

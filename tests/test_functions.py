@@ -40,6 +40,7 @@ def test_skeleton_folds_carriers_and_words(spark):
     assert one(spark, P.skeleton, "https://example.com/article") == "<url>"
     assert one(spark, P.skeleton, "不清楚") == "不清楚"
     assert one(spark, P.skeleton, "été x@y.example @name_1") == "é <w> é <email> <mention>"
+    assert one(spark, P.skeleton, "a<url>b <u1rl><URL> << <w> @abc @def ſad 日本x!!") == "<w> <url> <w> <url> < <w> > <mention> ſad 日本 <w> ! !"
 
 
 def test_links_keep_the_first_of_equal_urls(spark):
