@@ -83,11 +83,12 @@ def domain(x: str) -> str:
     return f"nullif({every(f'rtrim({host}, {chr(39)}.{chr(39)})', '^www\\.')}, '')"
 
 
-def links(x: str, preview: str = "NULL") -> str:
+def links(x: str, preview: str = "NULL", entity: str = "NULL") -> str:
     """A list of {url, source, domain}, of equal urls the first."""
     found = f"list_transform(regexp_extract_all({x}, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])({_URL})', 1), lambda u: {{'url': {canonical('u')}, 'source': 'text', 'domain': {domain(canonical('u'))}}})"
     more = f"CASE WHEN {preview} IS NOT NULL AND {preview} <> '' THEN [{{'url': {canonical(preview)}, 'source': 'preview', 'domain': {domain(canonical(preview))}}}] ELSE [] END"
-    whole = f"list_concat({found}, {more})"
+    linked = f"CASE WHEN {entity} IS NOT NULL AND {entity} <> '' THEN [{{'url': {canonical(entity)}, 'source': 'entity', 'domain': {domain(canonical(entity))}}}] ELSE [] END"
+    whole = f"list_concat({found}, {more})" if entity == "NULL" else f"list_concat(list_concat({found}, {linked}), {more})"
     return f"list_filter({whole}, lambda l, i: l.url <> '' AND list_position(list_transform({whole}, lambda m: m.url), l.url) = i)"
 
 

@@ -110,6 +110,22 @@ def link_domains(spark, sf_dir):
     return features(_messages(spark, sf_dir)).select("message_id", F.array_join(L.link_domains(F.col("links")), " ").alias("value"))
 
 
+#: Documents as texts or captions, with a link behind a word of either.
+_CAPTIONS = """SELECT CAST(doc_id AS BIGINT) AS message_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('https://t.example/ ', text) END AS text, concat('see https://C', CAST(doc_id % 9 AS STRING), '.example/x. ', text) AS caption,
+  CASE doc_id % 4 WHEN 0 THEN 'https://E1.example/' WHEN 1 THEN 'https://t.example/' WHEN 2 THEN '' END AS linked, CASE WHEN doc_id % 5 <> 4 THEN concat('www.ce', CAST(doc_id % 5 AS STRING), '.example!') END AS caption_linked,
+  CASE WHEN doc_id % 7 = 3 THEN 'https://E1.example' END AS preview_url FROM {documents}"""
+_TEXT = "coalesce(nullif(text, ''), nullif(caption, ''), '')"
+
+
+@query(f"WITH sent AS (SELECT *, {_TEXT} AS said, coalesce(linked, caption_linked) AS entity FROM ({_CAPTIONS.format(documents='documents')})) SELECT message_id, length(said) AS n, " + _SHOWN.format(x=D.links("said", "preview_url", "entity")) + " AS links FROM sent")
+def caption_links(spark, sf_dir):
+    rows = spark.sql(_CAPTIONS, documents=relation(spark, sf_dir, "documents"))
+    entity = lambda c: F.when(F.col(c).isNotNull(), F.array(F.struct(F.lit("text_link").alias("type"), F.col(c).alias("url")))).otherwise(F.array().cast("array<struct<type:string,url:string>>"))
+    found = features(rows.withColumns({"entities": entity("linked"), "caption_entities": entity("caption_linked")}))
+    shown = F.transform("links", lambda x: F.concat_ws("|", x["source"], x["url"], F.coalesce(x["domain"], F.lit(""))))
+    return found.select("message_id", F.char_length("text").cast("bigint").alias("n"), F.array_join(shown, " ").alias("links"))
+
+
 _URLS = """SELECT page_id, CASE page_id % 12 WHEN 6 THEN concat('HTTP://[::1]/', CAST(page_id AS STRING)) WHEN 7 THEN concat('http://', CAST(page_id % 256 AS STRING), '.', CAST(page_id % 200 AS STRING), '.3.4/x;y?z#f') WHEN 8 THEN concat('https://:@Name', CAST(page_id AS STRING), '.example:?q')
   WHEN 9 THEN 'http://sub.LOCALHOST:80' WHEN 10 THEN concat('https://a:b@h', CAST(page_id AS STRING), '.example/') WHEN 11 THEN concat('  www.Www.B', CAST(page_id AS STRING), '.example./y。') WHEN 0 THEN url WHEN 1 THEN concat('  ', url, '。，)') WHEN 2 THEN concat('www.', substring(url, 9)) WHEN 3 THEN concat('http://u:p@WWW.A', CAST(page_id AS STRING), '.Example.:8080/x')
   WHEN 4 THEN concat('https://h', CAST(page_id AS STRING), '.example:443?q=a|b') ELSE concat('ftp://x_', CAST(page_id AS STRING), '.example/') END AS url FROM {pages}"""

@@ -464,3 +464,10 @@ def test_observations_of_a_stream_equal_those_of_a_table(spark, tmp_path):
     expected = observations(features(rows))
     assert got.count() == rows.count() and got.select(expected.columns).exceptAll(expected).count() == 0
     assert message_stream(spark, str(tmp_path / "in"), edits=False).isStreaming
+
+
+def test_layouts_are_ddl(spark):
+    from sluice.schemas import TABLES
+
+    for ddl in TABLES.values():
+        assert spark.createDataFrame([], ddl).columns == [c.split()[0] for c in ddl.replace("STRUCT<type: STRING, url: STRING>", "S").split(", ")]
