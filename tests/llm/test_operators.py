@@ -761,3 +761,12 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     fake = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://x:7077"), conf=conf)
     with pytest.raises(RuntimeError):
         shared.shared_dir(fake)
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_of_documents_equal_exact_links(spark, width):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(docs, width=width).collect()}
+    expected = plain_components(rows, width)
+    assert got == expected and len(set(expected.values())) < len(rows)
