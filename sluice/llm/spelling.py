@@ -203,7 +203,11 @@ def near_words(counted: DataFrame, scratch: Scratch, letters: int = LETTERS) ->
     named = counted.select(F.xxhash64("word").alias("id"), "word", "n")
     keys = named.select("id", "word").mapInArrow(run, schema)
     dealt = keys.repartition(F.shiftrightunsigned("key", 44)).sortWithinPartitions("key")
-    members = scratch.written(dealt.mapInArrow(_candidates, schema), "candidates").join(named.hint("merge"), "id")
+    return confirmed(scratch.written(dealt.mapInArrow(_candidates, schema), "candidates").join(named.hint("merge"), "id"))
+
+
+def confirmed(members: DataFrame) -> DataFrame:
+    """What `near_words` returns, from rows (key, place, kind, word, n) of candidates: strings decide, whatever else shares a key."""
     without = F.concat(F.expr("left(word, place)"), F.lit("\0"), F.expr("substring(word, place + 2)"))
     core = F.when(F.col("kind") == PLACE, without).when(F.col("kind") == LEFT, F.replace(without, F.lit("\0"))).otherwise(F.col("word"))
     group = Window.partitionBy("key", "core")
