@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sluice.sources.shared import Scratch, forget, shared_dir, written
 
-__all__ = ["Scratch", "bounded_batches", "forget", "free_name", "shared_dir", "table", "written"]
+__all__ = ["Scratch", "bounded_batches", "forget", "free_name", "quoted", "shared_dir", "table", "written"]
 
 _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
@@ -26,6 +26,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -69,8 +69,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("Netpbm image is cut short")
     if kind not in (1, 4) and not 0 < top < 65536:
         raise ValueError("Netpbm maximum out of range")
-    if kind not in (1, 4) and len(samples) and samples.max() > top:
-        raise ValueError("Netpbm sample above the maximum")
+    if kind not in (1, 4) and len(samples) and (samples.max() > top or samples.min() < 0):
+        raise ValueError("Netpbm sample out of range")
     if kind not in (1, 4) and top != 255:
         samples = (samples.astype(np.int64) * 255 + top // 2) // top
     shape = (height, width, 3) if depth == 3 else (height, width)
@@ -178,8 +178,12 @@ def difference_hash(tile: np.ndarray) -> str:
 def media_tiles(df: DataFrame, key: str, media: str, tile: tuple[int, int] = (64, 64)) -> DataFrame:
     """For a binary column of images: key, height, width, channels, tile (an NPY file), dhash, error.
 
-    Nulls and broken images give nulls and a message in `error`; every row stays.
+    Nulls and broken images, with numbers however large, give nulls and a
+    message in `error`; every row stays, repeated ones too, and an empty table
+    gives no rows.  Other columns of `df` play no part, whatever their names.
+    An image is decoded whole; batches are bounded by bytes.
     """
+    bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +198,7 @@ def media_tiles(df: DataFrame, key: str, media: str, tile: tuple[int, int] = (64
                         raise ValueError("empty image")
                     h, w, *c = image.shape
                     rows.append((h, w, c[0] if c else 1, npy_bytes(area_resize(image, *tile)), difference_hash(area_resize(image, *TILE)), None))
-                except (ValueError, IndexError, struct.error, TypeError) as e:
+                except (ValueError, IndexError, struct.error, TypeError, OverflowError, MemoryError) as e:
                     rows.append((None, None, None, None, None, str(e)))
             parts = list(zip(*rows, strict=True)) or [()] * 6
             types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import quoted, table, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -105,7 +105,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     before = Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     begins = sums.withColumn("block_begin", F.coalesce(F.sum("block_size").over(before), F.lit(0)))
     begins = begins.select("name", "block", "block_begin").join(source_targets(sums), "name")
-    rows = sized(F.struct(*carry).alias("row")) if carry else light
+    rows = sized(F.struct(*map(quoted, carry)).alias("row")) if carry else light
     inner = Window.partitionBy("name", "block").orderBy("turn", F.col("key").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("block", block).withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0))).drop("source", "turn")
     rows = rows.join(begins, ["name", "block"]).withColumn("begin", F.col("block_begin") + F.col("inside"))

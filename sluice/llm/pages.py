@@ -14,16 +14,19 @@ of the host have them: passages that several articles share stay.
 
 from __future__ import annotations
 
+import bisect
+import collections
 import hashlib
 import re
-from collections.abc import Container, Iterator
-from html.parser import HTMLParser
+from collections.abc import Container, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.markup import ForgivingParser
+
 from .common import bounded_batches, free_name, table, written
 from .urls import url_parts
 
@@ -53,6 +56,8 @@ _ENDS = {
     "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})), "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
+#: End tags that end what is open in an article or main element, too.
+_OUTER = ("article", "main", "body", "html")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 _MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo|promotion|banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|"
@@ -74,63 +79,62 @@ class Node:
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
 
 
-class _Builder(HTMLParser):
+class _Builder(ForgivingParser):
     """A forgiving tree: open paragraphs, list items and cells end where HTML lets them."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None)
-        self.nodes = [self.root]  # in page order, so parents stand before their children
+        super().__init__()
+        root = Node("#root", {}, None)
+        self.nodes = [root]  # in page order, so parents stand before their children
+        # Open elements from the root down, and where in that stack each tag and the blocks stand, so that no tag walks it.
+        self.stack, self.blocks, self.places = [root], [], collections.defaultdict(list)
+
+    def _deepest(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def _cut(self, depth: int) -> None:
+        """Ends all open elements from this depth on."""
+        for node in self.stack[depth:]:
+            self.places[node.tag].pop()
+        del self.stack[depth:]
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _BLOCK:
-            self._end_paragraph()
+        if tag in _BLOCK and self.blocks and self.stack[self.blocks[-1]].tag == "p":
+            self._cut(self.blocks[-1])
         if tag in _ENDS:
             kinds, stop = _ENDS[tag]
-            node, last = self.at, None
-            while node.parent and node.tag not in stop:
-                if node.tag in kinds:
-                    last = node
-                node = node.parent
-            if last:
-                self.at = last.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+            end = self._deepest(stop)
+            first = [p[k] for kind in kinds for p in [self.places[kind]] if (k := bisect.bisect_right(p, end)) < len(p)]
+            if first:
+                self._cut(min(first))
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.stack[-1])
         self.nodes.append(node)
-        self.at.children.append(node)
+        self.stack[-1].children.append(node)
         if tag not in _VOID:
-            self.at = node
+            self.places[tag].append(len(self.stack))
+            if tag in _BLOCK:
+                self.blocks.append(len(self.stack))
+            self.stack.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
-    def _end_paragraph(self) -> None:
-        node = self.at
-        while node.parent and (node.tag not in _BLOCK):
-            node = node.parent
-        if node.tag == "p":
-            self.at = node.parent
-
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent and node.tag != tag:
-            if node.tag in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                return  # an end tag of something outside; ignored
-            node = node.parent
-        if node.parent:
-            self.at = node.parent
+        depth = self._deepest([tag])
+        # The end tag of something outside of an article is ignored.
+        if depth and (tag in _OUTER or depth > self._deepest(("article", "main", "body"))):
+            self._cut(depth)
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
-    def updatepos(self, i: int, j: int) -> int:
-        return j  # line numbers are not wanted
+        self.stack[-1].children.append(data)
 
 
 def parse(html: str) -> list[Node]:
     """The elements of a page in page order, its root first; any text is taken for HTML."""
     builder = _Builder()
-    builder.feed(html)
-    builder.close()
+    builder.parse(html)
     return builder.nodes
 
 

@@ -111,15 +111,15 @@ def url_parts(url: str) -> tuple:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def _domains(host: str) -> list[str]:
-    """The host and all its parent domains, longest first."""
-    labels = host.split(".")
-    return [".".join(labels[i:]) for i in range(len(labels))]
+def _domains(host: str, labels: int, length: int) -> list[str]:
+    """The host and its parent domains, longest first, of those of at most so many labels and characters."""
+    last = host.rsplit(".", labels)[-labels:]
+    return [d for i in range(len(last)) if len(d := ".".join(last[i:])) <= length] if labels else []
 
 
-def candidate_keys(host: str, path: str, depths: tuple[int, ...]) -> list[str]:
-    """Every key that could list this url: hosts alone, and hosts with the first `depths` characters of the path."""
-    return [f"{d}{path[:n]}" for d in _domains(host) for n in (0, *depths) if n <= len(path)] if host else []
+def candidate_keys(host: str, path: str, depths: tuple[int, ...], labels: int, length: int) -> list[str]:
+    """Every key that could list this url: hosts alone, and hosts with the first `depths` characters of the path; hosts longer than any listed one are left out."""
+    return [f"{d}{path[:n]}" for d in _domains(host, labels, length) for n in (0, *depths) if n <= len(path)] if host else []
 
 
 def filter_urls(df: DataFrame, url: str = "url", rules: tuple = RULES, blocked_hosts: tuple[str, ...] = BLOCKED_HOSTS) -> DataFrame:
@@ -138,10 +138,12 @@ def filter_urls(df: DataFrame, url: str = "url", rules: tuple = RULES, blocked_h
     depths = tuple(sorted({len(p) for _, _, p in rules}))
     named = {f"{h}{p}": (verdict, f"{h}{p}") for verdict, h, p in rules}
     listed = {*named, *blocked_hosts}
+    hosts = [*(h for _, h, _ in rules), *blocked_hosts]
+    most = max((h.count(".") + 1 for h in hosts), default=0), max(map(len, hosts), default=0)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {k for h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in candidate_keys(h, p, depths)}
+            found = {k for h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in candidate_keys(h, p, depths, *most)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["key"])
 
     deepest = max(depths, default=0)
@@ -155,7 +157,7 @@ def filter_urls(df: DataFrame, url: str = "url", rules: tuple = RULES, blocked_h
         rule, verdict = [], []
         for head in zip(hosts.to_pylist(), paths.to_pylist(), strict=True):
             if head not in known:
-                hits = [k for k in candidate_keys(*head, depths) if k in cascade]
+                hits = [k for k in candidate_keys(*head, depths, *most) if k in cascade]
                 fits = sorted((k for k in hits if k in named), key=lambda k: (-len(k), k))
                 known[head] = (named[fits[0]][1] if fits else None, named[fits[0]][0] if fits else "block" if hits else "allow")
             rule.append(known[head][0])

@@ -5,6 +5,7 @@ import functools
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow.fs
 import pytest
 from tokenizers import Tokenizer
 
-from sluice.llm import conversations, spelling, tokenfiles
+from sluice.llm import conversations, media, pages, spelling, tokenfiles, urls
 from sluice.llm.common import Scratch
 from sluice.llm.packing import vocabulary
 from sluice.llm.queries import QUERIES
@@ -276,3 +277,68 @@ def test_token_files_of_one_hot_key(spark, tmp_path, monkeypatch):
     got = sorted(tuple(r) for r in tokenfiles.read_files(tokenfiles.with_starts(manifest), b"").select("start", "n_tokens", "doc_id").collect())
     assert len(got) == 9000 and got[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:], strict=False))
     assert [r[2] for r in got] == sorted(r[2] for r in got)
+
+
+#: Pages that parsers fail on or are slow with; each a few hundred thousand characters.
+NASTY = {
+    "sections": "<![foo[x]]>a<p>b" * 20_000, "unmatched": "<p>" + "<b>" * 80_000 + "</i>" * 80_000, "outside": "<i><article>" + "<b>" * 80_000 + "</i>" * 80_000 + "x",
+    "blocks": "<b>" * 80_000 + "<hr>x" * 80_000, "items": "<ul>" + "<b>" * 80_000 + "<li>y" * 80_000, "deep": "<div>" * 150_000 + "z",
+    "comments": "<!-- >" * 100_000, "open": "<!--" * 200_000, "tags": "<a " * 200_000, "declared": "<!" * 300_000, "conditions": "<![if x>" * 100_000, "quotes": "<a x=' >" * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(NASTY))
+def test_nasty_pages_end_in_seconds(name):
+    start = time.perf_counter()
+    for end in ("", ">", "<p>last words"):
+        pages.extract(NASTY[name] + end)
+    assert time.perf_counter() - start < 30
+
+
+def test_unknown_sections_are_comments(spark):
+    html = "<body><article><p>one<![foo[x]]> two</p><![endif]--><p>three</article><![bar["
+    assert pages.extract(html) == "one two\nthree"
+    rows = spark.createDataFrame([(1, "http://a.example/x", html), (2, None, None), (3, "http://a.example/y", NASTY["sections"])], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in pages.extract_pages(rows).collect()}
+    assert found[1] == "one two\nthree" and found[2] == "" and found[3].startswith("a\nb")
+
+
+def test_long_hosts_have_few_keys(spark):
+    host = "a." * 500_000
+    assert len(urls.candidate_keys(f"{host}example.net", "/en/x", (0, 4), 2, 11)) <= 6
+    rows = [(1, f"http://{host}example.net/en/x"), (2, "http://" + "b" * 1_000_000), (3, f"http://{host}example.org/fr/")]
+    found = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert found == {1: ("example.net/en/", "allow"), 2: (None, "allow"), 3: ("org/fr/", "allow")}
+
+
+def test_images_with_huge_numbers(spark):
+    rows = [(1, b"P5 99999999999999999999 1 255\n\x00"), (2, b"P2 1 1 255\n99999999999999999999999"), (3, b"P6 " + b"9" * 6000 + b" 1 255\n"), (4, b"P2 1 1 255\n-1"), (5, b"P5 1 1 255\n\x07"), (5, b"P5 1 1 255\n\x07"), (6, b"P4 99999999999 99999999999\n")]
+    df = spark.createDataFrame([(k, bytearray(m), "clash") for k, m in rows], "key long, media binary, tile string")
+    got = media.media_tiles(df, "key", "media").collect()
+    assert sorted((r.key, r.error is None) for r in got) == [(1, False), (2, False), (3, False), (4, False), (5, True), (5, True), (6, False)]
+    assert media.media_tiles(df.limit(0), "key", "media").collect() == []
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    """The whole pipeline through `run`, and stages over columns with dots, backticks and clashing names."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.withColumn("a.b", docs.doc_id).withColumn("c`d", docs.lang).withColumn("score", docs.lang).withColumn("Key", docs.lang)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        odd = stage(spark, odd, SF)
+        assert odd.columns == [*docs.columns, "a.b", "c`d", "score", "Key"]
+    assert odd.where("`a.b` <> doc_id").isEmpty() and odd.count() > 100
+    packed = corpus_pipeline.run(spark, SF)
+    pieces = packed.collect()
+    by_sequence = collections.defaultdict(list)
+    for r in pieces:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for rows in by_sequence.values():
+        at = 0
+        for offset, length in sorted(rows):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    # The same documents as the stages by hand, cut and packed.
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in odd.select("doc_id").collect()}
