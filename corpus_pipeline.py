@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.llm import dedup, mixing, packing, toxicity
-from sluice.llm.common import free_name, table, written
+from sluice.llm.common import free_name, quoted, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # The rank goes before the shuffle as well, so a key that many rows share sends on one row of each task.
     first = F.row_number().over(Window.partitionBy(key).orderBy(turn))
     single = rows.withColumn(turn, F.xxhash64("text")).withColumn(place, first).where(F.col(place) == 1)
-    return single.join(kept.hint("merge"), key, "left_semi").select(*docs.columns)
+    return single.join(kept.hint("merge"), key, "left_semi").select(*map(quoted, docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
