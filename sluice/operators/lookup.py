@@ -53,16 +53,29 @@ def lookup_keys(phrase_texts: tuple[Column, ...] = ()) -> Column:
     return F.array_distinct(F.concat(skeleton, content, phrases))
 
 
+def keys_of(features: DataFrame, key: str = "message_id", phrase_texts: tuple[Column, ...] = (), *more: str) -> DataFrame:
+    """key, place, fingerprint_type and value of all keys of all messages, and further columns of theirs."""
+    rows = features.select(key, *more, F.posexplode(lookup_keys(phrase_texts)).alias("place", "k"))
+    return rows.select(key, *more, "place", F.col("k.type").alias("fingerprint_type"), F.col("k.value").alias("value"))
+
+
+def heaviest(hits: DataFrame, key: str = "message_id", **columns: str) -> DataFrame:
+    """key and, under other names, `columns` of the heaviest of its hits (weight, place, ...); of equal ones the first place's.
+
+    An aggregate, so that the choice is partial before the shuffle: no window over a message's keys.
+    """
+    best = F.max_by(F.struct(*columns.values()), F.struct(F.col("weight"), -F.col("place"))).alias("best")
+    return hits.groupBy(key).agg(best).select(key, *(F.col(f"best.{c}").alias(n) for n, c in columns.items()))
+
+
 def strongest_fingerprint(features: DataFrame, fingerprints: DataFrame, key: str = "message_id", phrase_texts: tuple[Column, ...] = ()) -> DataFrame:
     """key, fp_id, fp_type, fp_value, fp_weight of the heaviest known fingerprint; of equal ones the first key's.
 
-    Only keys cross the shuffle, and the choice is an aggregate, so that it is
-    partial before it: no window over a message's keys.
+    Only keys cross the shuffle.
     """
-    keys = features.select(key, F.posexplode(lookup_keys(phrase_texts)).alias("place", "k")).select(key, "place", F.col("k.type").alias("fingerprint_type"), F.col("k.value").alias("value"))
+    keys = keys_of(features, key, phrase_texts)
     hits = keys.join(fingerprints.select("id", "fingerprint_type", "value", "weight"), ["fingerprint_type", "value"])
-    best = F.max_by(F.struct("id", "fingerprint_type", "value", "weight"), F.struct(F.col("weight"), -F.col("place"))).alias("best")
-    return hits.groupBy(key).agg(best).select(key, *(F.col(f"best.{c}").alias(n) for c, n in (("id", "fp_id"), ("fingerprint_type", "fp_type"), ("value", "fp_value"), ("weight", "fp_weight"))))
+    return heaviest(hits, key, fp_id="id", fp_type="fingerprint_type", fp_value="value", fp_weight="weight")
 
 
 def prior_senders(features: DataFrame, window: int) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sluice.functions import fingerprints as P
 from sluice.settings import DEFAULT, Settings
+from sluice.sources.shared import written
+
+from .folding import folded, scanned
 
 
 def latest(events: DataFrame, keys: list[str], order: list[str], deleted: str | None = None) -> DataFrame:
@@ -51,30 +54,49 @@ def vote_outcome(votes: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     )
 
 
-#: Events of a key, by their numbers, that are folded together before their results are: no list is longer.
-SLICE = 4096
+def score_step(delta: Column) -> Column:
+    """A change of reputation as a step x -> min(high, max(low, x + sum)), which composes."""
+    return F.struct(F.lit(0.0).alias("low"), F.lit(100.0).alias("high"), delta.cast("double").alias("sum"))
 
 
-def _slices(events: DataFrame, keys: list[str], *columns: str) -> DataFrame:
-    """keys, slice, steps: the events of each key in slices of SLICE numbers, in order."""
-    part = F.floor(F.col("seq") / SLICE).alias("slice")
-    return events.groupBy(*keys, part).agg(F.array_sort(F.collect_list(F.struct("seq", *columns))).alias("steps"))
+def then_score(a: Column, b: Column) -> Column:
+    """Two such steps in turn."""
+    through = lambda x: F.greatest(b["low"], F.least(b["high"], x + b["sum"]))
+    return F.struct(through(a["low"]).alias("low"), through(a["high"]).alias("high"), (a["sum"] + b["sum"]).alias("sum"))
 
 
 def reputation(events: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """chat_id, user_id, reputation_score: from the default, each delta in turn, clamped to 0..100 at every step.
+    """chat_id, user_id, reputation_score: from the default, each delta in turn, clamped to 0..100 at every step."""
+    steps = events.select("chat_id", "user_id", "seq", score_step(F.col("delta")).alias("f"))
+    out = folded(steps, ["chat_id", "user_id"], then_score)
+    return out.select("chat_id", "user_id", F.greatest("f.low", F.least("f.high", settings.default_reputation + F.col("f.sum"))).alias("reputation_score"))
+
+
+def context_as_of(messages: DataFrame, events: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """message_id, reputation_score, messages_seen of the sender in the chat when each message came.
 
-    A clamped addition composes: x -> min(high, max(low, x + sum)) is closed
-    under composition, so slices of a key's events become one such step each,
-    in parallel, and only those are folded in order.
+    `events` are changes (seq, chat_id, user_id, delta, ts); those before a
+    message's created_at count.  Messages are in (created_at, message_id)
+    order; an edit sees the state, but is not counted as seen.
     """
-    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
-    start = F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0.0).alias("sum"))
-    composed = F.aggregate("steps", start, lambda a, e: F.struct(clamp(a["low"] + e["delta"]).alias("low"), clamp(a["high"] + e["delta"]).alias("high"), (a["sum"] + e["delta"]).alias("sum")))
-    parts = _slices(events, ["chat_id", "user_id"], "delta").select("chat_id", "user_id", "slice", composed.alias("f"))
-    order = F.array_sort(F.collect_list(F.struct("slice", "f")))
-    fold = F.aggregate(order, F.lit(settings.default_reputation), lambda x, p: F.greatest(p["f"]["low"], F.least(p["f"]["high"], x + p["f"]["sum"])))
-    return parts.groupBy("chat_id", "user_id").agg(fold.alias("reputation_score"))
+    step = lambda f, seen: F.struct(f["low"].alias("low"), f["high"].alias("high"), f["sum"].alias("sum"), seen.cast("bigint").alias("seen"))
+    still = F.struct(F.lit(0.0).alias("low"), F.lit(100.0).alias("high"), F.lit(0.0).alias("sum"))
+    # At one time messages come before changes.
+    asked = messages.select(
+        "chat_id", "user_id", F.col("created_at").alias("at"), F.lit(0).alias("phase"), F.col("message_id").alias("number"),
+        F.when(F.col("update_type") != "edited_message", step(still, F.lit(1))).alias("f"),
+    )
+    changes = events.select("chat_id", "user_id", F.col("ts").alias("at"), F.lit(1).alias("phase"), F.col("seq").alias("number"), step(score_step(F.col("delta")), F.lit(0)).alias("f"))
+    compose = lambda a, b: step(then_score(a, b), a["seen"] + b["seen"])
+    rows = asked.where("user_id is not null").unionByName(changes)
+    known = scanned(rows, ["chat_id", "user_id"], ["at", "phase", "number"], compose, _through_context, (settings.default_reputation, 0), "struct<score:double,seen:bigint>").where("phase = 0")
+    known = known.select(F.col("number").alias("message_id"), F.col("before.score").alias("reputation_score"), F.col("before.seen").alias("messages_seen"))
+    unknown = messages.where("user_id is null").select("message_id", F.lit(settings.default_reputation).alias("reputation_score"), F.lit(0).cast("bigint").alias("messages_seen"))
+    return known.unionByName(unknown)
+
+
+def _through_context(state: tuple, f: dict) -> tuple:
+    return min(f["high"], max(f["low"], state[0] + f["sum"])), state[1] + f["seen"]
 
 
 def user_activity(messages: DataFrame) -> DataFrame:
@@ -113,48 +135,71 @@ def fold_feedback(evidence: DataFrame, settings: Settings = DEFAULT) -> DataFram
     source; `down` takes 30 off and counts a false alarm, and from the third on
     sets the source to disabled; on a value that is not there it does nothing.
 
-    Both are x -> max(low, x + sum), which composes, so slices of a value's
-    events are folded in parallel: once for a value that is there, and once
-    from its first `up` for one that is not.
+    Both are x -> max(low, x + sum), which composes; a step says what becomes
+    of a value that is there, and, from its first `up`, of one that is not.
     """
-    penalty = settings.false_positive_penalty
-    weight = lambda e: F.greatest(F.lit(0.0), F.least(F.lit(100.0), e["weight"]))
-    text, zero = F.lit(None).cast("string"), F.lit(0)
-    start = F.struct(
-        F.lit(float("-inf")).alias("low"), F.lit(0.0).alias("sum"), zero.alias("downs"), F.lit(-1.0).alias("w"), zero.alias("n"),
-        text.alias("last"), text.alias("kind"), text.alias("source"),
+    steps = evidence.select("value", "seq", feedback_step(settings).alias("f"))
+    return _fingerprint(folded(steps, ["value"], then_feedback).where("f.w >= 0"), F.col("f"))
+
+
+def feedback_step(settings: Settings = DEFAULT) -> Column:
+    """One piece of evidence (kind, fingerprint_type, weight, source) as a step."""
+    up = F.col("kind") == "up"
+    weight, text = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("weight"))), F.lit(None).cast("string")
+    return F.struct(
+        # What a value that is there has at least, its change of weight and its false alarms; what one that is not there comes to, or -1.
+        F.when(up, weight).otherwise(0.0).alias("low"), F.when(up, 0.0).otherwise(-settings.false_positive_penalty).alias("sum"), F.when(up, 0).otherwise(1).alias("downs"),
+        F.when(up, weight).otherwise(-1.0).alias("w"), F.lit(0).alias("n"), F.col("kind").alias("last"),
+        F.when(up, F.col("fingerprint_type")).otherwise(text).alias("kind"), F.when(up, F.col("source")).otherwise(text).alias("source"),
     )
 
-    def step(a: Column, e: Column) -> Column:
-        up = e["kind"] == "up"
-        there = a["w"] >= 0
-        return F.struct(
-            F.when(up, F.greatest(a["low"], weight(e))).otherwise(F.greatest(F.lit(0.0), a["low"] - penalty)).alias("low"),
-            F.when(up, a["sum"]).otherwise(a["sum"] - penalty).alias("sum"),
-            (a["downs"] + F.when(up, 0).otherwise(1)).alias("downs"),
-            F.when(up, F.greatest(a["w"], weight(e))).when(there, F.greatest(F.lit(0.0), a["w"] - penalty)).otherwise(a["w"]).alias("w"),
-            (a["n"] + F.when(~up & there, 1).otherwise(0)).alias("n"),
-            e["kind"].alias("last"), F.when(up, e["fingerprint_type"]).otherwise(a["kind"]).alias("kind"), F.when(up, e["source"]).otherwise(a["source"]).alias("source"),
-        )
-
-    parts = _slices(evidence, ["value"], "kind", "fingerprint_type", "weight", "source").select("value", "slice", F.aggregate("steps", start, step).alias("f"))
-    first = F.struct(F.lit(-1.0).alias("w"), zero.alias("n"), text.alias("last"), text.alias("kind"), text.alias("source"))
-
-    def join(a: Column, p: Column) -> Column:
-        f, there = p["f"], a["w"] >= 0
-        return F.struct(
-            F.when(there, F.greatest(f["low"], a["w"] + f["sum"])).otherwise(f["w"]).alias("w"), F.when(there, a["n"] + f["downs"]).otherwise(f["n"]).alias("n"),
-            f["last"].alias("last"), F.coalesce(f["kind"], a["kind"]).alias("kind"), F.coalesce(f["source"], a["source"]).alias("source"),
-        )
-
-    out = parts.groupBy("value").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("slice", "f"))), first, join).alias("f")).where("f.w >= 0")
-    disabled = (F.col("f.last") == "down") & (F.col("f.n") >= DISABLED_AFTER)
-    return out.select(
-        "value", F.col("f.kind").alias("fingerprint_type"), F.col("f.w").alias("weight"), F.col("f.n").cast("bigint").alias("false_positives"),
-        F.when(disabled, DISABLED_SOURCE).otherwise(F.col("f.source")).alias("source"),
+
+def then_feedback(a: Column, b: Column) -> Column:
+    """Two such steps in turn."""
+    there = a["w"] >= 0
+    return F.struct(
+        F.greatest(b["low"], a["low"] + b["sum"]).alias("low"), (a["sum"] + b["sum"]).alias("sum"), (a["downs"] + b["downs"]).alias("downs"),
+        F.when(there, F.greatest(b["low"], a["w"] + b["sum"])).otherwise(b["w"]).alias("w"), F.when(there, a["n"] + b["downs"]).otherwise(b["n"]).alias("n"),
+        b["last"].alias("last"), F.coalesce(b["kind"], a["kind"]).alias("kind"), F.coalesce(b["source"], a["source"]).alias("source"),
     )
 
 
+def _through_feedback(state: tuple | None, f: dict) -> tuple | None:
+    """(w, n, last, kind, source) of a value after a step; None while it is not there."""
+    if state is None:
+        return (f["w"], f["n"], f["last"], f["kind"], f["source"]) if f["w"] >= 0 else None
+    w, n, _, kind, source = state
+    return max(f["low"], w + f["sum"]), n + f["downs"], f["last"], f["kind"] or kind, source if f["source"] is None else f["source"]
+
+
+def _fingerprint(rows: DataFrame, f: Column, *more: Column | str) -> DataFrame:
+    """value, fingerprint_type, weight, false_positives and source of a state, and further columns."""
+    disabled = (f["last"] == "down") & (f["n"] >= DISABLED_AFTER)
+    return rows.select(
+        "value", f["kind"].alias("fingerprint_type"), f["w"].alias("weight"), f["n"].cast("bigint").alias("false_positives"),
+        F.when(disabled, DISABLED_SOURCE).otherwise(f["source"]).alias("source"), *more,
+    )
+
+
+def fingerprints_as_of(lookups: DataFrame, evidence: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """message_id, place, value, fingerprint_type, weight, false_positives, source of every lookup that finds something.
+
+    `lookups` are (message_id, ts, place, fingerprint_type, value), `evidence`
+    as `fold_feedback` has it, with ts.  A lookup sees the evidence before its
+    time, and finds a fingerprint if its type is the one asked for.  Values that
+    no evidence is about leave before anything is sorted.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    steps = evidence.select("value", F.col("ts").alias("at"), F.lit(1).alias("phase"), F.col("seq").alias("number"), none("bigint").alias("place"), none("string").alias("asked"), feedback_step(settings).alias("f"))
+    steps = written(steps, "evidence-steps")
+    known = lookups.join(steps.select("value").distinct(), "value", "left_semi")
+    asked = known.select("value", F.col("ts").alias("at"), F.lit(0).alias("phase"), F.col("message_id").alias("number"), F.col("place").cast("bigint").alias("place"), F.col("fingerprint_type").alias("asked"), none(steps.schema["f"].dataType).alias("f"))
+    state = "struct<w:double,n:int,last:string,kind:string,source:string>"
+    rows = scanned(asked.unionByName(steps), ["value"], ["at", "phase", "number", "place", "asked"], then_feedback, _through_feedback, None, state)
+    found = rows.where((F.col("phase") == 0) & (F.col("before.kind") == F.col("asked")))
+    return _fingerprint(found, F.col("before"), F.col("number").alias("message_id"), "place")
+
+
 def vote_evidence(outcomes: DataFrame, sessions: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Evidence for `fold_feedback` from closed sessions: their hashes up if confirmed, down if released, but for sentinels."""
     rows = outcomes.join(sessions.select(F.col("id").alias("session_id"), "skeleton_hash", "content_hash"), "session_id")

@@ -269,3 +269,43 @@ def notify_fanout(spark, sf_dir):
 @query(D.with_(*_TEXTS, "verdicts", "said", "learnt") + "SELECT * FROM learnt")
 def llm_feedback(spark, sf_dir):
     return learnt(messages(spark, sf_dir), spark, sf_dir)
+
+
+@query(D.with_("messages", "reputation_events") + """, seen AS (SELECT message_id, count(*) FILTER (update_type <> 'edited_message') OVER (PARTITION BY chat_id, user_id ORDER BY created_at, message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM messages WHERE user_id IS NOT NULL)
+SELECT m.message_id, list_reduce(list_prepend(50.0::DOUBLE, coalesce(list(e.delta ORDER BY e.ts, e.seq) FILTER (e.seq IS NOT NULL), [])), lambda a, d: greatest(0.0::DOUBLE, least(100.0::DOUBLE, a + d))) AS reputation_score, coalesce(any_value(n), 0) AS messages_seen
+FROM messages m LEFT JOIN reputation_events e ON e.chat_id = m.chat_id AND e.user_id = m.user_id AND e.ts < m.created_at LEFT JOIN seen ON seen.message_id = m.message_id GROUP BY m.message_id""")
+def context_as_of(spark, sf_dir):
+    return state.context_as_of(relation(spark, sf_dir, "messages"), relation(spark, sf_dir, "reputation_events"))
+
+
+def timed_evidence(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All evidence with its time: what labels and verdicts teach comes with its message, what a vote teaches when it closes."""
+    learnt_ = evidence(rows, spark, sf_dir).withColumn("kind", F.lit("up")).withColumn("ts", START + F.floor(F.col("seq") / 4) * 37)
+    votes = relation(spark, sf_dir, "votes")
+    voted = state.vote_evidence(state.vote_outcome(votes), sessions_of(rows, spark, sf_dir)).withColumn("ts", START + F.floor(F.col("seq") / 2) * 11)
+    columns = ["seq", "value", "kind", "fingerprint_type", "weight", "source", "ts"]
+    # The numbers of votes stand after all others, so that those of one time are in a known order.
+    return learnt_.select(*columns).unionByName(voted.withColumn("seq", F.col("seq") + VOTES_FROM).select(*columns))
+
+
+#: Added to the numbers of what votes teach.
+VOTES_FROM = 1 << 40
+_TIMED = f"""steps AS (SELECT seq, value, true AS up, fingerprint_type, weight, source, {START} + seq // 4 * 37 AS ts FROM evidence
+  UNION ALL SELECT o.closed_seq * 2 + k + {VOTES_FROM}, CASE k WHEN 0 THEN skeleton_hash ELSE content_hash END AS value, spam_votes >= 3, CASE k WHEN 0 THEN 'skeleton' ELSE 'content' END, 85.0::DOUBLE, 'vote_confirmed', {START} + o.closed_seq * 11
+  FROM outcomes o JOIN sessions s ON s.id = o.session_id, (VALUES (0), (1)) AS t(k) WHERE {D.meaningful("CASE k WHEN 0 THEN skeleton_hash ELSE content_hash END")})"""
+
+
+@query(chain("votes", "vote_sessions", "sessions", "outcomes", "evidence", "keys").rstrip() + f""",
+{_TIMED},
+lists AS (SELECT k.message_id, k.place, k.value, k.fingerprint_type AS asked, list({{'up': up, 't': s.fingerprint_type, 'x': greatest(0.0::DOUBLE, least(100.0::DOUBLE, s.weight)), 's': s.source}} ORDER BY s.ts, s.seq) AS ups
+  FROM keys k JOIN features f ON f.message_id = k.message_id JOIN steps s ON s.value = k.value AND s.ts < f.created_at GROUP BY ALL),
+folds AS (SELECT message_id, place, value, asked, list_reduce(list_prepend({{'w': -1.0::DOUBLE, 'n': 0, 't': '', 's': '', 'e': ups[1]}}, list_transform(ups, lambda u: {{'w': 0.0::DOUBLE, 'n': 0, 't': '', 's': '', 'e': u}})),
+  lambda a, u: CASE WHEN u.e.up THEN {{'w': greatest(a.w, u.e.x), 'n': a.n, 't': u.e.t, 's': u.e.s, 'e': u.e}}
+    WHEN a.w >= 0 THEN {{'w': greatest(0.0::DOUBLE, a.w - 30), 'n': a.n + 1, 't': a.t, 's': CASE WHEN a.n + 1 >= 3 THEN 'disabled_false_positive' ELSE a.s END, 'e': u.e}} ELSE a END) AS f FROM lists)
+SELECT message_id, asked AS fp_type, value AS fp_value, f.w AS fp_weight, f.s AS fp_source, CAST(f.n AS BIGINT) AS false_positives FROM folds WHERE f.w >= 0 AND f.t = asked
+QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY f.w DESC, place) = 1""")
+def fingerprint_as_of(spark, sf_dir):
+    rows = written(messages(spark, sf_dir), "feature-rows")
+    keys = lookup.keys_of(known_of(rows, spark, sf_dir), "message_id", lookup.phrase_fields(), "created_at").withColumnRenamed("created_at", "ts")
+    found = state.fingerprints_as_of(keys, timed_evidence(rows, spark, sf_dir))
+    return lookup.heaviest(found, fp_type="fingerprint_type", fp_value="value", fp_weight="weight", fp_source="source", false_positives="false_positives")

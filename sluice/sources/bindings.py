@@ -84,8 +84,8 @@ RELATIONS = {
   CASE page_id % 3 WHEN 1 THEN '推特 成人版 视频' ELSE 'weather news' END AS og_description, concat(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), ' ', CASE page_id % 3 WHEN 1 THEN '推特 成人版 视频' ELSE 'weather news' END) AS og_text FROM {pages}""",
     "allowed_chats": "SELECT CAST(n_nationkey AS BIGINT) AS chat_id FROM {nation} WHERE n_regionkey <> 1",
     "whitelisted_users": "SELECT CAST(s_suppkey AS BIGINT) AS user_id, CAST(s_nationkey AS BIGINT) AS added_at FROM {supplier} WHERE s_acctbal < 3000",
-    "reputation_events": """SELECT CAST(event_id AS BIGINT) AS seq, CAST(event_id % 20 AS BIGINT) AS chat_id, CAST(user_id AS BIGINT) AS user_id,
-  CASE WHEN event_type = 'error' THEN CAST(-35 AS DOUBLE) ELSE CAST(8 AS DOUBLE) END AS delta FROM {events} WHERE event_type <> 'view'""",
+    "reputation_events": f"""SELECT CAST(event_id AS BIGINT) AS seq, CAST(event_id % 20 AS BIGINT) AS chat_id, CAST(user_id AS BIGINT) AS user_id,
+  CASE WHEN event_type = 'error' THEN CAST(-35 AS DOUBLE) ELSE CAST(8 AS DOUBLE) END AS delta, CAST({START} + event_id * 11 AS BIGINT) AS ts FROM {{events}} WHERE event_type <> 'view'""",
 }
 
 

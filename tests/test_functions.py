@@ -313,7 +313,7 @@ def test_url_domain(spark, url, host):
 def test_composed_folds_equal_ordered_ones(spark, monkeypatch):
     import random
 
-    monkeypatch.setattr(state, "SLICE", 7)
+    monkeypatch.setattr("sluice.operators.folding.BITS", 3)
     g = random.Random(5)
     events = [(i, 1, g.randrange(3), g.choice([8.0, -35.0, 60.0])) for i in range(200)]
     steps = [(i, f"v{g.randrange(4)}", g.choice(["up", "down", "down"]), g.choice(["content", "phrase"]), float(g.randrange(120)), f"s{i}") for i in range(200)]
