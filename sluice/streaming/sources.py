@@ -34,20 +34,19 @@ def split_late(rows: DataFrame, on_time: str, late: str, checkpoint: str, time:
     """Writes rows that come in time to one folder, and those more than so many seconds behind the newest row of earlier batches to another.
 
     A batch has a folder of its own in each, so that one that is run again
-    writes the same; the newest time so far is kept beside them, a row a batch.
+    writes the same; the newest time up to each batch is kept beside them, a
+    row a batch, and the next batch reads that of the last one only.
     """
     marks = f"{late.rstrip('/')}-newest"
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = 0
-        if number:
-            before = spark.read.schema("newest bigint, batch bigint").parquet(f"{marks}/batch=*").where(F.col("batch") < number).agg(F.max("newest")).first()[0] or 0
+        before = (spark.read.schema("newest bigint").parquet(f"{marks}/batch={number - 1}").first()[0] or 0) if number else 0
         edge = before - seconds
-        batch.persist()
         batch.where(F.col(time) >= edge).write.mode("overwrite").parquet(f"{on_time}/batch={number}")
         batch.where(F.col(time) < edge).write.mode("overwrite").parquet(f"{late}/batch={number}")
-        batch.agg(F.max(time).cast("bigint").alias("newest")).withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{marks}/batch={number}")
-        batch.unpersist()
+        # Late rows are older than those before, so only the others can be the newest.
+        own = spark.read.schema(batch.schema).parquet(f"{on_time}/batch={number}").agg(F.max(time).cast("bigint").alias("newest"))
+        own.select(F.greatest("newest", F.lit(before)).alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

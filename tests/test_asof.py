@@ -67,7 +67,7 @@ def plain_fingerprints(lookups, evidence):
 def fingerprint_rows(seed, n=300):
     g = random.Random(seed)
     value = lambda: "hot" if g.random() < 0.6 else f"v{g.randrange(5)}"
-    lookups = [(k, g.randrange(100), p, g.choice(["content", "phrase"]), g.choice([value(), "never"])) for k in range(n) for p in range(2)]
+    lookups = [(k, t, p, g.choice(["content", "phrase"]), g.choice([value(), "never"])) for k in range(n) for t in [g.randrange(100)] for p in range(2)]
     evidence = [(k, value(), g.choice(["up", "down", "down"]), g.choice(["content", "phrase"]), float(g.randrange(-10, 120)), f"s{k}", g.randrange(100)) for k in range(n)]
     return lookups, evidence
 
