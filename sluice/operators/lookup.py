@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,9 +56,45 @@ def lookup_keys(phrase_texts: tuple[Column, ...] = ()) -> Column:
     return F.array_distinct(F.concat(skeleton, content, phrases))
 
 
-def keys_of(features: DataFrame, key: str = "message_id", phrase_texts: tuple[Column, ...] = (), *more: str) -> DataFrame:
-    """key, place, fingerprint_type and value of all keys of all messages, and further columns of theirs."""
-    rows = features.select(key, *more, F.posexplode(lookup_keys(phrase_texts)).alias("place", "k"))
+#: Values that a filter is made of, at most, and its places for each: with two of them set, one unknown value in 70 passes.
+MOST_VALUES, PLACES = 1 << 20, 16
+
+
+def known_values(values: DataFrame, most: int = MOST_VALUES) -> Callable[[Column], Column] | None:
+    """A test whether a value may be among the rows of `values` (a column value); null if those are more than `most`.
+
+    A Bloom filter: bits are joined by an aggregate, come to the driver as at
+    most two entries a value, and go into the plan as a literal of under 3 MB
+    with six bits a byte, which the JVM reads within expressions.
+    """
+    n = values.count()
+    if n > most:
+        return None
+    places = 6 * max(1, -(-n * PLACES // 6))
+    # Two places from one hash.
+    slots = lambda value: [F.pmod(F.xxhash64(value), F.lit(places)), F.pmod(F.shiftright(F.xxhash64(value), 32), F.lit(places))]
+    each = values.select(F.explode(F.array(*slots(F.col("value")))).alias("slot"))
+    bits = each.groupBy(F.floor(F.col("slot") / 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("slot") % 6).cast("int"))).alias("bits")).toArrow()
+    table = np.full(places // 6, 64, np.uint8)  # 64 and six bits: a character of ASCII
+    table[bits["at"].to_numpy()] |= bits["bits"].to_numpy().astype(np.uint8)
+    literal = F.lit(bytes(table))
+
+    def may_be(value: Column) -> Column:
+        tests = [F.call_function("shiftright", F.ascii(F.substring(literal, (F.floor(s / 6) + 1).cast("int"), F.lit(1)).cast("string")), (s % 6).cast("int")).bitwiseAND(1) == 1 for s in slots(value)]
+        return tests[0] & tests[1]
+
+    return may_be
+
+
+def keys_of(features: DataFrame, key: str = "message_id", phrase_texts: tuple[Column, ...] = (), *more: str, may_be: Callable[[Column], Column] | None = None) -> DataFrame:
+    """key, place, fingerprint_type and value of the keys of all messages, and further columns of theirs.
+
+    `may_be` says which values are wanted, and others never leave their
+    message's array; places are in the keys' order, but count only the rest.
+    """
+    keys = lookup_keys(phrase_texts)
+    keys = keys if may_be is None else F.filter(keys, lambda k: may_be(k["value"]))
+    rows = features.select(key, *more, F.posexplode(keys).alias("place", "k"))
     return rows.select(key, *more, "place", F.col("k.type").alias("fingerprint_type"), F.col("k.value").alias("value"))
 
 
@@ -71,10 +110,13 @@ def heaviest(hits: DataFrame, key: str = "message_id", **columns: str) -> DataFr
 def strongest_fingerprint(features: DataFrame, fingerprints: DataFrame, key: str = "message_id", phrase_texts: tuple[Column, ...] = ()) -> DataFrame:
     """key, fp_id, fp_type, fp_value, fp_weight of the heaviest known fingerprint; of equal ones the first key's.
 
-    Only keys cross the shuffle.
+    Fingerprints are stored first, and a filter of their values, where they are
+    few enough, is asked before a message's keys are exploded; so what crosses
+    the shuffle are hits and few others.
     """
-    keys = keys_of(features, key, phrase_texts)
-    hits = keys.join(fingerprints.select("id", "fingerprint_type", "value", "weight"), ["fingerprint_type", "value"])
+    known = written(fingerprints.select("id", "fingerprint_type", "value", "weight"), "known-fingerprints")
+    keys = keys_of(features, key, phrase_texts, may_be=known_values(known))
+    hits = keys.join(known, ["fingerprint_type", "value"])
     return heaviest(hits, key, fp_id="id", fp_type="fingerprint_type", fp_value="value", fp_weight="weight")
 
 

@@ -306,6 +306,8 @@ SELECT message_id, asked AS fp_type, value AS fp_value, f.w AS fp_weight, f.s AS
 QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY f.w DESC, place) = 1""")
 def fingerprint_as_of(spark, sf_dir):
     rows = written(messages(spark, sf_dir), "feature-rows")
-    keys = lookup.keys_of(known_of(rows, spark, sf_dir), "message_id", lookup.phrase_fields(), "created_at").withColumnRenamed("created_at", "ts")
-    found = state.fingerprints_as_of(keys, timed_evidence(rows, spark, sf_dir))
+    taught = written(timed_evidence(rows, spark, sf_dir), "timed-evidence")
+    known = lookup.known_values(taught.select("value").distinct())
+    keys = lookup.keys_of(known_of(rows, spark, sf_dir), "message_id", lookup.phrase_fields(), "created_at", may_be=known).withColumnRenamed("created_at", "ts")
+    found = state.fingerprints_as_of(keys, taught)
     return lookup.heaviest(found, fp_type="fingerprint_type", fp_value="value", fp_weight="weight", fp_source="source", false_positives="false_positives")
