@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sluice.functions import fingerprints as P
 from sluice.functions import links as L
 from sluice.functions import text as T
+from sluice.operators.lookup import PREVIEW_FIELDS, PROFILE_FIELDS
 from sluice.settings import DEFAULT, Settings
 
 VERDICT = "is_spam boolean, confidence double, category string, skeleton_hash string, signal_phrases array<string>"
@@ -57,6 +58,24 @@ def payload(profile: Column | None = None, preview: Column | None = None) -> Col
     return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"})
 
 
+def known_profile() -> Column:
+    """The sender's profile of rows that `lookup.with_profile` made; null where none is known."""
+    return F.when(F.col("username").isNotNull(), F.struct("user_id", *PROFILE_FIELDS))
+
+
+def known_preview() -> Column:
+    """The link's preview of rows that `lookup.with_preview` made; null where none is known."""
+    return F.when(F.col("og_url").isNotNull(), F.struct(F.col("og_url").alias("url"), *(F.col(f"og_{f}").alias(f) for f in PREVIEW_FIELDS)))
+
+
+def request(rows: DataFrame) -> Column:
+    """The request about a row, with the profile and the preview where the rows have their columns."""
+    has = set(rows.columns)
+    profile = known_profile() if {"user_id", *PROFILE_FIELDS} <= has else None
+    preview = known_preview() if {"og_url", *(f"og_{f}" for f in PREVIEW_FIELDS)} <= has else None
+    return payload(profile, preview)
+
+
 def reply_content(response: Column) -> Column:
     """The reply in a scorer's response: the first choice's message, else its text; null if neither is a text."""
     v = F.try_parse_json(response)
@@ -96,6 +115,10 @@ def providers(settings: Settings = DEFAULT) -> tuple[Provider, ...]:
     return tuple(Provider(base_url(url), key, model) for url, key, model in found if url and key and model)
 
 
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
 def fault(reply: str | None) -> str | None:
     """Why a reply is no verdict; null if it is one. `parse_verdict` reads the same replies."""
     if not reply:
@@ -103,7 +126,7 @@ def fault(reply: str | None) -> str | None:
     bare = re.sub(r"(?i)^```(?:json)?\s*|\s*```$", "", reply.strip()) if reply.strip().startswith("```") else reply.strip()
     for text in (bare, (re.search(r"(?s)\{.*\}", bare) or [""])[0]):
         try:
-            said = json.loads(text)
+            said = json.loads(text, parse_constant=_no_number)
         except ValueError:
             continue
         if not isinstance(said, dict):
@@ -115,8 +138,15 @@ def fault(reply: str | None) -> str | None:
     return "parse_error: no JSON"
 
 
-#: Takes requests, gives a reply, or none, for each; an exception fails them all.
-Scorer = Callable[[list[str]], list[str | None]]
+@dataclass(frozen=True)
+class Failure:
+    """Why a scorer has no reply to a request."""
+
+    reason: str
+
+
+#: Takes requests, gives a reply, a failure or none for each; an exception fails them all.
+Scorer = Callable[[list[str]], Sequence[str | Failure | None]]
 
 
 def score(rows: DataFrame, scorers: Scorer | Sequence[Scorer], key: str = "message_id") -> DataFrame:
@@ -125,7 +155,8 @@ def score(rows: DataFrame, scorers: Scorer | Sequence[Scorer], key: str = "messa
     Scorers are asked in order, a batch at a time, each for what those before
     it gave no verdict on; the last error tells why a row has none.  The filter
     comes before them, so rows decided locally cost nothing.  Without scorers
-    the status is disabled.
+    the status is disabled.  Requests have the sender's profile and the link's
+    preview where `rows` went through `lookup.with_profile` and `with_preview`.
     """
     scorers = [scorers] if callable(scorers) else list(scorers)
     kind = rows.schema[key].dataType.simpleString()
@@ -139,7 +170,7 @@ def score(rows: DataFrame, scorers: Scorer | Sequence[Scorer], key: str = "messa
             for ask in scorers:
                 try:
                     got = ask([requests[i] for i in left]) if left else []
-                    faults = list(map(fault, got))
+                    faults = [r.reason if isinstance(r, Failure) else fault(r) for r in got]
                 except Exception as e:  # noqa: BLE001  a scorer's failure is a result
                     got, faults = [None] * len(left), [f"{type(e).__name__}: {e}"] * len(left)
                 for i, reply, why in zip(left, got, faults, strict=True):
@@ -147,7 +178,7 @@ def score(rows: DataFrame, scorers: Scorer | Sequence[Scorer], key: str = "messa
                 left = [i for i in left if replies[i] is None]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=["key", "reply", "error"])
 
-    asked = rows.where("scorer").select(F.col(key).alias("key"), payload().alias("request"))
+    asked = rows.where("scorer").select(F.col(key).alias("key"), request(rows).alias("request"))
     out = asked.mapInArrow(run, f"key {kind}, reply string, error string").withColumn("v", parse_verdict(F.col("reply")))
     status = F.lit("disabled") if not scorers else F.when(F.col("v").isNull(), "failed").otherwise("ok")
     return out.select(F.col("key").alias(key), status.alias("status"), F.lit(len(scorers)).alias("provider_count"), "error", "v.*")

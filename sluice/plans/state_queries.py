@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from sluice.operators import reports, scoring, state
-from sluice.operators.lookup import PREVIEW_FIELDS, PROFILE_FIELDS, with_context
+from sluice.operators.lookup import with_context
 from sluice.operators.previews import previews, raw_title
 from sluice.sources.bindings import START, relation
 from sluice.sources.shared import written
@@ -190,9 +192,7 @@ _ASKED = ("task", "raw_text", "clean_text", "skeleton", "skeleton_hash", "conten
   FROM features f LEFT JOIN user_reputation r ON r.chat_id = f.chat_id AND r.user_id = f.user_id LEFT JOIN user_profiles p ON p.user_id = f.user_id LEFT JOIN previews g ON g.url = f.preview_link""")
 def llm_payload(spark, sf_dir):
     rows = with_context(known_messages(spark, sf_dir), relation(spark, sf_dir, "user_reputation"))
-    profile = F.when(F.col("username").isNotNull(), F.struct("user_id", *PROFILE_FIELDS))
-    preview = F.when(F.col("og_url").isNotNull(), F.struct(F.col("og_url").alias("url"), *(F.col(f"og_{f}").alias(f) for f in PREVIEW_FIELDS)))
-    rows = rows.select("message_id", scoring.payload(profile, preview).alias("payload"))
+    rows = rows.select("message_id", scoring.request(rows).alias("payload"))
     # Written and read again, so that the JSON itself is what is compared.
     asked = F.from_json("payload", "struct<" + ",".join(f"{n}:string" for n in _ASKED) + ",link_domains:array<string>,links:array<struct<url:string>>,sender_profile:struct<bio:string,display_name:string>,og_preview:struct<title:string>>")
     rows = rows.withColumn("a", asked)
@@ -210,3 +210,24 @@ _REPLY = """SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN '```json ' ELSE
 def llm_verdict(spark, sf_dir):
     rows = spark.sql(_REPLY, labels=relation(spark, sf_dir, "labels")).withColumn("v", scoring.parse_verdict(F.col("reply")))
     return rows.select("doc_id", "v.is_spam", "v.confidence", "v.category", F.array_join("v.signal_phrases", "|").alias("phrases"))
+
+
+def by_profile(requests: list[str]) -> list[str | scoring.Failure | None]:
+    """A scorer of its own: spam is whose profile leads to another group; a preview's title is the category; no profile, no reply."""
+    out = []
+    for asked in map(json.loads, requests):
+        profile, preview = asked["sender_profile"], asked["og_preview"] or {}
+        if profile is None:
+            out.append(scoring.Failure("no profile"))
+        else:
+            out.append(json.dumps({"is_spam": "t.me" in (profile["bio"] or ""), "confidence": 0.9 if profile["last_name"] else 0.6, "category": preview.get("title") or "none"}))
+    return out
+
+
+@query(D.with_(*_TEXTS, "user_profiles", "previews") + """SELECT f.message_id, CASE WHEN p.user_id IS NULL THEN 'failed' ELSE 'ok' END AS status, CASE WHEN p.user_id IS NULL THEN 'no profile' END AS error,
+  CASE WHEN p.user_id IS NOT NULL THEN coalesce(contains(p.bio, 't.me'), false) END AS is_spam, CAST(CASE WHEN p.user_id IS NULL THEN NULL WHEN p.last_name <> '' THEN 0.9 ELSE 0.6 END AS DOUBLE) AS confidence,
+  CASE WHEN p.user_id IS NOT NULL THEN coalesce(nullif(g.og_title, ''), 'none') END AS category
+  FROM features f LEFT JOIN user_profiles p ON p.user_id = f.user_id LEFT JOIN previews g ON g.url = f.preview_link""")
+def scored_by_profile(spark, sf_dir):
+    rows = with_context(known_messages(spark, sf_dir), relation(spark, sf_dir, "user_reputation")).withColumn("scorer", F.lit(True))
+    return scoring.score(rows, by_profile).select("message_id", "status", "error", "is_spam", "confidence", "category")
