@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sluice.functions import fingerprints as P
 from sluice.functions import links as L
 from sluice.settings import DEFAULT, Settings
+from sluice.sources.shared import written
 
 from . import reports, state
 
@@ -24,19 +25,22 @@ ANSWERS = {
 MANAGERS = ("creator", "administrator")
 
 
-def numbered(rows: DataFrame, name: str, time: str, tie: str, first: int = 1, width: int = 3600) -> DataFrame:
+def numbered(rows: DataFrame, name: str, time: str, tie: str, first: int = 1) -> DataFrame:
     """`rows` with consecutive numbers by (time, tie) as `name`.
 
-    Rows are numbered within stretches of `width` seconds, after the sum of the
-    stretches before: one row for each stretch is all that meets in one task.
+    Rows are dealt by ranges and sorted there, so no time is too busy for a
+    task; a row's number is its place in its range after the sizes of the
+    ranges before, and one size for each range is all that meets in one task.
     """
-    part = F.floor(F.col(time) / width)
-    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    dealt = rows.repartitionByRange(time, tie).sortWithinPartitions(time, tie).withColumn("_at", F.monotonically_increasing_id())
+    # Stored, as ranges must be the same for the sizes and for the rows.
+    placed = written(dealt, "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(time, tie))
-    out = rows.withColumn("_part", part).withColumn("_row", within).join(begins, "_part")
-    return out.withColumn(name, (F.col("_begin") + F.col("_row") + (first - 1)).cast("bigint")).drop("_part", "_row", "_begin")
+    begins = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    out = placed.withColumn("_part", part).join(begins, "_part")
+    return out.withColumn(name, (F.col("_begin") + F.col("_at").bitwiseAND((1 << 33) - 1) + first).cast("bigint")).drop("_part", "_at", "_begin")
 
 
 def observations(features: DataFrame) -> DataFrame:
@@ -157,22 +161,36 @@ def admin_bans(callbacks: DataFrame, sessions: DataFrame, members: DataFrame, bo
 
     The first that may and can ends all of the suspect's open votes in the
     chat, so later ones find them ended.  Wants id (its order), user_id, data.
+    reputation_delta is what a ban takes from the suspect, null without one.
     """
     found = sessions.select(F.col("id").alias("session_id"), "chat_id", "suspect_user_id", "status")
     rows = callbacks.where(F.startswith("data", F.lit("admin_ban:"))).withColumn("session_id", F.expr("substring(data, 11)").try_cast("bigint")).join(found, "session_id", "left")
-    allowed = permissions(rows.where("suspect_user_id is not null").select("chat_id", F.col("suspect_user_id").alias("target_user_id")), members, bot_id)
-    able = allowed.where(F.col("can_restrict") & F.col("target_is_restrictable")).select("chat_id", F.col("target_user_id").alias("suspect_user_id"), F.lit(True).alias("able"))
-    rows = _managing(rows, members, settings).join(able, ["chat_id", "suspect_user_id"], "left")
     fails = (
         F.when(F.col("session_id").isNull(), ANSWERS["broken_ban"]).when(F.col("status").isNull(), ANSWERS["no_session"]).when(~F.col("manages"), ANSWERS["no_admin"])
-        .when(F.col("status") != "open", ANSWERS["ended"]).when(F.col("suspect_user_id").isNull(), ANSWERS["no_suspect"]).when(F.col("able").isNull(), ANSWERS["no_right"])
+        .when(F.col("status") != "open", ANSWERS["ended"]).when(F.col("suspect_user_id").isNull(), ANSWERS["no_suspect"])
     )
-    rows = rows.withColumn("fails", fails)
-    first = F.min(F.when(F.col("fails").isNull(), F.col("id"))).over(Window.partitionBy("chat_id", "suspect_user_id"))
-    rows = rows.withColumn("banned", F.coalesce(F.col("fails").isNull() & (F.col("id") == first), F.lit(False)))
-    late = F.when(F.col("manages") & (F.col("status") == "open") & (first < F.col("id")), ANSWERS["ended"])
-    answer = F.coalesce(F.when(F.col("banned"), ANSWERS["banned"]), late, "fails")
-    return rows.select("id", "user_id", "session_id", "chat_id", "suspect_user_id", "banned", answer.alias("answer"))
+    # Callbacks on no session, or on one without a suspect, have no key to meet by, and only need to be answered.
+    about = rows.where("suspect_user_id IS NOT NULL")
+    nobody = _managing(rows.where("chat_id IS NOT NULL AND suspect_user_id IS NULL"), members, settings).withColumn("fails", fails)
+    nowhere = rows.where("chat_id IS NULL AND suspect_user_id IS NULL").withColumn("manages", F.lit(False)).withColumn("fails", fails)
+    allowed = permissions(about.select("chat_id", F.col("suspect_user_id").alias("target_user_id")), members, bot_id)
+    able = allowed.where(F.col("can_restrict") & F.col("target_is_restrictable")).select("chat_id", F.col("target_user_id").alias("suspect_user_id"), F.lit(True).alias("able"))
+    about = _managing(about, members, settings).join(able, ["chat_id", "suspect_user_id"], "left")
+    about = about.withColumn("fails", F.coalesce(fails, F.when(F.col("able").isNull(), ANSWERS["no_right"])))
+    # The first is an aggregate, partial before its shuffle, however often one suspect is asked about.
+    first = about.where("fails IS NULL").groupBy("chat_id", "suspect_user_id").agg(F.min("id").alias("first"))
+    about = about.join(first, ["chat_id", "suspect_user_id"], "left").withColumn("banned", F.coalesce(F.col("id") == F.col("first"), F.lit(False)))
+    late = F.when(F.col("manages") & (F.col("status") == "open") & (F.col("first") < F.col("id")), ANSWERS["ended"])
+    answered = about.withColumn("answer", F.coalesce(F.when(F.col("banned"), ANSWERS["banned"]), late, "fails"))
+    others = nobody.unionByName(nowhere).withColumn("banned", F.lit(False)).withColumn("answer", F.col("fails"))
+    columns = ["id", "user_id", "session_id", "chat_id", "suspect_user_id", "banned", "answer"]
+    every = answered.select(*columns).unionByName(others.select(*columns))
+    return every.withColumn("reputation_delta", F.when(F.col("banned"), -settings.spam_penalty))
+
+
+def ban_events(bans: DataFrame) -> DataFrame:
+    """Events for `state.reputation` from `admin_bans`: (seq, chat_id, user_id, delta) of each suspect that was banned, in the callbacks' order."""
+    return bans.where("banned").select(F.col("id").alias("seq"), "chat_id", F.col("suspect_user_id").alias("user_id"), F.col("reputation_delta").alias("delta"))
 
 
 def ban_results(bans: DataFrame, sessions: DataFrame, allowed: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -16,10 +16,10 @@ from sluice.sources.shared import written
 
 
 def with_context(messages: DataFrame, reputation: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Adds reputation_score and messages_seen of the sender in the chat, with defaults for a new one."""
+    """Adds reputation_score and messages_seen of the sender in the chat, with defaults for a new one, and is_first_message."""
     known = reputation.select("chat_id", "user_id", "reputation_score", "messages_seen")
     rows = messages.join(known, ["chat_id", "user_id"], "left")
-    return rows.withColumns({"reputation_score": F.coalesce("reputation_score", F.lit(settings.default_reputation)), "messages_seen": F.coalesce("messages_seen", F.lit(0).cast("bigint"))})
+    return rows.withColumns({"reputation_score": F.coalesce("reputation_score", F.lit(settings.default_reputation)), "messages_seen": F.coalesce("messages_seen", F.lit(0).cast("bigint"))}).withColumn("is_first_message", F.col("messages_seen") <= 0)
 
 
 def with_profile(messages: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -201,9 +201,9 @@ def meaningful_fp(spark, sf_dir):
     return messages(spark, sf_dir).select("message_id", P.meaningful(F.col("content_hash")).alias("content"), P.meaningful(F.col("skeleton_hash")).alias("skeleton"))
 
 
-@query(D.with_("messages", "user_reputation") + "SELECT message_id, coalesce(reputation_score, 50.0::DOUBLE) AS reputation_score, coalesce(messages_seen, 0) AS messages_seen FROM messages LEFT JOIN user_reputation USING (chat_id, user_id)")
+@query(D.with_("messages", "user_reputation") + "SELECT message_id, coalesce(reputation_score, 50.0::DOUBLE) AS reputation_score, coalesce(messages_seen, 0) AS messages_seen, coalesce(messages_seen, 0) = 0 AS is_first_message FROM messages LEFT JOIN user_reputation USING (chat_id, user_id)")
 def user_context(spark, sf_dir):
-    return lookup.with_context(relation(spark, sf_dir, "messages"), relation(spark, sf_dir, "user_reputation")).select("message_id", "reputation_score", "messages_seen")
+    return lookup.with_context(relation(spark, sf_dir, "messages"), relation(spark, sf_dir, "user_reputation")).select("message_id", "reputation_score", "messages_seen", "is_first_message")
 
 
 @query(D.with_("messages", "user_profiles") + "SELECT message_id, username, CASE WHEN p.user_id IS NOT NULL THEN concat_ws(' ', nullif(first_name, ''), nullif(last_name, '')) END AS display_name, bio FROM messages m LEFT JOIN user_profiles p USING (user_id)")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import effects, gating, reports, scoring, state
+from sluice.operators.outbox import Outbox
+from sluice.operators.previews import PreviewCache, answered_by
 from sluice.sources.bindings import BOT, START, relation
-from sluice.sources.shared import written
+from sluice.sources.shared import shared_dir, written
 
 from . import duck as D
 from .decision_queries import _ALL, _TEXTS, SETTINGS, chain, decisions, fingerprints, judged, messages, sessions
@@ -94,11 +98,22 @@ admin_bans AS (SELECT a.id, user_id, given AS session_id, a.chat_id, a.suspect_u
   CASE WHEN a.id = first THEN '已封禁' WHEN might AND first < a.id THEN '投票已经结束' ELSE fails END AS answer FROM asked a LEFT JOIN firsts f ON f.chat_id = a.chat_id AND f.suspect_user_id = a.suspect_user_id)"""
 
 
-@query(D.with_("vote_sessions", "members", "callbacks").rstrip() + f",\n{_RIGHTS},\n{_ADMIN_BANS}\nSELECT * FROM admin_bans")
+@query(D.with_("vote_sessions", "members", "callbacks").rstrip() + f",\n{_RIGHTS},\n{_ADMIN_BANS}\nSELECT *, CASE WHEN banned THEN -35.0::DOUBLE END AS reputation_delta FROM admin_bans")
 def admin_bans(spark, sf_dir):
     return effects.admin_bans(relation(spark, sf_dir, "callbacks"), relation(spark, sf_dir, "vote_sessions"), relation(spark, sf_dir, "members"), BOT, SETTINGS)
 
 
+@query(D.with_("vote_sessions", "members", "callbacks", "reputation_events").rstrip() + f""",
+{_RIGHTS},
+{_ADMIN_BANS},
+changes AS (SELECT seq * 2 AS seq, chat_id, user_id, delta FROM reputation_events UNION ALL SELECT id * 2 + 1, chat_id, suspect_user_id, -35.0::DOUBLE FROM admin_bans WHERE banned)
+SELECT chat_id, user_id, list_reduce(list_prepend(50.0::DOUBLE, list(delta ORDER BY seq)), lambda a, d: greatest(0.0::DOUBLE, least(100.0::DOUBLE, a + d))) AS reputation_score FROM changes GROUP BY ALL""")
+def reputation_after_bans(spark, sf_dir):
+    bans = effects.admin_bans(relation(spark, sf_dir, "callbacks"), relation(spark, sf_dir, "vote_sessions"), relation(spark, sf_dir, "members"), BOT, SETTINGS)
+    changes = relation(spark, sf_dir, "reputation_events").select((F.col("seq") * 2).alias("seq"), "chat_id", "user_id", "delta")
+    return state.reputation(changes.unionByName(effects.ban_events(bans).withColumn("seq", F.col("seq") * 2 + 1)), SETTINGS)
+
+
 @query(D.with_("vote_sessions", "votes", "members", "callbacks").rstrip() + f""",
 {_RIGHTS},
 {_ADMIN_BANS},
@@ -375,3 +390,38 @@ def reply_content(spark, sf_dir):
 def chat_allowlist_fold(spark, sf_dir):
     events = relation(spark, sf_dir, "events").select(F.col("user_id").cast("bigint").alias("user_id"), "event_id", (F.col("event_type") == "error").alias("gone"))
     return state.latest(events, ["user_id"], ["event_id"], "gone")
+
+
+#: Votes as effects that are put into an outbox in two appends, the earlier half first.
+_OUT = """SELECT 'vote' AS kind, session_id, voter_user_id, seq, ts FROM votes"""
+
+
+@query(D.with_("votes") + f"""SELECT seq, row_number() OVER (ORDER BY seq % 2, ts, seq) AS id, {D.digest("concat('vote', chr(31), CAST(session_id AS VARCHAR), chr(31), CAST(voter_user_id AS VARCHAR), chr(31), CAST(seq AS VARCHAR))")} AS effect_key, seq % 3 <> 0 AS delivered FROM ({_OUT})""")
+def outbox_effects(spark, sf_dir):
+    rows = relation(spark, sf_dir, "votes").select(F.lit("vote").alias("kind"), "session_id", "voter_user_id", "seq", "ts")
+    box = Outbox(spark, f"{shared_dir(spark)}/sluice/{spark.sparkContext.applicationId}/outbox-{uuid.uuid4().hex}", ("kind", "session_id", "voter_user_id", "seq"))
+    for k in (0, 1):
+        box.append(rows.where(F.col("seq") % 2 == k), k, "ts", "seq")
+    sent = box.pending(2).where(F.col("seq") % 3 != 0).select("effect_key")
+    box.deliver(sent, 0)
+    left = box.pending(2, 1).select("effect_key", F.lit(False).alias("delivered"))
+    return box.rows(2).join(left, "effect_key", "left").select("seq", "id", "effect_key", F.coalesce("delivered", F.lit(True)).alias("delivered"))
+
+
+_FIRST = r"(SELECT url, arg_min(html, page_id) AS html FROM pages GROUP BY url)"
+_SAID = r"replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[\s\x{3000}\x{a0}]+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(f"""SELECT url, {_SAID} AS title, 'ok' AS status, CASE WHEN CAST(length(url) AS BIGINT) % 2 = 0 THEN 1000 ELSE 2000 END AS fetched_at FROM {_FIRST}
+  UNION ALL SELECT concat(url, '/gone'), NULL, 'failed', CASE WHEN (length(url) + 5) % 2 = 0 THEN 5000 ELSE 2000 END FROM {_FIRST}""")
+def preview_cache(spark, sf_dir):
+    """Three runs: half of the links at 1000, all at 2000, and all at 5000, when only those of the first run that failed are due again."""
+    pages = relation(spark, sf_dir, "pages").groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+    links = pages.select("url").unionByName(pages.select(F.concat("url", F.lit("/gone")).alias("url")))
+    cache = PreviewCache(spark, f"{shared_dir(spark)}/sluice/{spark.sparkContext.applicationId}/previews-{uuid.uuid4().hex}", retry_seconds=3500)
+    cache.create()
+    answers = lambda due: answered_by(due, pages)
+    cache.refresh(links.where(F.length("url") % 2 == 0), answers, 0, 1000)
+    cache.refresh(links, answers, 1, 2000)
+    cache.refresh(links, answers, 2, 5000)
+    return cache.before(3).select("url", "preview.title", "status", F.col("fetched_at").cast("int").alias("fetched_at"))

@@ -202,7 +202,7 @@ def test_cascade_on_a_stream_equals_the_batch_and_replays_change_nothing(spark,
 
 def test_versions_of_a_table(spark, tmp_path):
     """Any batch reads what those before it left, through several bases; a batch run again changes nothing."""
-    from sluice.streaming.moderation import Versions
+    from sluice.sources.versions import Versions
 
     table = Versions(spark, f"{tmp_path}/t", ("k",), "k bigint, v bigint", every=3)
     table.create(spark.createDataFrame([(None, 0), (1, 0), (2, 0)], "k long, v long"))
