@@ -1,9 +1,12 @@
 """HTML extraction: site template removal, then the article's blocks of text.
 
-Every element's subtree is hashed together with its page's host.  Spark counts
-on how many distinct pages of a host each subtree recurs, pages with the same
-body being one; subtrees on a good share of them are the site's template and
-are deleted from each page's tree before anything else.  The main text is then
+Every element's subtree is hashed together with its page's host: its content,
+and, outside of articles, its shape of tags and classes, as menus and footers
+keep that when their words differ.  Spark counts on how many distinct pages of
+a host each hash recurs, pages with the same body being one; subtrees on a good
+share of them are the site's template and are deleted from each page's tree
+before anything else.  Where no article is marked, so that the text may be
+anywhere, a shape counts only for lists of links.  The main text is then
 looked for in what is left: elements that do not recur, but that their tag,
 role or class marks as menus, headers, footers, sidebars, notices, adverts,
 forms or reader comments, go too, and the article (where no element is one,
@@ -19,6 +22,7 @@ import collections
 import hashlib
 import re
 from collections.abc import Container, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ from .urls import url_parts
 LEAST_PAGES, SHARE = 3, 0.3
 #: The same for text elements within an article, which only notices on nearly every page reach.
 LEAST_WITHIN, SHARE_WITHIN = 10, 0.8
+#: Links of an element without other text, at least, for its shape to tell a menu where no article is marked.
+LEAST_LINKS = 3
 #: Template subtrees that are broadcast, 8 bytes each; beyond, pages are joined with their host's.
 MOST_MARKS = 4_000_000
 #: Parts that a host's pages are dealt into for that join.
@@ -159,42 +165,72 @@ def site_of(host: str) -> int:
     return int.from_bytes(_digest(b"site " + host.encode("utf-8", "replace")), "little", signed=True) & ~1
 
 
-def subtree_hashes(nodes: list[Node], host: str) -> tuple[dict[int, int], int]:
-    """The hash of host, tag, class and content of each element that may be template, by place in `nodes`, and that of
-    the whole body (of the whole page where it has none).  The last bit is 1 for text elements within an article."""
+class Marks(NamedTuple):
+    """What an element may recur by: its content; its shape, null within an article or around one; whether it is a list of links."""
+
+    content: int
+    shape: int | None
+    links: bool
+
+
+def subtree_hashes(nodes: list[Node], host: str) -> tuple[dict[int, Marks], int]:
+    """The marks of each element that may be template, by place in `nodes`, and the hash of the whole body (of the whole
+    page where it has none).
+
+    A mark hashes the host with tag, class and content of the subtree, or with
+    its tags and classes alone.  Its last bit is 1 for text elements within an
+    article.
+    """
     digest: dict[int, bytes] = {}
+    # shape, links with text and whether there is text beside them; of elements that are not within or around an article
+    outer: dict[int, tuple[bytes, int, bool]] = {}
     out, whole, site = {}, nodes[0], site_of(host)
     for place in range(len(nodes) - 1, -1, -1):  # children before their parents
         node = nodes[place]
-        parts = [node.tag.encode("utf-8", "replace"), b"\x01", node.attrs.get("class", "").encode("utf-8", "replace")]
+        head = node.tag.encode("utf-8", "replace") + b"\x01" + node.attrs.get("class", "").encode("utf-8", "replace")
+        parts, shapes = [head], [b"shape", head]
+        free, links, beside = not node.inside and node.tag not in ("article", "main"), 0, False
         empty = True
         for c in node.children:
             if isinstance(c, Node):
                 inner = digest[id(c)]
                 parts += (b"\x02", inner)
                 empty = empty and len(inner) < 8
+                if free and id(c) in outer:
+                    shape, n, text = outer[id(c)]
+                    shapes.append(shape)
+                    links, beside = links + n, beside or text
+                else:
+                    free = False
             else:
                 text = " ".join(c.split())
                 if text:
                     parts += (b"\x03", text.encode("utf-8", "replace"))
-                    empty = False
+                    empty, beside = False, True
         found = _digest(b"".join(parts))
         digest[id(node)] = found[:7] if empty else found  # 7 bytes mark an element without text
+        if free:
+            shape = _digest(b"".join(shapes))
+            outer[id(node)] = (shape, 0 if empty else 1, False) if node.tag == "a" else (shape, links, beside)
         if not empty and node.tag in _BLOCK and node.tag not in ("html", "body", "article", "main"):
-            out[place] = ((int.from_bytes(found, "little", signed=True) ^ site) & ~1) | (node.inside and node.tag in _TEXT)
+            mark = lambda value: (int.from_bytes(value, "little", signed=True) ^ site) & ~1
+            out[place] = Marks(mark(found) | (node.inside and node.tag in _TEXT), mark(shape) if free else None, free and links >= LEAST_LINKS and not beside)
         if node.tag == "body":
             whole = node
     return out, int.from_bytes(digest[id(whole)], "little", signed=True)
 
 
-def remove_template(nodes: list[Node], host: str, template: Container[int]) -> int:
-    """Deletes the subtrees of a page whose hashes are in `template`; how many, those within others not counted."""
+def remove_template(nodes: list[Node], marks: dict[int, Marks], template: Container[int], shapes: bool) -> int:
+    """Deletes the subtrees of a page whose marks are in `template`; how many, those within others not counted.
+
+    Content counts everywhere; a shape where `shapes` says that no text is
+    looked for outside of articles, and otherwise for lists of links only.
+    """
     removed = 0
-    hashes, _ = subtree_hashes(nodes, host)
     for place, node in enumerate(nodes):
-        if node.parent is not None and node.parent.gone:
-            node.gone = True
-        elif place in hashes and hashes[place] in template:
+        node.gone = node.parent is not None and node.parent.gone
+        own = marks.get(place)
+        if not node.gone and own and (own.content in template or (own.shape is not None and (shapes or own.links) and own.shape in template)):
             node.gone = True
             removed += 1
     return removed
@@ -208,7 +244,8 @@ def extract(html: str, host: str = "", template: Container[int] = frozenset()) -
 def _extract(html: str, host: str, template: Container[int]) -> tuple[str, int]:
     """The text, and the number of template subtrees deleted."""
     nodes = parse(html)
-    removed = remove_template(nodes, host, template) if template else 0
+    marks = subtree_hashes(nodes, host)[0] if template else {}
+    removed = remove_template(nodes, marks, template, shapes=True)
 
     def mains(tag: str) -> list[Node]:
         found, stack = [], [nodes[0]]
@@ -222,11 +259,13 @@ def _extract(html: str, host: str, template: Container[int]) -> tuple[str, int]:
                 stack += [c for c in reversed(n.children) if isinstance(c, Node)]
         return found
 
-    for start in (mains("article"), mains("main"), nodes[:1]):
-        text = _blocks(start)
+    for tag in ("article", "main"):
+        text = _blocks(mains(tag))
         if text:
             return text, removed
-    return "", removed
+    # The text is all the rest, so what only looks like a template stays.
+    removed = remove_template(nodes, marks, template, shapes=False)
+    return _blocks(nodes[:1]), removed
 
 
 def _blocks(starts: list[Node]) -> str:
@@ -289,7 +328,8 @@ def templates(df: DataFrame, url: str = "url", html: str = "html", least: int =
                 if html:
                     own, body = subtree_hashes(parse(html), host)
                     site = site_of(host)
-                    rows |= {(site, body, mark) for mark in {site, *own.values()}}
+                    found = {m for marks in own.values() for m in (marks.content, marks.shape) if m is not None}
+                    rows |= {(site, body, mark) for mark in {site, *found}}
             columns = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["site", "body", "mark"])
 

@@ -342,3 +342,47 @@ def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
         assert at <= 4096
     # The same documents as the stages by hand, cut and packed.
     assert {r.doc_id for r in pieces} == {r.doc_id for r in odd.select("doc_id").collect()}
+
+
+def plain_menus(rows, least=3, share=0.3):
+    """Texts of pages of `div`s that are lists of links or paragraphs, and perhaps an article: a list goes if its number of links recurs on enough distinct pages of its host."""
+    distinct = set(rows)
+    pages_of = collections.Counter(h for h, _, _ in distinct)
+    counts = collections.Counter((h, n) for h, blocks, _ in distinct for n in {len(b) for b in blocks if isinstance(b, tuple)})
+    out = []
+    for host, blocks, article in rows:
+        rest = []
+        for b in blocks:
+            if isinstance(b, str):
+                rest.append(b)
+            elif not (len(b) >= 3 and counts[host, len(b)] >= least and counts[host, len(b)] >= share * pages_of[host]):
+                rest.append("".join(b))
+        out.append(article or "\n".join(rest))
+    return out
+
+
+def test_shapes_tell_menus_whose_words_differ(spark):
+    """Neither tags nor classes decide these pages: menus are `div`s of links with words of their own on each page."""
+    g = random.Random(4)
+    word = lambda: f"w{g.randrange(10**9)}"
+    rows = []
+    for host, n in (("a.example", 30), ("b.example", 20), ("c.example", 2)):
+        for k in range(n):
+            menu = tuple(word() for _ in range(4 if g.random() < 0.8 else 5 + k))
+            few = tuple(word() for _ in range(2))  # two links are no menu, however often they recur
+            blocks = [menu, word(), few, word()]
+            g.shuffle(blocks)
+            rows.append((host, tuple(blocks), g.choice([None, None, "", word()])))
+    html = lambda blocks: "".join(f"<div>{b}</div>" if isinstance(b, str) else "<div>" + "".join(f"<a>{w}</a>" for w in b) + "</div>" for b in blocks)
+    table = [(k, f"http://{h}/{k}", f"<body>{html(blocks)}{'' if a is None else f'<article>{a}</article>'}</body>") for k, (h, blocks, a) in enumerate(rows)]
+    got = {r.page_id: r for r in pages.extract_pages(spark.createDataFrame(table, "page_id long, url string, html string")).collect()}
+    assert [got[k].text for k in range(len(rows))] == plain_menus(rows)
+    assert sum(r.n_template > 0 for r in got.values()) > 30
+
+
+def test_template_of_registered_query(spark):
+    """The registered query: something recurs on every page, and no page's text differs from that without any template."""
+    rows = QUERIES["op5_template_extract"](spark, SF).collect()
+    html = {r.page_id: r.html or "" for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert len(rows) == len(html) and sum(r.n_template > 0 for r in rows) > 5  # few hosts of so small a table have three pages
+    assert all(r.text == pages.extract(html[r.page_id]) and r.n_chars == len(r.text) for r in rows)
