@@ -21,7 +21,7 @@ from .common import Scratch, bounded_batches, table, written
 SHARDS = 40
 #: What a row costs besides its text.
 ROW_BYTES = 16
-#: A group above 1 / (SHARDS * LARGE) of all bytes is dealt out on the driver: at most SHARDS * LARGE groups.
+#: A group above 1 / (SHARDS * LARGE) of all bytes or all rows is dealt out on the driver: at most twice SHARDS * LARGE groups.
 LARGE = 50
 #: Groups that a block deals out.
 BLOCK_GROUPS = 8192
@@ -49,9 +49,11 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     than a shard's even part makes its shard larger by as much.  Null and
     repeated keys are rows like others; an empty table gives no rows.
 
-    The large groups, of which there are at most SHARDS * LARGE, are broadcast
-    to their rows, so a text that any share of all rows have goes through no
-    shuffle by text; slots are counted within the parts of a stored table.
+    The groups that are large by bytes or by rows, of which there are at most
+    2 * SHARDS * LARGE, are broadcast to their rows, so a text that any share of
+    all rows have goes through no shuffle by text; slots are counted within the
+    parts of a stored table.  Texts of any length only have their bytes
+    counted and hashed; other columns may have any names.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -59,11 +61,11 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("key"), F.md5(body.cast("binary")).alias("group"), (F.octet_length(body) + ROW_BYTES).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     rows = scratch.written(rows, "shard-rows")
-    groups = scratch.written(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "shard-groups")
-    total, n = groups.agg(F.sum("bytes"), F.count("*")).first()
-    total = total or 0
-    edge = total // (shards * LARGE)
-    large = sorted(((r.bytes, r.group) for r in groups.where(F.col("bytes") > edge).collect()), reverse=True)
+    groups = scratch.written(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-groups")
+    total, all_rows, n = groups.agg(F.sum("bytes"), F.sum("rows"), F.count("*")).first()
+    # Large by bytes, or by rows: of empty texts there may be very many that weigh little.
+    is_large = (F.col("bytes") > (total or 0) // (shards * LARGE)) | (F.col("rows") > max(1, (all_rows or 0) // (shards * LARGE)))
+    large = sorted(((r.bytes, r.group) for r in groups.where(is_large).collect()), reverse=True)
     loads = [0.0] * shards
     dealt = [(g, k) for (_, g), k in zip(large, longest_first([b for b, _ in large], loads), strict=True)]
     blocks = max(1, -(-n // block_groups))
@@ -76,7 +78,7 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
         own = longest_first([sizes[i] for i in at], list(share))
         return pa.table({"group": pa.array([names[i] for i in at], pa.string()), "shard": pa.array(own, pa.int32())})
 
-    rest = groups.where(F.col("bytes") <= edge).withColumn("block", F.conv(F.substring("group", 1, 8), 16, 10).cast("bigint") % blocks)
+    rest = groups.where(~is_large).withColumn("block", F.conv(F.substring("group", 1, 8), 16, 10).cast("bigint") % blocks)
     placed = rest.groupBy("block").applyInArrow(deal, "group string, shard int")
     known = F.broadcast(spark.createDataFrame(dealt, "group string, large int"))
     marked = rows.join(known, "group", "left")

@@ -386,3 +386,26 @@ def test_template_of_registered_query(spark):
     html = {r.page_id: r.html or "" for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     assert len(rows) == len(html) and sum(r.n_template > 0 for r in rows) > 5  # few hosts of so small a table have three pages
     assert all(r.text == pages.extract(html[r.page_id]) and r.n_chars == len(r.text) for r in rows)
+
+
+def test_shards_with_many_empty_texts(spark, monkeypatch):
+    """Nine of ten rows are empty texts that weigh next to nothing: their group is dealt as a large one, not joined by its text."""
+    from sluice.llm import sharding
+
+    driver = []
+    deal = sharding.longest_first
+    monkeypatch.setattr(sharding, "longest_first", lambda sizes, loads: driver.append(list(sizes)) or deal(sizes, loads))
+    docs = spark.range(1000).selectExpr("id AS doc_id", "IF(id % 10 = 0, concat(id, repeat('x', 300000)), IF(id % 20 = 1, NULL, '')) AS text", "id AS size")
+    rows = sharding.shard(docs).collect()
+    light = 900 * 16
+    assert light in driver[0] and light < sum(r.size for r in rows) / (sharding.SHARDS * sharding.LARGE)
+    empty = {r.shard for r in rows if r.size == 16}
+    assert len(empty) == 1 and sum(r.size == 16 for r in rows) == 900
+    by_shard = collections.defaultdict(list)
+    for r in rows:
+        by_shard[r.shard].append(r.slot)
+    assert all(sorted(slots) == list(range(len(slots))) for slots in by_shard.values())
+    loads = collections.Counter()
+    for r in rows:
+        loads[r.shard] += r.size
+    assert max(loads.values()) - min(loads.values()) <= 300_100 + light
