@@ -63,7 +63,7 @@ def hit_weight(spark, sf_dir):
 
 @query(chain("evidence", "fingerprints") + "SELECT value, greatest(0.0::DOUBLE, weight - 30 * (n - 1)) AS weight, n >= 3 AS disabled FROM fingerprints")
 def fp_penalty(spark, sf_dir):
-    known = fingerprints(messages(spark, sf_dir), spark, sf_dir)
+    known = fingerprints(written(messages(spark, sf_dir), "feature-rows"), spark, sf_dir)
     return known.select("value", state.penalised_weight(F.col("weight"), F.col("n") - 1).alias("weight"), (F.col("n") >= 3).alias("disabled"))
 
 
@@ -138,7 +138,7 @@ def status_label(spark, sf_dir):
 
 @query(chain("evidence", "fingerprints") + "SELECT id, fingerprint_type, value, weight, n AS hit_count FROM fingerprints WHERE weight >= 40 ORDER BY weight DESC, hit_count DESC, id LIMIT 50")
 def top_fingerprints(spark, sf_dir):
-    known = fingerprints(messages(spark, sf_dir), spark, sf_dir).withColumnRenamed("n", "hit_count")
+    known = fingerprints(written(messages(spark, sf_dir), "feature-rows"), spark, sf_dir).withColumnRenamed("n", "hit_count")
     return reports.top_fingerprints(known, least=40.0).select("id", "fingerprint_type", "value", "weight", "hit_count")
 
 
@@ -149,7 +149,7 @@ def whitelist_listing(spark, sf_dir):
 
 @query(chain("evidence") + ", everything AS (SELECT value FROM evidence) SELECT value, count(*) AS n FROM everything WHERE " + D.meaningful("value") + " GROUP BY value")
 def purge_low_entropy(spark, sf_dir):
-    return reports.purge(evidence(messages(spark, sf_dir), spark, sf_dir)).groupBy("value").agg(F.count("*").alias("n"))
+    return reports.purge(evidence(written(messages(spark, sf_dir), "feature-rows"), spark, sf_dir)).groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query(D.with_(*_TEXTS, "vote_sessions", "sessions") + f""", asked AS (SELECT {D.digest("'加群日结兼职 一天几百 t.me/abc'")} AS h)
