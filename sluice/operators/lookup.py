@@ -12,7 +12,7 @@ from sluice.functions import fingerprints as P
 from sluice.functions import phrases as R
 from sluice.functions import text as T
 from sluice.settings import DEFAULT, Settings
-from sluice.sources.shared import written
+from sluice.sources.shared import Scratch, written
 
 
 def with_context(messages: DataFrame, reputation: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -107,20 +107,21 @@ def heaviest(hits: DataFrame, key: str = "message_id", **columns: str) -> DataFr
     return hits.groupBy(key).agg(best).select(key, *(F.col(f"best.{c}").alias(n) for n, c in columns.items()))
 
 
-def strongest_fingerprint(features: DataFrame, fingerprints: DataFrame, key: str = "message_id", phrase_texts: tuple[Column, ...] = ()) -> DataFrame:
+def strongest_fingerprint(features: DataFrame, fingerprints: DataFrame, key: str = "message_id", phrase_texts: tuple[Column, ...] = (), scratch: Scratch | None = None) -> DataFrame:
     """key, fp_id, fp_type, fp_value, fp_weight of the heaviest known fingerprint; of equal ones the first key's.
 
     Fingerprints are stored first, and a filter of their values, where they are
     few enough, is asked before a message's keys are exploded; so what crosses
-    the shuffle are hits and few others.
+    the shuffle are hits and few others.  What is stored goes with `scratch`,
+    and with the application where none is given.
     """
-    known = written(fingerprints.select("id", "fingerprint_type", "value", "weight"), "known-fingerprints")
+    known = (scratch.written if scratch else written)(fingerprints.select("id", "fingerprint_type", "value", "weight"), "known-fingerprints")
     keys = keys_of(features, key, phrase_texts, may_be=known_values(known))
     hits = keys.join(known, ["fingerprint_type", "value"])
     return heaviest(hits, key, fp_id="id", fp_type="fingerprint_type", fp_value="value", fp_weight="weight")
 
 
-def prior_senders(features: DataFrame, window: int) -> DataFrame:
+def prior_senders(features: DataFrame, window: int, scratch: Scratch | None = None) -> DataFrame:
     """message_id, prior_senders: other users with the same skeleton in the last `window` seconds before each message.
 
     Crosses chats.  Rows are in (created_at, message_id) order; only earlier
@@ -134,7 +135,7 @@ def prior_senders(features: DataFrame, window: int) -> DataFrame:
     The work is linear in a skeleton's rows, however often it is copied.
     """
     # Stored, as three branches read these few columns of rows that took long to make.
-    rows = written(features.select("message_id", "user_id", "skeleton_hash", "created_at"), "sent").withColumn("bucket", F.floor(F.col("created_at") / window))
+    rows = (scratch.written if scratch else written)(features.select("message_id", "user_id", "skeleton_hash", "created_at"), "sent").withColumn("bucket", F.floor(F.col("created_at") / window))
     group = ["skeleton_hash", "bucket"]
     at = F.struct(F.col("created_at").alias("t"), F.col("message_id").alias("m"))
     own = rows.where("user_id is not null").groupBy(*group, "user_id").agg(F.min(at).alias("first"), F.max("created_at").alias("last"))

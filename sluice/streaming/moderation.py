@@ -20,6 +20,7 @@ from sluice.operators.features import features
 from sluice.settings import DEFAULT, Settings
 from sluice.sources.shared import Scratch
 from sluice.sources.versions import Versions
+from sluice.streaming.sources import LATENESS
 
 
 #: Tables of state: their keys and columns.
@@ -30,6 +31,7 @@ STATE = {
 }
 #: What later messages are compared with: who sent which skeleton when.
 SENT = "message_id bigint, user_id bigint, skeleton_hash string, created_at bigint"
+SPAN = "batch int, last bigint"
 DECISION = "message_id bigint, chat_id bigint, user_id bigint, action string, reason string, confidence double, scorer boolean, fp_value string"
 
 
@@ -60,20 +62,30 @@ class Moderation:
             empty = self.spark.createDataFrame([], table.schema)
             table.create(empty.unionByName(rows[name].select(*(c for c in empty.columns if c in rows[name].columns)), allowMissingColumns=True) if name in rows else empty)
 
-    def _sent_since(self, times: DataFrame, batch: int) -> DataFrame:
-        """What earlier batches sent in the look-back of this one's messages.
+    def _spans(self, batch: int) -> list[tuple[int, int]]:
+        """(batch, time of its last message) of the earlier batches that a message may still look back to."""
+        if not batch:
+            return []
+        return [(r.batch, r.last) for r in self.spark.read.schema(SPAN).parquet(f"{self.path}/spans/batch={batch - 1}").collect()]
 
-        A batch's folder says from when to when its messages are, so only those that reach into the look-back are read.
+    def _sent(self, own: DataFrame, batch: int) -> DataFrame:
+        """Writes what this batch sent, and returns what earlier ones sent in the look-back of its messages.
+
+        Beside its messages a batch keeps a list of the batches that later
+        ones may need, those of the last two look-backs and of what comes late,
+        so no batch reads more than the last list and the batches it needs.
         """
-        least = times.agg(F.min("created_at")).first()[0]
-        if not batch or least is None:
-            return self.spark.createDataFrame([], SENT)
-        spans = self.spark.read.schema("batch int, last bigint").parquet(*(f"{self.path}/spans/batch={n}" for n in range(batch)))
-        near = [r.batch for r in spans.where(F.col("last") >= least - self.settings.repeat_window_seconds).select("batch").collect()]
+        window = self.settings.repeat_window_seconds
+        own.write.mode("overwrite").parquet(f"{self.path}/sent/batch={batch}")
+        least, newest = own.agg(F.min("created_at"), F.max("created_at")).first()
+        earlier = self._spans(batch)
+        latest = max([last for _, last in earlier] + ([] if newest is None else [newest]), default=0)
+        kept = [(n, last) for n, last in [*earlier, (batch, newest)] if last is not None and last >= latest - 2 * window - LATENESS]
+        self.spark.createDataFrame(kept, SPAN).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/spans/batch={batch}")
+        near = [n for n, last in earlier if least is not None and last >= least - window]
         if not near:
             return self.spark.createDataFrame([], SENT)
-        rows = self.spark.read.schema(SENT).parquet(*(f"{self.path}/sent/batch={n}" for n in near))
-        return rows.where(F.col("created_at") >= least - self.settings.repeat_window_seconds)
+        return self.spark.read.schema(SENT).parquet(*(f"{self.path}/sent/batch={n}" for n in near)).where(F.col("created_at") >= least - window)
 
     def decide(self, messages: DataFrame, batch: int) -> None:
         """Decides one micro-batch and writes its decisions, what it sent and what it teaches, under its number."""
@@ -83,13 +95,10 @@ class Moderation:
         known = {name: table.before(batch) for name, table in self.tables.items()}
         rows = scratch.written(features(messages), "feature-rows")
         own = rows.select("message_id", "user_id", "skeleton_hash", "created_at")
-        own.write.mode("overwrite").parquet(f"{self.path}/sent/batch={batch}")
-        own.agg(F.max("created_at").alias("last")).select(F.lit(batch).alias("batch"), "last").write.mode("overwrite").parquet(f"{self.path}/spans/batch={batch}")
-
+        earlier = self._sent(own, batch)
         told = lookup.with_preview(lookup.with_profile(rows, self.profiles), self.previews)
-        best = lookup.strongest_fingerprint(told, known["fingerprints"], phrase_texts=lookup.phrase_fields())
-        earlier = self._sent_since(own, batch)
-        counted = lookup.prior_senders(earlier.unionByName(own), self.settings.repeat_window_seconds)
+        best = lookup.strongest_fingerprint(told, known["fingerprints"], phrase_texts=lookup.phrase_fields(), scratch=scratch)
+        counted = lookup.prior_senders(earlier.unionByName(own), self.settings.repeat_window_seconds, scratch)
         again = lookup.open_repeats(rows, known["sessions"], self.settings)
         found = lookup.with_context(told, known["users"], self.settings)
         for more in (best, counted, again):

@@ -1,5 +1,6 @@
 """State on streams: equal to the folds of whole tables however the stream is cut, and gone when it is over."""
 
+import os
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from sluice.operators import state
 from sluice.operators.lookup import heaviest
 from sluice.settings import Settings
+from sluice.sources.shared import _folder
 from sluice.streaming import folds
 from sluice.streaming.sources import timed
 
@@ -180,8 +182,10 @@ def test_cascade_on_a_stream_equals_the_batch_and_replays_change_nothing(spark,
     learning = Moderation(spark, f"{tmp_path}/learning", profiles, previews, settings, every=2)
     learning.create(**base)
     parts = [spark.read.schema(messages.schema).parquet(f"{tmp_path}/in/{k}") for k in range(4)]
+    stored = sorted(os.listdir(_folder(spark)))
     for k, part in enumerate(parts):
         learning.decide(part, k)
+    assert sorted(os.listdir(_folder(spark))) == stored  # a stream that runs for long leaves nothing of its steps
     before = tables_of(spark, f"{tmp_path}/learning")
     for k in (1, 2, 3):
         learning.decide(parts[k], k)  # as after a failure between a batch and its commit
