@@ -12,11 +12,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from sluice.sources.shared import written
+from sluice.sources.shared import Scratch, written
 
 #: Entries of a list that is folded at once, as a power of two.
 BITS = 14
@@ -112,6 +112,34 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], compose: Compose
     return ordered.mapInArrow(_states(through, start, [*keys, "_piece"], arrow, "_first"), f"{columns}, before {state}").drop("_place", "_piece", "_first")
 
 
+def running(rows: DataFrame, keys: list[str], order: list[str], step: str, name: str, scratch: Scratch | None = None) -> DataFrame:
+    """`rows` with `name`, the sum of `step` over a key's rows up to and with each of them in `order`, by built-in functions alone.
+
+    Where no key has more than 2**BITS rows, this is a window over keys.
+    Otherwise rows are dealt as in `scanned`: a window holds at most 2**BITS
+    rows of a key, and what pieces before it sum to comes from one row a piece.
+    Keys must not be null, `order` must be total within a key but for rows
+    whose places may be swapped, and no column's name may begin with an
+    underscore.  What is stored goes with `scratch`, and with the application
+    where none is given.
+    """
+    store = scratch.written if scratch else written
+    to_here = (Window.unboundedPreceding, 0)
+    rows = store(rows, "running-rows")
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= 1 << BITS:
+        return rows.withColumn(name, F.sum(step).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*to_here)))
+    dealt = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_place", F.monotonically_increasing_id())
+    # Stored, as places must be the same in all that follows.
+    placed = store(dealt.withColumn("_piece", F.shiftright("_place", BITS)), "running-places")
+    sums = placed.groupBy(*keys, "_piece").agg(F.sum(step).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, "_piece", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*keys, "_piece").orderBy("_place").rowsBetween(*to_here)
+    joined = placed.join(before.hint("merge"), [*keys, "_piece"])
+    return joined.select(*rows.columns, (F.col("_before") + F.sum(step).over(within)).alias(name))
+
+
 def _arrow_struct(spark: Any, ddl: str) -> pa.StructType:
     from pyspark.sql.pandas.types import to_arrow_type
 

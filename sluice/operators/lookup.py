@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import fingerprints as P
@@ -14,6 +14,8 @@ from sluice.functions import text as T
 from sluice.settings import DEFAULT, Settings
 from sluice.sources.shared import Scratch, written
 
+from .folding import running
+
 
 def with_context(messages: DataFrame, reputation: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Adds reputation_score and messages_seen of the sender in the chat, with defaults for a new one, and is_first_message."""
@@ -132,10 +134,14 @@ def prior_senders(features: DataFrame, window: int, scratch: Scratch | None = No
     into the next bucket for a window after the last.  So a user is at most two
     spans in a bucket, known from two partial aggregates; the users that reach a
     message are a running sum over the spans' ends in its bucket, less its own.
-    The work is linear in a skeleton's rows, however often it is copied.
+    The work is linear in a skeleton's rows, however often it is copied, and no
+    task holds all rows of a skeleton.  A row whose skeleton or time is null has
+    no prior senders; rows of no user have some and are none.
     """
     # Stored, as three branches read these few columns of rows that took long to make.
-    rows = (scratch.written if scratch else written)(features.select("message_id", "user_id", "skeleton_hash", "created_at"), "sent").withColumn("bucket", F.floor(F.col("created_at") / window))
+    sent = (scratch.written if scratch else written)(features.select("message_id", "user_id", "skeleton_hash", "created_at"), "sent")
+    timeless = F.col("skeleton_hash").isNull() | F.col("created_at").isNull()
+    rows = sent.where(~timeless).withColumn("bucket", F.floor(F.col("created_at") / window))
     group = ["skeleton_hash", "bucket"]
     at = F.struct(F.col("created_at").alias("t"), F.col("message_id").alias("m"))
     own = rows.where("user_id is not null").groupBy(*group, "user_id").agg(F.min(at).alias("first"), F.max("created_at").alias("last"))
@@ -155,29 +161,53 @@ def prior_senders(features: DataFrame, window: int, scratch: Scratch | None = No
     seen = rows.join(spans, [*group, "user_id"], "left").select(*group, F.col("created_at").alias("t"), F.col("message_id").alias("m"), F.lit(0).alias("kind"), F.lit(0).alias("step"), own_reach.cast("int").alias("own"))
     both = seen.unionByName(ends.withColumn("own", F.lit(0)))
     # A row's own beginning stands after the row and all that equal it.
-    running = Window.partitionBy(*group).orderBy("t", "m", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("reached", F.sum("step").over(running)).where("kind = 0")
-    return out.select(F.col("m").alias("message_id"), (F.col("reached") - F.col("own")).cast("bigint").alias("prior_senders"))
+    out = running(both, group, ["t", "m", "kind"], "step", "reached", scratch).where("kind = 0")
+    out = out.select(F.col("m").alias("message_id"), (F.col("reached") - F.col("own")).cast("bigint").alias("prior_senders"))
+    return out.unionByName(sent.where(timeless).select("message_id", F.lit(0).cast("bigint").alias("prior_senders")))
+
+
+#: Parts that the messages about one text of a sender are dealt into.
+PARTS = 16
 
 
-def open_repeats(features: DataFrame, sessions: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def open_repeats(features: DataFrame, sessions: DataFrame, settings: Settings = DEFAULT, scratch: Scratch | None = None) -> DataFrame:
     """message_id, session_ids (at most 10, newest first): earlier open sessions of the sender in the chat about the same text.
 
     Only the newest 50 sessions of a user count; an earlier session is one
-    opened before the message was written.  Each session carries the 50 up to
-    itself, and a message reads those of the last session before it, so no
-    message meets all of a user's sessions.
+    opened before the message was written.
+
+    Messages that share no text with a session of their sender leave first.
+    Sessions are numbered in the order of a sender's, and a message knows how
+    many of them are before it, both from one running sum; so the newest 50 are
+    a range of numbers, which two blocks of 50 numbers cover, and blocks are
+    keys of a join: a message meets at most 100 sessions, and carries none.
+    Sessions lie in each of `PARTS` parts of a key, a message in one.  Rows with
+    a null chat or user have no repeats, rows of one message are one.
     """
     content = F.when(F.col("content_hash") != P.EMPTY_HASH, F.col("content_hash"))
-    skeleton = F.when((F.col("skeleton_hash") != P.EMPTY_HASH) & ~P.is_low_entropy_skeleton(F.col("skeleton")), F.col("skeleton_hash"))
-    opened = sessions.where("status = 'open'").select("chat_id", F.col("suspect_user_id").alias("user_id"), F.col("created_at").alias("at"), F.col("id").alias("key"), F.struct(F.col("id").alias("session_id"), "skeleton_hash", "content_hash").alias("s"))
-    of_user = Window.partitionBy("chat_id", "user_id")
-    recent = F.collect_list("s").over(of_user.orderBy("at", "key").rowsBetween(1 - settings.max_sessions, 0))
-    none = F.lit(None).cast("string")
-    opened = opened.select("chat_id", "user_id", "at", "key", F.lit(1).alias("kind"), recent.alias("recent"), none.alias("content"), none.alias("shape"))
-    own = features.select("chat_id", "user_id", F.col("created_at").alias("at"), F.col("message_id").alias("key"), F.lit(0).alias("kind"), F.lit(None).cast(opened.schema["recent"].dataType).alias("recent"), content.alias("content"), skeleton.alias("shape"))
-    before = of_user.orderBy("at", "kind", "key").rowsBetween(Window.unboundedPreceding, 0)
-    rows = own.where("user_id is not null").unionByName(opened).withColumn("known", F.last("recent", ignorenulls=True).over(before)).where("kind = 0 and known is not null")
-    same = F.filter("known", lambda s: F.coalesce(F.col("content") == s["content_hash"], F.lit(False)) | F.coalesce(F.col("shape") == s["skeleton_hash"], F.lit(False)))
-    ids = F.slice(F.reverse(F.transform(same, lambda s: s["session_id"])), 1, 10)
-    return rows.select(F.col("key").alias("message_id"), ids.alias("session_ids")).where(F.size("session_ids") > 0)
+    shape = F.when((F.col("skeleton_hash") != P.EMPTY_HASH) & ~P.is_low_entropy_skeleton(F.col("skeleton")), F.col("skeleton_hash"))
+    # Explodes an array as it is made: for a filtered one, Spark would make it twice.
+    about = lambda c, s: F.explode(F.array(F.struct(F.lit(0).alias("of"), c.alias("hash")), F.struct(F.lit(1).alias("of"), s.alias("hash")))).alias("about")
+    sender = ["chat_id", "user_id"]
+    text = [*sender, "of", "hash"]
+    both = F.col("content_hash"), F.col("skeleton_hash")
+    opened = sessions.where("status = 'open' and chat_id is not null and suspect_user_id is not null and created_at is not null")
+    opened = opened.select("chat_id", F.col("suspect_user_id").alias("user_id"), F.col("created_at").alias("at"), F.col("id").alias("key"), *both)
+    opened = (scratch.written if scratch else written)(opened, "open-sessions")
+    texts = opened.select(*sender, about(*both)).select(*sender, "about.*").distinct()
+    own = features.select(*sender, F.col("created_at").alias("at"), F.col("message_id").alias("key"), about(content, shape)).select(*sender, "at", "key", "about.*")
+    own = own.where("at is not null and hash is not null").join(texts, text, "left_semi")
+    none = lambda kind: F.lit(None).cast(kind)
+    steps = opened.withColumns({"of": none("int"), "hash": none("string"), "step": F.lit(1)})
+    asks = own.withColumns({"content_hash": none("string"), "skeleton_hash": none("string"), "step": F.lit(0)})
+    numbered = running(steps.unionByName(asks), sender, ["at", "step", "key"], "step", "number", scratch)
+    most = settings.max_sessions
+    block = lambda number: F.floor((number - 1) / most)
+    asked = numbered.where("step = 0 and number > 0").select(*text, F.col("key").alias("message_id"), "number")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("message_id"), F.lit(PARTS)).cast("int")).withColumn("block", F.explode(F.array(block(F.col("number")), block(F.col("number")) - 1)))
+    known = numbered.where("step = 1").select(*sender, F.col("key").alias("session_id"), F.col("number").alias("n"), block(F.col("number")).alias("block"), about(*both))
+    known = known.select(*sender, "about.*", "session_id", "n", "block", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    found = asked.join(known.hint("merge"), [*text, "block", "part"]).where(F.col("n") > F.col("number") - most)
+    # Newest first: numbers are in the order of time.
+    found = found.where(F.col("n") <= F.col("number")).groupBy("message_id").agg(F.sort_array(F.collect_set(F.struct("n", "session_id")), asc=False).alias("found"))
+    return found.select("message_id", F.transform(F.slice("found", 1, 10), lambda s: s["session_id"]).alias("session_ids"))

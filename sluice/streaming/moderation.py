@@ -99,7 +99,7 @@ class Moderation:
         told = lookup.with_preview(lookup.with_profile(rows, self.profiles), self.previews)
         best = lookup.strongest_fingerprint(told, known["fingerprints"], phrase_texts=lookup.phrase_fields(), scratch=scratch)
         counted = lookup.prior_senders(earlier.unionByName(own), self.settings.repeat_window_seconds, scratch)
-        again = lookup.open_repeats(rows, known["sessions"], self.settings)
+        again = lookup.open_repeats(rows, known["sessions"], self.settings, scratch)
         found = lookup.with_context(told, known["users"], self.settings)
         for more in (best, counted, again):
             found = found.join(more, "message_id", "left")
