@@ -19,6 +19,11 @@ MENTION = rf"(?<!{T.WORD})@{T.WORD}{{3,}}"
 TOKEN = "[一-鿿]+|[a-z_ſı]+|[^ ]"
 WORDS = "(?<![a-z_ſı])[a-z_]+(?![a-z_ſı])"
 PLACEHOLDERS = ("<url>", "<email>", "<mention>", "<w>")
+# `URL`, `EMAIL`, `MENTION` and `WORDS` for lower-case text: they match the same.
+_LOW_URL = rf"(?:h(?<!{T.WORD}h)ttps?://|w(?<!{T.WORD}w)ww\.)[^\s<>()\[\]{{}}\"']+"
+_LOW_EMAIL = rf"{T.WORD}(?<!{T.WORD}{T.WORD})[\p{{L}}\p{{N}}_.+-]*+@[\p{{L}}\p{{N}}_.-]+\.[a-z]{{2,}}\b"
+_LOW_MENTION = rf"@(?<!{T.WORD}@){T.WORD}{{3,}}"
+_LOW_WORDS = "[a-z_](?<![a-z_ſı][a-z_])[a-z_]*+(?![a-z_ſı])"
 #: What stands for the placeholders in between: noncharacters, which no text has.
 MARKS = ("\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3")
 LOW_ENTROPY_SKELETONS = (
@@ -51,15 +56,17 @@ def skeleton_bare(bare: Column) -> Column:
     """The same of a text without invisible characters.
 
     Placeholders are single noncharacters until the end, so that every step is
-    one pass over the text and none goes token by token.
+    one pass over the text and none goes token by token.  Patterns ask for the
+    first character before what is in front of it, and keep what they have run
+    over where going back can't help.
     """
     x = F.lower(bare)
-    for pattern, mark in zip((URL, EMAIL, MENTION), MARKS, strict=False):
+    for pattern, mark in zip((_LOW_URL, _LOW_EMAIL, _LOW_MENTION), MARKS, strict=False):
         x = F.regexp_replace(x, pattern, f" {mark} ")
-    x = T.squeeze(F.regexp_replace(T.strip_emoji(x), T.DIGITS, ""))
+    x = T.squeeze(T.strip_digits(T.strip_emoji(x)))
     for name, mark in zip(PLACEHOLDERS[:3], MARKS, strict=False):  # a text's own, too
         x = F.replace(x, F.lit(name), F.lit(mark))
-    x = F.regexp_replace(x, WORDS, MARKS[-1])
+    x = F.regexp_replace(x, _LOW_WORDS, MARKS[-1])
     x = F.regexp_replace(x, f"({TOKEN}) *", "$1 ")
     x = F.rtrim(F.regexp_replace(x, f"([<{''.join(MARKS)}]) (?=\\1 )", ""))
     for name, mark in zip(PLACEHOLDERS, MARKS, strict=True):

@@ -20,6 +20,8 @@ ZERO_WIDTH = "[​-‏‪-‮⁠-⁯﻿]"
 DIGITS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒]"
 SPACE = r"[\s\u0085   -     　\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
+#: `SPACE`, and that but for the plain one, with one look at a printable character of ASCII.
+_SPACE, _SPACE_NOT_ONE = f"[[^!-~]&&{SPACE}]", f"[[^ -~]&&{SPACE}]"
 
 _FULL = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 _HALF = "".join(map(chr, range(0x21, 0x7F))) + " "
@@ -59,7 +61,13 @@ def nfkc(text: Column, safe: Column | None = None) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    # A space alone is what it becomes, so only other runs are matched.
+    return F.trim(F.regexp_replace(text, f" {_SPACE}+|{_SPACE_NOT_ONE}{_SPACE}*", " "))
+
+
+def strip_digits(text: Column) -> Column:
+    """Without digits of any kind; one look at a character tells for those of ASCII."""
+    return F.regexp_replace(text, rf"[0-9[\x{{80}}-\x{{10ffff}}&&{DIGITS}]]", "")
 
 
 def normalize(text: Column) -> Column:
@@ -70,7 +78,7 @@ def normalize(text: Column) -> Column:
 def normalize_bare(bare: Column, safe: Column | None = None) -> Column:
     """The same of a text without invisible characters."""
     plain = F.lower(strip_emoji(nfkc(bare, safe)))
-    return squeeze(F.regexp_replace(plain, DIGITS, ""))
+    return squeeze(strip_digits(plain))
 
 
 def is_punctuation_only(clean: Column) -> Column:
@@ -80,7 +88,7 @@ def is_punctuation_only(clean: Column) -> Column:
 
 def mention_count(text: Column) -> Column:
     """@names of three or more word characters that do not follow a word character."""
-    return F.regexp_count(text, F.lit(rf"(?<!{WORD})@{WORD}{{3,}}")).cast("int")
+    return F.regexp_count(text, F.lit(rf"@(?<!{WORD}@){WORD}{{3,}}")).cast("int")
 
 
 def is_low_entropy_text(clean: Column) -> Column:

@@ -228,7 +228,8 @@ def repeat_senders(spark, sf_dir):
 
 @query(D.with_(*_TEXTS, "vote_sessions", "sessions", "open_repeats") + "SELECT message_id, array_to_string(session_ids, ',') AS session_ids FROM open_repeats")
 def open_vote_repeat(spark, sf_dir):
-    rows = written(messages(spark, sf_dir).drop("text", "clean", "links"), "feature-rows")
+    rows = messages(spark, sf_dir).select("message_id", "chat_id", "user_id", "created_at", "content_hash", "skeleton_hash", "skeleton")
+    rows = written(rows, "feature-rows")
     found = lookup.open_repeats(rows, sessions_of(rows, spark, sf_dir), SETTINGS)
     return found.select("message_id", F.array_join(F.col("session_ids").cast("array<string>"), ",").alias("session_ids"))
 
