@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from sluice.functions.text import number_text
 from sluice.operators import reports, scoring, state
 from sluice.operators.lookup import with_context
 from sluice.operators.previews import previews, raw_title
@@ -194,10 +195,11 @@ def llm_payload(spark, sf_dir):
     rows = with_context(known_messages(spark, sf_dir), relation(spark, sf_dir, "user_reputation"))
     rows = rows.select("message_id", scoring.request(rows).alias("payload"))
     # Written and read again, so that the JSON itself is what is compared.
-    asked = F.from_json("payload", "struct<" + ",".join(f"{n}:string" for n in _ASKED) + ",link_domains:array<string>,links:array<struct<url:string>>,sender_profile:struct<bio:string,display_name:string>,og_preview:struct<title:string>>")
+    kinds = dict.fromkeys(_ASKED, "string") | {"sender_reputation": "double"}
+    asked = F.from_json("payload", "struct<" + ",".join(f"{n}:{k}" for n, k in kinds.items()) + ",link_domains:array<string>,links:array<struct<url:string>>,sender_profile:struct<bio:string,display_name:string>,og_preview:struct<title:string>>")
     rows = rows.withColumn("a", asked)
     return rows.select(
-        "message_id", *(F.col(f"a.{n}").alias(n) for n in _ASKED), F.array_join("a.link_domains", " ").alias("domains"), F.size("a.links").alias("n_links"), F.get("a.links", F.lit(0))["url"].alias("first_url"),
+        "message_id", *((number_text(F.col(f"a.{n}")) if kinds[n] == "double" else F.col(f"a.{n}")).alias(n) for n in _ASKED), F.array_join("a.link_domains", " ").alias("domains"), F.size("a.links").alias("n_links"), F.get("a.links", F.lit(0))["url"].alias("first_url"),
         F.col("a.sender_profile.bio").alias("bio"), F.col("a.sender_profile.display_name").alias("display_name"), F.col("a.og_preview.title").alias("title"),
     )
 
