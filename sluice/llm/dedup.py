@@ -16,12 +16,13 @@
    full sets meet, and only links that join two components leave the task.  So
    a group of copies costs its outsiders times its members.  A key with more
    than `HOT` outsiders (documents from one form, alike but not linked) is cut
-   up first: its members get many keys of `SAMPLED` low bits each, which unlike
-   classes seldom share, and steps 3 and 4 are taken on these.
+   up first: its members' keys are the rarest shingles of their full sets, as
+   many as a linked set can't do without (prefix filtering), and steps 3 and 4
+   are taken on these, however many share one.
 5. Components of the confirmed links, spread over each class's rows.
 
 A pair at the threshold 0.8 misses all bands with a chance below
-(1 - 0.8**5)**32 = 3e-6, and all keys of a cut up band with one of 1e-6; the
+(1 - 0.8**5)**32 = 3e-6, and no key of a cut up band is left to chance; the
 signature's allowance is six standard deviations.
 """
 
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,9 @@ BANDS, ROWS, BITS = 32, 5, 2
 SIGMAS = 6
 #: Classes of one band key that one task compares with as many others.
 TILE = 2048
-#: Classes of a band key outside of its least class's component, beyond which the key is cut up; places of the
-#: signature in a key, and keys of each class, for that.
-HOT, SAMPLED, MANY = 16384, 20, 360
+#: Classes of a band key outside of its least class's component, beyond which the key is cut up; classes of a shingle
+#: that are compared as plain pairs then.
+HOT, FEW = 16384, 32
 #: Bits of the filter that goes before joins with texts: 8 MB.
 MOST_BITS = 1 << 26
 
@@ -235,18 +236,12 @@ class _Search:
         """(u, v): `known` links, and such confirmed ones that all classes that rows (node, band) of `keys` bring together
         are connected if their links connect them.  cut: whether hot keys may be cut up."""
         scratch, percent, allowed = self.scratch, self.percent, self.allowed
-
-        def possible(sa: pa.Array, sb: pa.Array) -> pa.Array:
-            a, b = (np.array([np.frombuffer(x, np.uint8) for x in c.to_pylist()], np.uint8).reshape(len(c), -1) for c in (sa, sb))
-            return pa.array(similarity(a, b) >= allowed)
-
         leaders = keys.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
         members = scratch.written(keys.join(leaders.hint("merge"), "band"), "band-members")
-        sized = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
         stars = members.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
         near = (
             stars.join(self.short.toDF("u", "n_u", "sig_u").hint("merge"), "u").join(self.short.toDF("v", "n_v", "sig_v").hint("merge"), "v")
-            .where(sized).where(F.arrow_udf(possible, "boolean")("sig_u", "sig_v")).select("u", "v")
+            .where(_sized(percent)).where(F.arrow_udf(_possible(allowed), "boolean")("sig_u", "sig_v")).select("u", "v")
         )
         first = scratch.written(self.confirmed(scratch.written(near, "near")).unionByName(known).distinct(), "links")
         found = scratch.written(components(first, scratch), "components")
@@ -263,7 +258,7 @@ class _Search:
         if cut and largest > HOT:
             hot = open_.where(F.col("outsiders") > HOT).select("band")
             nodes = scratch.written(owner.join(hot.hint("merge"), "band", "left_semi").select("node").distinct(), "hot-nodes")
-            first = scratch.written(self.links(self.sampled(nodes), first, cut=False), "links")
+            first = scratch.written(self.linked_by_prefixes(nodes, first), "links")
             open_ = open_.where(F.col("outsiders") <= HOT)
             found = scratch.written(components(first, scratch), "components")
             of = found.select(F.col("id").alias("node"), "component")
@@ -281,24 +276,47 @@ class _Search:
         rows = scratch.written(family.join(self.short.hint("merge"), "node").join(sets.hint("merge"), "node"), "family-sets")
         return first.unionByName(scratch.written(_confirmed(rows, percent, allowed), "links"))
 
-    def sampled(self, nodes: DataFrame) -> DataFrame:
-        """(node, band): MANY keys of each node, of SAMPLED places of its signature each."""
-        places = np.random.default_rng(77).integers(0, BANDS * ROWS, (MANY, SAMPLED))
-
-        def keys(sigs: pa.Array) -> pa.Array:
-            packed = np.array([np.frombuffer(x, np.uint8) for x in sigs.to_pylist()], np.uint8).reshape(len(sigs), -1)
-            low = np.unpackbits(packed, axis=1).reshape(len(sigs), -1, BITS).dot(1 << np.arange(BITS)).astype(np.uint64)
-            out = np.empty((len(sigs), MANY), np.uint64)
-            for k in range(MANY):
-                key = np.full(len(sigs), k, np.uint64)
-                for p in places[k]:
-                    key = key * np.uint64(1 << BITS) + low[:, p]
-                out[:, k] = words.chain(np.full(len(sigs), k, np.uint64), key)
-            flat = pa.array(out.reshape(-1).view(np.int64))
-            return pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * MANY), flat)
-
-        rows = nodes.join(self.short.hint("merge"), "node")
-        return rows.select("node", F.explode(F.arrow_udf(keys, "array<bigint>")("sig")).alias("band"))
+    def linked_by_prefixes(self, nodes: DataFrame, known: DataFrame) -> DataFrame:
+        """`known` links, and such as connect all of the distinct `nodes` that links connect, without any chance: nodes are
+        known by the shingles of their prefixes.
+
+        Shingles are ordered by the nodes that have them, the rarest first.  Sets whose similarity reaches the threshold
+        share so many that each has one of these among the first that it may not leave out.  Nodes of a shingle of up to
+        `FEW` all meet, those of others as classes of a band key do.
+        """
+        scratch, percent, allowed = self.scratch, self.percent, self.allowed
+
+        def items(sets: pa.Array) -> pa.Array:
+            at = np.cumsum([0, *(len(x) // 8 for x in sets.to_pylist())], dtype=np.int64)
+            return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(sets.to_pylist()), np.int64)))
+
+        each = scratch.written(self.sets_of(nodes).select("node", F.explode(F.arrow_udf(items, "array<bigint>")("set")).alias("band")), "shingles")
+        often = each.groupBy("band").agg(F.count("*").alias("members"))
+        ranked = each.join(often.hint("merge"), "band").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("members", "band"))).alias("by"))
+        prefix = F.slice("by", F.lit(1), F.expr(f"cast(size(by) - ({percent} * size(by) + 99) div 100 + 1 as int)"))
+        keys = scratch.written(ranked.select("node", F.explode(prefix).alias("k")).select("node", "k.band", "k.members").where("members > 1"), "prefixes")
+        few = keys.where(F.col("members") <= FEW).join(self.short.hint("merge"), "node").select("band", "node", "n", "sig")
+        few = scratch.written(few, "rare")
+        a, b = few.toDF("band", "u", "n_u", "sig_u"), few.toDF("band", "v", "n_v", "sig_v")
+        pairs = a.join(b.hint("merge"), "band").where("u < v").where(_sized(percent)).where(F.arrow_udf(_possible(allowed), "boolean")("sig_u", "sig_v"))
+        rare = self.confirmed(scratch.written(pairs.select("u", "v").distinct(), "near"))
+        first = scratch.written(known.unionByName(rare).distinct(), "links")
+        return self.links(keys.where(F.col("members") > FEW).select("node", "band"), first, cut=False)
+
+
+def _sized(percent: int) -> Column:
+    """Whether the sizes n_u and n_v allow a link."""
+    return F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
+
+
+def _possible(allowed: float) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """Whether two columns of signatures allow a link."""
+
+    def possible(sa: pa.Array, sb: pa.Array) -> pa.Array:
+        a, b = (np.array([np.frombuffer(x, np.uint8) for x in c.to_pylist()], np.uint8).reshape(len(c), -1) for c in (sa, sb))
+        return pa.array(similarity(a, b) >= allowed)
+
+    return possible
 
 
 def _tile_of(n: Column, by: str) -> tuple[Column, Column]:

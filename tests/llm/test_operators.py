@@ -526,6 +526,24 @@ def test_near_duplicates_of_repeated_and_null_keys(spark, tile, hot, monkeypatch
     assert got == expected
 
 
+@pytest.mark.parametrize("tile, few", [(2048, 32), (64, 1)])
+def test_a_hot_key_loses_no_link(spark, tile, few, monkeypatch):
+    """Pairs at the very threshold, made from one form, that only a key of all rows brings together."""
+    monkeypatch.setattr(dedup, "HOT", 2)
+    monkeypatch.setattr(dedup, "TILE", tile)
+    monkeypatch.setattr(dedup, "FEW", few)
+    form, n = [f"form{i}" for i in range(40)], 600
+    text = lambda i, k: " ".join([*form, *(f"both{i}x{j}" for j in range(40)), *(f"own{i}x{k}x{j}" for j in range(10))])
+    docs = spark.createDataFrame([(2 * i + k, text(i, k)) for i in range(n) for k in (0, 1)], "doc_id long, text string")
+    scratch = dedup.Scratch(spark)
+    rows = dedup._rows(docs, "doc_id", "text")
+    classes = scratch.written(dedup.sketches(rows, 1).withColumnRenamed("id", "node"), "classes")
+    search = dedup._Search(scratch, rows, classes, 1, 80)
+    known = spark.createDataFrame([], "u long, v long")
+    got = search.links(classes.select("node", F.lit(0).cast("bigint").alias("band")), known).collect()
+    assert sorted(map(tuple, got)) == [(2 * i, 2 * i + 1) for i in range(n)]
+
+
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
 
 
