@@ -14,7 +14,7 @@ from sluice.sources.bindings import BOT, START, relation
 from sluice.sources.shared import shared_dir, written
 
 from . import duck as D
-from .decision_queries import _ALL, _TEXTS, SETTINGS, chain, decisions, fingerprints, judged, messages, sessions
+from .decision_queries import _ALL, _TEXTS, EVIDENCE, SETTINGS, chain, decisions, fingerprints, judged, messages, sessions
 from .registry import query
 from .state_queries import BANS, RECORDS, bans
 from .text_queries import SIMHASHES
@@ -40,14 +40,14 @@ def observations(spark, sf_dir):
 
 @query(chain(*_ALL) + "SELECT chat_id, message_id AS original_message_id, user_id AS suspect_user_id, skeleton_hash, content_hash, 'open' AS status, 0 AS spam_votes, 0 AS ham_votes, reason, created_at, created_at + 1800 AS expires_at FROM decided WHERE action = 'withdraw_vote'")
 def vote_session_rows(spark, sf_dir):
-    return effects.session_rows(decisions(spark, sf_dir))
+    return effects.session_rows(decisions(spark, sf_dir, "skeleton_hash", "content_hash"))
 
 
 @query(chain(*_ALL) + """SELECT row_number() OVER (ORDER BY created_at, message_id) AS id, message_id, chat_id, user_id, action, reason, confidence, created_at, substring(text, 1, 500) AS text_snapshot,
   coalesce(links[1].url, '-') AS first_url, CASE WHEN action = 'withdraw_vote' THEN 'false' ELSE '-' END AS deleted FROM decided""")
 def action_log(spark, sf_dir):
     deleted = F.when(F.col("action") == "withdraw_vote", False)
-    rows = effects.action_rows(decisions(spark, sf_dir), extra={"deleted": deleted})
+    rows = effects.action_rows(decisions(spark, sf_dir, "text", "links"), extra={"deleted": deleted})
     of = lambda path: F.coalesce(F.get_json_object("metadata_json", path), F.lit("-"))
     return rows.select("id", "message_id", "chat_id", "user_id", "action", "reason", "confidence", "created_at", of("$.text_snapshot").alias("text_snapshot"), of("$.links[0]").alias("first_url"), of("$.deleted").alias("deleted"))
 
@@ -198,9 +198,13 @@ _OUTCOME = """CASE WHEN verdict_status IS NULL THEN '' WHEN verdict_status = 'fa
     CASE WHEN phrases <> '' THEN concat(chr(10), '信号：', replace(array_to_string(list_filter(string_split(phrases, '|'), lambda p: p <> ''), ', '), '&', '&amp;')) ELSE '' END) END"""
 
 
-def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: What a report shows besides the decision.
+_SHOWN_OF = ("text", "links", "username", "display_name", "bio", "og_url", "og_title", "og_description")
+
+
+def _told(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Decisions with what the scorers said."""
-    return judged(spark, sf_dir).withColumn("outcome", scoring.outcome(2))
+    return judged(spark, sf_dir, *more).withColumn("outcome", scoring.outcome(2))
 
 
 @query(chain(*_ALL, "judged") + f"SELECT message_id, {_OUTCOME} AS section, verdict_status AS status, CASE WHEN verdict_status IS NOT NULL THEN 2 END AS provider_count, error, CASE WHEN verdict_status = 'ok' THEN verdict_confidence END AS confidence FROM judged")
@@ -224,7 +228,7 @@ told AS (SELECT message_id, action, created_at, log_id, concat('反广告处理
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every decision's report, logged under ids in order of time; a vote's session is known by its message."""
-    rows = effects.numbered(_told(spark, sf_dir), "action_log_id", "created_at", "message_id")
+    rows = effects.numbered(_told(spark, sf_dir, *_SHOWN_OF), "action_log_id", "created_at", "message_id")
     voted = F.col("action") == "withdraw_vote"
     rows = rows.withColumns({"vote_session_id": F.when(voted, F.col("message_id")), "deleted": F.when(voted, False), "banned": F.lit(None).cast("boolean")})
     return rows.withColumn("base_text", reports.notification_text())
@@ -342,13 +346,13 @@ _GONE = "SELECT content_hash AS value FROM features UNION ALL SELECT 'nothing'"
 
 @query(chain("evidence", "fingerprints") + f"SELECT value, id FROM fingerprints WHERE value NOT IN (SELECT value FROM ({_GONE}))")
 def fingerprint_delete(spark, sf_dir):
-    rows = messages(spark, sf_dir)
+    rows = written(messages(spark, sf_dir).select(*EVIDENCE), "feature-rows")
     return state.delete_rows(fingerprints(rows, spark, sf_dir), rows.select(F.col("content_hash").alias("value")), "value").select("value", "id")
 
 
 @query(chain("evidence", "fingerprints") + f"SELECT d.value, count(f.value) AS n FROM (SELECT DISTINCT value FROM ({_GONE})) d LEFT JOIN fingerprints f USING (value) GROUP BY 1")
 def fingerprint_delete_counts(spark, sf_dir):
-    rows = messages(spark, sf_dir)
+    rows = written(messages(spark, sf_dir).select(*EVIDENCE), "feature-rows")
     deletes = rows.select(F.col("content_hash").alias("value")).unionByName(spark.createDataFrame([("nothing",)], "value string"))
     return state.deleted_counts(fingerprints(rows, spark, sf_dir), deletes, "value")
 

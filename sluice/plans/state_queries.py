@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 from sluice.functions.text import number_text
 from sluice.operators import reports, scoring, state
-from sluice.operators.lookup import with_context
 from sluice.operators.previews import previews, raw_title
 from sluice.sources.bindings import START, relation
 from sluice.sources.shared import written
 
 from . import duck as D
-from .decision_queries import _TEXTS, SETTINGS, chain, evidence, fingerprints, known_messages, messages, sessions, strongest_of
+from .decision_queries import _TEXTS, LOOKUP, SETTINGS, chain, evidence, fingerprints, in_context, messages, sessions, strongest_of, taught_rows
 from .registry import query
 
 
@@ -55,16 +54,16 @@ _HITS = "hits AS (SELECT fp_value AS value, count(*) AS hits FROM strongest GROU
 
 @query(chain("evidence", "fingerprints", "keys", "strongest").rstrip() + f",\n{_HITS}\nSELECT f.value, coalesce(hits, 0) AS hits, greatest(weight, least(weight + 5 * coalesce(hits, 0), 80.0::DOUBLE)) AS weight FROM fingerprints f LEFT JOIN hits USING (value)")
 def hit_weight(spark, sf_dir):
-    rows = written(messages(spark, sf_dir), "feature-rows")
-    known = fingerprints(rows, spark, sf_dir)
-    hits = strongest_of(rows, spark, sf_dir).groupBy(F.col("fp_value").alias("value")).agg(F.count("*").alias("hits"))
+    rows = written(messages(spark, sf_dir).select(*LOOKUP), "feature-rows")
+    known = written(fingerprints(rows, spark, sf_dir), "fingerprints")
+    hits = strongest_of(rows, spark, sf_dir, known).groupBy(F.col("fp_value").alias("value")).agg(F.count("*").alias("hits"))
     out = known.join(hits, "value", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("bigint")))
     return out.select("value", "hits", state.hit_weight(F.col("weight"), F.col("hits")).alias("weight"))
 
 
 @query(chain("evidence", "fingerprints") + "SELECT value, greatest(0.0::DOUBLE, weight - 30 * (n - 1)) AS weight, n >= 3 AS disabled FROM fingerprints")
 def fp_penalty(spark, sf_dir):
-    known = fingerprints(written(messages(spark, sf_dir), "feature-rows"), spark, sf_dir)
+    known = fingerprints(taught_rows(spark, sf_dir), spark, sf_dir)
     return known.select("value", state.penalised_weight(F.col("weight"), F.col("n") - 1).alias("weight"), (F.col("n") >= 3).alias("disabled"))
 
 
@@ -139,7 +138,7 @@ def status_label(spark, sf_dir):
 
 @query(chain("evidence", "fingerprints") + "SELECT id, fingerprint_type, value, weight, n AS hit_count FROM fingerprints WHERE weight >= 40 ORDER BY weight DESC, hit_count DESC, id LIMIT 50")
 def top_fingerprints(spark, sf_dir):
-    known = fingerprints(written(messages(spark, sf_dir), "feature-rows"), spark, sf_dir).withColumnRenamed("n", "hit_count")
+    known = fingerprints(taught_rows(spark, sf_dir), spark, sf_dir).withColumnRenamed("n", "hit_count")
     return reports.top_fingerprints(known, least=40.0).select("id", "fingerprint_type", "value", "weight", "hit_count")
 
 
@@ -150,7 +149,7 @@ def whitelist_listing(spark, sf_dir):
 
 @query(chain("evidence") + ", everything AS (SELECT value FROM evidence) SELECT value, count(*) AS n FROM everything WHERE " + D.meaningful("value") + " GROUP BY value")
 def purge_low_entropy(spark, sf_dir):
-    return reports.purge(evidence(written(messages(spark, sf_dir), "feature-rows"), spark, sf_dir)).groupBy("value").agg(F.count("*").alias("n"))
+    return reports.purge(evidence(taught_rows(spark, sf_dir), spark, sf_dir)).groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query(D.with_(*_TEXTS, "vote_sessions", "sessions") + f""", asked AS (SELECT {D.digest("'加群日结兼职 一天几百 t.me/abc'")} AS h)
@@ -192,7 +191,7 @@ _ASKED = ("task", "raw_text", "clean_text", "skeleton", "skeleton_hash", "conten
   array_to_string({D.domains('links')}, ' ') AS domains, CAST(len(links) AS INTEGER) AS n_links, links[1].url AS first_url, p.bio, CASE WHEN p.user_id IS NOT NULL THEN concat_ws(' ', nullif(p.first_name, ''), nullif(p.last_name, '')) END AS display_name, g.og_title AS title
   FROM features f LEFT JOIN user_reputation r ON r.chat_id = f.chat_id AND r.user_id = f.user_id LEFT JOIN user_profiles p ON p.user_id = f.user_id LEFT JOIN previews g ON g.url = f.preview_link""")
 def llm_payload(spark, sf_dir):
-    rows = with_context(known_messages(spark, sf_dir), relation(spark, sf_dir, "user_reputation"))
+    rows = in_context(scoring.cut(messages(spark, sf_dir)), spark, sf_dir)
     rows = rows.select("message_id", scoring.request(rows).alias("payload"))
     # Written and read again, so that the JSON itself is what is compared.
     kinds = dict.fromkeys(_ASKED, "string") | {"sender_reputation": "double"}
@@ -231,5 +230,5 @@ def by_profile(requests: list[str]) -> list[str | scoring.Failure | None]:
   CASE WHEN p.user_id IS NOT NULL THEN coalesce(nullif(g.og_title, ''), 'none') END AS category
   FROM features f LEFT JOIN user_profiles p ON p.user_id = f.user_id LEFT JOIN previews g ON g.url = f.preview_link""")
 def scored_by_profile(spark, sf_dir):
-    rows = with_context(known_messages(spark, sf_dir), relation(spark, sf_dir, "user_reputation")).withColumn("scorer", F.lit(True))
+    rows = in_context(scoring.cut(messages(spark, sf_dir)), spark, sf_dir).withColumn("scorer", F.lit(True))
     return scoring.score(rows, by_profile).select("message_id", "status", "error", "is_spam", "confidence", "category")
