@@ -183,6 +183,12 @@ def og_parse(spark, sf_dir):
     return previews(spark.sql(_META, pages=relation(spark, sf_dir, "pages"))).select("page_id", "preview.*")
 
 
+def _asking(spark, sf_dir):
+    """What requests about all messages are made of, their texts cut; stored, as links are looked up and sent."""
+    rows = scoring.cut(messages(spark, sf_dir)).select("message_id", "chat_id", "user_id", *scoring.LONGEST, "skeleton_hash", "content_hash", "mentions", "punctuation_only", "has_preview", "links", "preview_link")
+    return in_context(written(rows, "feature-rows"), spark, sf_dir)
+
+
 _ASKED = ("task", "raw_text", "clean_text", "skeleton", "skeleton_hash", "content_hash", "sender_reputation", "mention_count", "is_empty_or_punctuation", "has_preview_url")
 
 
@@ -191,7 +197,7 @@ _ASKED = ("task", "raw_text", "clean_text", "skeleton", "skeleton_hash", "conten
   array_to_string({D.domains('links')}, ' ') AS domains, CAST(len(links) AS INTEGER) AS n_links, links[1].url AS first_url, p.bio, CASE WHEN p.user_id IS NOT NULL THEN concat_ws(' ', nullif(p.first_name, ''), nullif(p.last_name, '')) END AS display_name, g.og_title AS title
   FROM features f LEFT JOIN user_reputation r ON r.chat_id = f.chat_id AND r.user_id = f.user_id LEFT JOIN user_profiles p ON p.user_id = f.user_id LEFT JOIN previews g ON g.url = f.preview_link""")
 def llm_payload(spark, sf_dir):
-    rows = in_context(scoring.cut(messages(spark, sf_dir)), spark, sf_dir)
+    rows = _asking(spark, sf_dir)
     rows = rows.select("message_id", scoring.request(rows).alias("payload"))
     # Written and read again, so that the JSON itself is what is compared.
     kinds = dict.fromkeys(_ASKED, "string") | {"sender_reputation": "double"}
@@ -230,5 +236,5 @@ def by_profile(requests: list[str]) -> list[str | scoring.Failure | None]:
   CASE WHEN p.user_id IS NOT NULL THEN coalesce(nullif(g.og_title, ''), 'none') END AS category
   FROM features f LEFT JOIN user_profiles p ON p.user_id = f.user_id LEFT JOIN previews g ON g.url = f.preview_link""")
 def scored_by_profile(spark, sf_dir):
-    rows = in_context(scoring.cut(messages(spark, sf_dir)), spark, sf_dir).withColumn("scorer", F.lit(True))
+    rows = _asking(spark, sf_dir).withColumn("scorer", F.lit(True))
     return scoring.score(rows, by_profile).select("message_id", "status", "error", "is_spam", "confidence", "category")

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from sluice.functions import phrases as R
 from sluice.functions import text as T
-from sluice.operators import lookup
+from sluice.operators import lookup, scoring
 from sluice.operators.features import spread
 from sluice.plans import decision_queries as Q
+from sluice.plans.state_queries import _asking
 
 
 def test_messages_without_a_link_are_dealt_out(spark):
@@ -70,3 +71,11 @@ def test_decisions_are_made_once(spark):
     assert found.columns[-1] == "text" and found.agg(F.max(F.length("text"))).first()[0] <= Q.SHOWN
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_requests_have_what_they_need_of_long_texts(spark):
+    long = "x y" * 3000
+    rows = spark.createDataFrame([(1, long, long, long)], "message_id long, text string, clean string, skeleton string")
+    assert scoring.cut(rows).select(*(F.length(c) for c in scoring.LONGEST)).first() == (4000, 4000, 1000)
+    asking = _asking(spark, "/root/testdata/sf0.001")
+    assert asking.agg(F.max(F.length("text"))).first()[0] <= 4000 and {"carrier", "strong"}.isdisjoint(asking.columns)
