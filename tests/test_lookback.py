@@ -89,3 +89,14 @@ def test_prior_senders_of_one_hot_shape(spark, bits, seed):
     known = [r for r in rows if r[0] is not None and r[3] is not None]
     plain = {m: len({u2 for s2, m2, u2, t2 in known if s2 == s and (t2, m2) < (t, m) and t2 >= t - 100 and u2 is not None and u2 != u}) if s is not None and t is not None else 0 for s, m, u, t in rows}
     assert {r.message_id: r.prior_senders for r in lookup.prior_senders(df, 100).collect()} == plain
+
+
+def test_only_messages_about_an_earlier_session_are_numbered(spark):
+    """Each message has a session of its own, opened as it came; only sessions of a sender who repeats one are looked at."""
+    messages = [(k, 1, 7 + k % 2, k, f"c{k}" if k != 40 else "c20", f"s{k}", SHAPE) for k in range(50)]
+    sessions = [(k, 1, u, t, "open", content, shape) for k, _, u, t, content, shape, _ in messages]
+    scratch = lookup.Scratch(spark)
+    got = lookup.open_repeats(spark.createDataFrame(messages, MESSAGES), spark.createDataFrame(sessions, SESSIONS), scratch=scratch)
+    assert {r.message_id: list(r.session_ids) for r in got.collect()} == plain_repeats(messages, sessions, 50) == {40: [20]}
+    assert spark.read.parquet(f"{scratch.path}/running-rows-*").count() == 25 + 1
+    scratch.drop()
