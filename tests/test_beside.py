@@ -79,3 +79,17 @@ def test_requests_have_what_they_need_of_long_texts(spark):
     assert scoring.cut(rows).select(*(F.length(c) for c in scoring.LONGEST)).first() == (4000, 4000, 1000)
     asking = _asking(spark, "/root/testdata/sf0.001")
     assert asking.agg(F.max(F.length("text"))).first()[0] <= 4000 and {"carrier", "strong"}.isdisjoint(asking.columns)
+
+
+def test_evidence_moves_hashes_and_no_texts(spark):
+    """Where labels and verdicts are too many to be broadcast, all rows cross the joins with them."""
+    found = Q.evidence(Q.taught_rows(spark, "/root/testdata/sf0.001"), spark, "/root/testdata/sf0.001")
+
+    def joined(plan):
+        below = plan.children()
+        inputs = [below.apply(i) for i in range(below.size())]
+        return ([x.output().toString() for x in inputs] if plan.nodeName() == "Join" else []) + [o for x in inputs for o in joined(x)]
+
+    sides = joined(found._jdf.queryExecution().optimizedPlan())
+    assert len(sides) >= 4 and not any("clean#" in s or "skeleton#" in s for s in sides)
+    assert "skeleton" not in Q._ROW

@@ -36,3 +36,11 @@ def test_strongest_is_the_same_with_and_without_a_filter(spark, monkeypatch):
     monkeypatch.setattr(lookup, "MOST_VALUES", 0)
     monkeypatch.setattr(lookup.known_values, "__defaults__", (0,))
     assert sorted(map(tuple, QUERIES["strongest_fingerprint"](spark, sf).collect())) == found
+
+
+def test_keys_are_made_once(spark):
+    """An explode of a named array asks for its size first, which made all keys twice."""
+    rows = spark.createDataFrame([(1, "click here", "video", False, "h", "c")], "message_id long, clean string, bio string, low_shape boolean, skeleton_hash string, content_hash string")
+    keys = lookup.keys_of(rows, "message_id", (F.col("bio"),), may_be=lookup.known_values(spark.createDataFrame([("h",), ("c",)], "value string")))
+    assert keys._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, keys.collect())) == [(1, 0, "skeleton", "h"), (1, 1, "content", "c")]
